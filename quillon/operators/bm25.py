@@ -32,11 +32,15 @@ def suffix_stem(word: Column) -> Column:
     return F.regexp_replace(out, "^(.*[aeiouy].*)(ing|ed)$", "$1")
 
 
+def raw_words(text: Column) -> Column:
+    """Lower-case words of two letters or more."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
 def terms(text: Column, stem: Stemmer = suffix_stem) -> Column:
     """Lower-case words of two letters or more, without stop words, stemmed. Repeats stay."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.transform(F.filter(words, lambda w: ~F.array_contains(stop, w)), stem)
+    return F.transform(F.filter(raw_words(text), lambda w: ~F.array_contains(stop, w)), stem)
 
 
 @dataclass(frozen=True)
@@ -65,18 +69,20 @@ def build_index(
     body = (
         indexed_text(F.col(path), F.col("text")) if path in chunks.columns else F.col("text")
     )
-    tokenised = source.select("chunk_id", *kept, terms(body, stem).alias("_terms")).withColumn(
-        "length", F.size("_terms")
+    # One shuffle of the texts by chunk; counting, stemming and counting again stay local to it.
+    # Labels ride along as grouping keys, which keeps the aggregation hash-based.
+    own = ["chunk_id", *kept]
+    placed = source.select(*own, body.alias("_body")).repartition("chunk_id")
+    words = (
+        placed.select(*own, F.explode(raw_words(F.col("_body"))).alias("_word"))
+        .where(~F.col("_word").isin(STOP_WORDS))
+        .groupBy(*own, "_word")
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
     postings = (
-        tokenised.select("chunk_id", *kept, "length", F.explode("_terms").alias("term"))
-        .repartition("chunk_id")
-        .groupBy("chunk_id", "term")
-        .agg(
-            F.count(F.lit(1)).cast("int").alias("tf"),
-            F.first("length").alias("length"),
-            *[F.first(c).alias(c) for c in kept],
-        )
+        words.groupBy(*own, stem(F.col("_word")).alias("term"))
+        .agg(F.sum("tf").cast("int").alias("tf"))
+        .withColumn("length", F.sum("tf").over(Window.partitionBy("chunk_id")))
     )
     postings = written(postings, "postings")
     total = source.count()
@@ -106,9 +112,7 @@ def query_terms(
     exploded = queries.select(
         "query_id", *wanted, F.explode(terms(F.col(text), stem)).alias("term")
     )
-    return exploded.groupBy("query_id", "term").agg(
-        F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in wanted]
-    )
+    return exploded.groupBy("query_id", "term", *wanted).agg(F.count(F.lit(1)).alias("times"))
 
 
 def top_k(

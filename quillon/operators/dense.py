@@ -31,13 +31,12 @@ def _unit_counts(slots: pd.Series) -> pd.Series:
 
 def hashed_words(text: Column, dimension: int = DIMENSION) -> Column:
     """The offline embedding: a-z words counted in md5 buckets (a power of two), length 1."""
+    digits = max(1, math.ceil(math.log2(dimension) / 4))
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
     slots = F.transform(
         words,
         # The hash is a 128-bit number; its last hex digits decide it modulo a power of two.
-        lambda w: (F.conv(F.right(F.md5(w), F.lit(8)), 16, 10).cast("bigint") % dimension).cast(
-            "int"
-        ),
+        lambda w: F.conv(F.right(F.md5(w), F.lit(digits)), 16, 10).cast("int") % dimension,
     )
     return _unit_counts(F.concat(F.array(F.lit(dimension)), slots))
 
@@ -69,14 +68,15 @@ def _nearest(
     """The best ``k`` rows of one block for each query of one block, by dot product."""
     q = np.stack(queries["vec"].to_numpy()).astype(np.float64)
     v = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-    scores = np.round(q @ v.T, 9)
+    scores = q @ v.T
+    ranked = np.round(scores, 9)
     mask = _allowed(queries, rows, fields)
     if mask is not None:
-        scores[~mask] = -np.inf
+        ranked[~mask] = scores[~mask] = -np.inf
     ids = rows["chunk_id"].to_numpy()
     by_id = np.argsort(ids, kind="stable")
     # Rows in id order and a stable sort: equal scores come out by id.
-    order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
+    order = by_id[np.argsort(-ranked[:, by_id], axis=1, kind="stable")[:, :k]]
     picked = np.take_along_axis(scores, order, axis=1)
     out = pd.DataFrame(
         {

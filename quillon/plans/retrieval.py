@@ -12,6 +12,7 @@ from quillon.operators import bm25, dense, filters
 from quillon.operators.dense import hashed_words
 from quillon.operators.fusion import fuse
 from quillon.operators.rerank import Scorer, rerank, word_overlap
+from quillon.scale import spread
 from quillon.session import written
 
 MIN_RESULTS = 5
@@ -34,7 +35,7 @@ def prepare(
     kept = [c for c in filters.FILTER_COLUMNS if c in chunks.columns]
     text = embedding_text(F.col("document_title"), F.col("heading_path"), F.col("text"))
     vectors = written(
-        chunks.where("retrievable").select("chunk_id", embedder(text).alias("vec"), *kept),
+        spread(chunks.where("retrievable")).select("chunk_id", embedder(text).alias("vec"), *kept),
         "vectors",
     )
     return Corpus(chunks, bm25.build_index(chunks, stem=stem), vectors)

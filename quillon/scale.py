@@ -27,6 +27,17 @@ SALTS = 16
 BUCKETS = 64
 
 
+def spread(df: DataFrame, task_bytes: int = 16 * 1024 * 1024) -> DataFrame:
+    """A small input that would be read by fewer tasks than there are cores, dealt out evenly.
+
+    Judged by the planner's size estimate alone; large inputs are left as they are stored.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * task_bytes else df
+
+
 # --- joins ---------------------------------------------------------------------------------
 
 
