@@ -43,6 +43,11 @@ ACRONYMS = ["HIV", "AIDS", "TB", "COPD", "ART", "ARV", "ITN", "ITNS", "IRS", "SM
 # --- end of fixed values ---------------------------------------------------------------------
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value worked out once, where an expression needs it more than once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Whitespace runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -129,18 +134,19 @@ def is_heading(text: Column) -> Column:
 
 def leading_caps_name(text: Column) -> Column:
     """A capitalised name in front of a caption: "DEPRESSION Assessment" gives "DEPRESSION"."""
-    words = F.split(squeeze(text), " ")
 
     def in_caps(word: Column) -> Column:
         letters = letters_of(word)
         return (word == "&") | ((letters != "") & _all_upper(letters))
 
-    stops = F.filter(
-        F.transform(words, lambda w, i: F.when(~in_caps(w), i)), lambda i: i.isNotNull()
-    )
-    lead = F.when(F.size(stops) > 0, F.slice(words, F.lit(1), F.try_element_at(stops, F.lit(1))))
-    name = F.array_join(lead, " ")
-    return F.when((F.size(lead) > 0) & is_all_caps(name), name).otherwise(text)
+    def name_in(words: Column) -> Column:
+        stops = F.filter(
+            F.transform(words, lambda w, i: F.when(~in_caps(w), i)), lambda i: i.isNotNull()
+        )
+        return F.array_join(F.slice(words, F.lit(1), F.get(stops, F.lit(0))), " ")
+
+    name = let(F.split(squeeze(text), " "), name_in)
+    return let(name, lambda n: F.when((n != "") & is_all_caps(n), n).otherwise(text))
 
 
 def capwords(text: Column) -> Column:
