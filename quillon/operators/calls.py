@@ -50,7 +50,7 @@ def utterances(events: DataFrame, width: int = HOUR_US) -> DataFrame:
     segment = F.when(_is_segment(), F.struct("ts_us", "event_id", "text"))
     grouped = placed.where(_is_segment() | is_end()).groupBy("call_id", "turn").agg(
         F.collect_list(segment).alias("_s"),
-        F.round(F.avg(F.when(_is_segment(), F.col("confidence"))), 4).alias("confidence"),
+        F.avg(F.when(_is_segment(), F.col("confidence"))).alias("confidence"),
         F.max(
             F.when(
                 is_end(),
@@ -215,10 +215,10 @@ def reply_latencies(events: DataFrame, width: int = HOUR_US) -> DataFrame:
         & (F.col("last_audio").isNull() | (F.col("last_end.at") >= F.col("last_audio")))
         & F.col("last_end").isNotNull()
     )
-    response = F.round((F.col("ts_us") - F.col("last_end.at")) / 1000, 2)
+    response = (F.col("ts_us") - F.col("last_end.at")) / 1000
     return answered.select(
         "call_id", "event_id", response.alias("response_ms"),
-        F.round(F.col("last_end.endpoint_ms") + response, 2).alias("voice_to_voice_ms"),
+        (F.col("last_end.endpoint_ms") + response).alias("voice_to_voice_ms"),
     )
 
 

@@ -19,8 +19,13 @@ NOW = 8 * 3600 + 120
 def tables(spark: SparkSession, sf: str) -> A.ReminderTables:
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
+    # Order and line number do not identify a line here: the first of each pair is kept.
+    first = F.min(F.struct("l_partkey", "l_quantity")).alias("_l")
     lines = (
         table(spark, sf, "lineitem")
+        .groupBy("l_orderkey", "l_linenumber")
+        .agg(first)
+        .select("l_orderkey", "l_linenumber", "_l.*")
         .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
@@ -82,7 +87,9 @@ def deliveries(spark: SparkSession, sf: str) -> DataFrame:
 # --- SQL -------------------------------------------------------------------------------------
 
 TABLES = """
-lines AS (SELECT l_orderkey * 10 + l_linenumber AS id, * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+lines AS (SELECT l_orderkey * 10 + l_linenumber AS id, * FROM (SELECT * FROM lineitem
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity) = 1)
+  JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 alerts AS (SELECT id, o_custkey AS client_id, id AS medication_id, ('0x' || substring(md5(o_orderkey::VARCHAR), 1, 4))::INT % 96 * 900 AS time_s,
   l_linenumber % 5 <> 0 AS enabled FROM lines),
 meds AS (SELECT id, o_custkey AS client_id, p_name || CASE WHEN p_size % 5 <> 0 THEN ' ' || p_size || ' mg' ELSE '' END AS label,

@@ -47,11 +47,11 @@ utt AS (SELECT call_id, turn, string_agg(text, ' ' ORDER BY ts_us, event_id) FIL
 
 @register(
     "call_utterances", "W12 R1",
-    f"WITH {EVENTS},{UTTERANCES} SELECT call_id, turn, text, round(confidence, 3) AS confidence, end_reason, endpoint_latency_ms FROM utt",
+    f"WITH {EVENTS},{UTTERANCES} SELECT call_id, turn, text, round(confidence, 6) AS confidence, end_reason, endpoint_latency_ms FROM utt",
 )
 def call_utterances(spark: SparkSession, sf: str) -> DataFrame:
     return C.utterances(transcript(spark, sf)).select(
-        "call_id", "turn", "text", F.round("confidence", 3).alias("confidence"), "end_reason", "endpoint_latency_ms"
+        "call_id", "turn", "text", F.round("confidence", 6).alias("confidence"), "end_reason", "endpoint_latency_ms"
     )
 
 
@@ -191,15 +191,16 @@ def barge_in_recoveries(spark: SparkSession, sf: str) -> DataFrame:
     w AS (SELECT *, max(CASE WHEN is_end THEN ts_us END) OVER p AS end_us, max(CASE WHEN NOT is_end THEN ts_us END) OVER p AS audio_us,
       last_value(CASE WHEN is_end THEN endpoint_latency_ms END IGNORE NULLS) OVER p AS endpoint FROM m
       WINDOW p AS ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT call_id, event_id, round((ts_us - end_us) / 1000, 2) AS response_ms, round(endpoint + round((ts_us - end_us) / 1000, 2), 2) AS voice_to_voice_ms
+    SELECT call_id, event_id, round((ts_us - end_us) / 1000, 6) AS response_ms, round(endpoint + (ts_us - end_us) / 1000, 6) AS voice_to_voice_ms
     FROM w WHERE NOT is_end AND end_us IS NOT NULL AND (audio_us IS NULL OR end_us >= audio_us)""",
 )
 def reply_latencies(spark: SparkSession, sf: str) -> DataFrame:
     e = transcript(spark, sf)
     mark = F.when(C.is_end(), "end").when(F.col("type") == "interim", "audio")
-    return C.reply_latencies(
+    found = C.reply_latencies(
         e.select("call_id", "event_id", "ts_us", mark.alias("mark"), F.col("endpoint_latency_ms").alias("endpoint_ms"))
     )
+    return _rounded(found, "response_ms", "voice_to_voice_ms")
 
 
 @register(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import signal
 import sys
 import time
 import traceback
@@ -21,6 +23,16 @@ TABLES = (
 ).split()
 
 
+LIMIT = int(os.environ.get("CHECK_SECONDS", "90"))
+
+
+def too_long(*_: object) -> None:
+    raise TimeoutError(f"over {LIMIT} s")
+
+
+signal.signal(signal.SIGALRM, too_long)
+
+
 def plain(value: object) -> object:
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
@@ -56,8 +68,9 @@ def compare(spark, sf: str, name: str) -> str:
     verdict = "ok" if a == b else "DIFF"
     line = f"{verdict} {len(a):7d} vs {len(b):7d} {took:6.1f}s sql {sql_took:5.1f}s"
     if a != b:
-        only_a = [r for r in a if r not in set(b)][:3] if len(a) < 300000 else []
-        only_b = [r for r in b if r not in set(a)][:3] if len(b) < 300000 else []
+        in_a, in_b = set(a), set(b)
+        only_a = [r for r in a if r not in in_b][:3]
+        only_b = [r for r in b if r not in in_a][:3]
         line += f"\n   cols {sorted(names)}\n   spark {only_a}\n   sql   {only_b}"
     return line
 
@@ -69,9 +82,13 @@ def main() -> None:
     bad = 0
     for name in names:
         try:
+            signal.alarm(LIMIT)
             line = compare(spark, f"/root/testdata/sf{sf}", name)
         except Exception:
+            signal.alarm(0)
+            spark.sparkContext.cancelAllJobs()
             line = "ERROR " + traceback.format_exc(limit=-3)[-1500:]
+        signal.alarm(0)
         bad += not line.startswith(("ok", "rows"))
         print(f"{name:34s} {line}", flush=True)
     print("failures:", bad)
