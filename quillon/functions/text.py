@@ -113,8 +113,7 @@ def _all_upper(letters: Column) -> Column:
 
 
 def is_all_caps(text: Column) -> Column:
-    letters = letters_of(text)
-    return (F.length(letters) >= 3) & _all_upper(letters)
+    return let(letters_of(text), lambda found: (F.length(found) >= 3) & _all_upper(found))
 
 
 def is_code_like(text: Column) -> Column:
@@ -123,12 +122,11 @@ def is_code_like(text: Column) -> Column:
 
 def is_heading(text: Column) -> Column:
     """3 to 100 characters, less than 30% digits, at least one letter."""
-    size = F.length(text)
-    digits = F.regexp_count(text, F.lit(r"\p{Nd}"))
-    return (
-        size.between(3, MAX_HEADING_CHARS)
-        & (digits * 10 < size * 3)
-        & text.rlike(r"\p{L}")
+    return let(
+        text,
+        lambda t: F.length(t).between(3, MAX_HEADING_CHARS)
+        & (F.regexp_count(t, F.lit(r"\p{Nd}")) * 10 < F.length(t) * 3)
+        & t.rlike(r"\p{L}"),
     )
 
 
@@ -155,23 +153,30 @@ def capwords(text: Column) -> Column:
 
 def display_case(heading: Column) -> Column:
     """An ALL-CAPS heading in title case; acronyms and vowel-less short tokens stay as they are."""
-    letters = letters_of(heading)
     acronyms = F.array(*[F.lit(a) for a in ACRONYMS])
     small = F.array(*[F.lit(s) for s in SMALL_WORDS])
 
-    def one(word: Column, i: Column) -> Column:
-        core = F.upper(F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", ""))
-        stays = F.array_contains(acronyms, core) | (
-            F.length(core).between(2, 4) & ~core.rlike("[AEIOU]")
+    def stays(word: Column) -> Column:
+        return let(
+            F.upper(F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", "")),
+            lambda core: F.array_contains(acronyms, core)
+            | (F.length(core).between(2, 4) & ~core.rlike("[AEIOU]")),
         )
+
+    def one(word: Column, i: Column) -> Column:
         return (
             F.when((i > 0) & F.array_contains(small, F.lower(word)), F.lower(word))
-            .when(stays, word)
+            .when(stays(word), word)
             .otherwise(capwords(word))
         )
 
-    shown = F.array_join(F.transform(F.split(heading, " "), one), " ")
-    return F.when((letters != "") & _all_upper(letters), shown).otherwise(heading)
+    def shown(text: Column) -> Column:
+        in_caps = let(letters_of(text), lambda found: (found != "") & _all_upper(found))
+        return F.when(
+            in_caps, F.array_join(F.transform(F.split(text, " "), one), " ")
+        ).otherwise(text)
+
+    return let(heading, shown)
 
 
 def word_count(text: Column) -> Column:

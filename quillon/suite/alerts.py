@@ -249,14 +249,13 @@ def status_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "delivery_status", "J15 R11",
-    f"""WITH {TABLES},{UPDATES}, newest AS (SELECT provider_sid, arg_max(status, event_id * 10 + length(status)) AS s, arg_max(detail, event_id) AS d FROM updates GROUP BY 1)
+    f"""WITH {TABLES},{UPDATES}, newest AS (SELECT provider_sid, arg_max(status, (event_id, status)) AS s, arg_max(detail, event_id) AS d FROM updates GROUP BY 1)
     SELECT 'd' || id AS id, channel, provider_sid, coalesce(s, 'sent') AS status, d AS detail FROM
       (SELECT id, CASE WHEN id % 3 = 0 THEN 'call' ELSE 'whatsapp' END AS channel, 'sid' || (id % 1000) AS provider_sid FROM alerts) LEFT JOIN newest USING (provider_sid)""",
 )
 def delivery_status(spark: SparkSession, sf: str) -> DataFrame:
-    # Two reports of one event are ordered by the length of their status.
-    u = updates(spark, sf).withColumn("_by", F.col("event_id") * 10 + F.length("status"))
-    found = A.latest_status(deliveries(spark, sf), u, ["_by"])
+    # Two reports of one event are ordered by their status.
+    found = A.latest_status(deliveries(spark, sf), updates(spark, sf), ["event_id", "status"])
     return found.select("id", "channel", "provider_sid", "status", "detail")
 
 
