@@ -227,7 +227,7 @@ def greedy_runs(
     keys: Sequence[str],
     seq: str,
     payload: Sequence[str],
-    run_end: Callable[[pd.DataFrame, int], int],
+    run_end: Callable[[dict[str, list], int], int],
     lookahead: int,
     *,
     block_rows: int = 4096,
@@ -235,8 +235,8 @@ def greedy_runs(
 ) -> DataFrame:
     """Number the runs that filling from the left makes: adds ``run_start`` (0/1).
 
-    ``seq`` counts 0, 1, 2... within each key. ``run_end(frame, i)`` returns the position after
-    the last row of the run that starts at position ``i`` of ``frame``; it may look at row
+    ``seq`` counts 0, 1, 2... within each key. ``run_end(columns, i)`` returns the position after
+    the last row of the run that starts at position ``i`` of the columns; it may look at row
     ``i - 1`` and at most ``lookahead`` rows ahead. Where a run starts decides where it ends,
     so each block first works out, for every way a run may enter it, how it is left; chaining
     these small tables gives each block its true entry, and the blocks are then solved alone.
@@ -262,19 +262,19 @@ def greedy_runs(
         low = int(frame["_home"].iloc[0]) * block_rows
         first = int((frame[seq] < low).sum())
         own = int(((frame[seq] >= low) & (frame[seq] < low + block_rows)).sum())
-        nxt = np.array([run_end(frame, first + i) - first for i in range(own)], dtype=np.int64)
+        columns = {c: frame[c].tolist() for c in [seq, *payload]}
+        nxt = np.array([run_end(columns, first + i) - first for i in range(own)], dtype=np.int64)
         return frame, nxt, first, own
 
-    def leave(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, nxt, _, own = ends(frame)
-        left = np.empty(own, dtype=np.int64)
-        for i in range(own - 1, -1, -1):
-            left[i] = nxt[i] - own if nxt[i] >= own else left[nxt[i]]
-        out = {k: [frame[k].iloc[0]] for k in keys}
-        out["_home"] = [int(frame["_home"].iloc[0])]
-        out["_leave"] = [left[: lookahead + 1].tolist()]
-        out["_own"] = [own]
-        return pd.DataFrame(out)
+    def leave(bucket: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, block in bucket.groupby([*keys, "_home"], sort=False):
+            _, nxt, _, own = ends(block)
+            left = np.empty(own, dtype=np.int64)
+            for i in range(own - 1, -1, -1):
+                left[i] = nxt[i] - own if nxt[i] >= own else left[nxt[i]]
+            out.append((*key, left[: lookahead + 1].tolist(), own))
+        return pd.DataFrame(out, columns=[*keys, "_home", "_leave", "_own"])
 
     leave_schema = T.StructType(
         [
@@ -290,9 +290,12 @@ def greedy_runs(
         *keys, "_home"
     ).distinct()
     copies = copies.join(owned, [*keys, "_home"], "left_semi")
-    tables = copies.groupBy(*keys, "_home").applyInPandas(leave, leave_schema)
+    # Blocks are dealt to buckets of a few blocks' rows each: small groups share a Python call,
+    # and none grows with the data.
+    buckets = max(1, copies.count() // (4 * block_rows))
+    bucket = F.pmod(F.xxhash64(*keys, "_home"), F.lit(buckets)).alias("_bucket")
+    tables = copies.groupBy(bucket).applyInPandas(leave, leave_schema)
 
-    chain = Window.partitionBy(*keys).orderBy("_home")
     single = F.max("_home").over(Window.partitionBy(*keys)) == 0
     tables = written(tables.withColumn("_one", single), f"{name}-tables")
 
@@ -316,23 +319,24 @@ def greedy_runs(
     entries = entries.unionByName(
         tables.where("not _one").groupBy(*keys).applyInPandas(enter, entry_schema)
     )
-    del chain
-
-    def mark(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, nxt, first, own = ends(frame)
-        flags = np.zeros(own, dtype=np.int32)
-        at = int(frame["_entry"].iloc[0])
-        while at < own:
-            flags[at] = 1
-            at = int(nxt[at])
-        return frame.iloc[first : first + own][[*keys, seq]].assign(run_start=flags)
+    def mark(bucket: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, block in bucket.groupby([*keys, "_home"], sort=False):
+            frame, nxt, first, own = ends(block)
+            flags = np.zeros(own, dtype=np.int32)
+            at = int(frame["_entry"].iloc[0])
+            while at < own:
+                flags[at] = 1
+                at = int(nxt[at])
+            out.append(frame.iloc[first : first + own][[*keys, seq]].assign(run_start=flags))
+        return pd.concat(out)
 
     mark_schema = T.StructType(
         [*key_fields, copies.schema[seq], T.StructField("run_start", T.IntegerType())]
     )
     marked = (
         copies.join(entries, [*keys, "_home"])
-        .groupBy(*keys, "_home")
+        .groupBy(bucket)
         .applyInPandas(mark, mark_schema)
     )
     return items.join(marked, [*keys, seq])
