@@ -97,3 +97,26 @@ def from_intake(
     out = intake.withColumn("q_population", population_for(F.col(age), F.col(pregnancy)))
     topics = topics_for(*[F.col(w) for w in words]) if include_topics else F.lit(None)
     return out.withColumn("q_topics", topics.cast("array<string>"))
+
+
+CORE_FIELDS = ("chief_complaint", "duration", "severity")
+ESCALATING = ("urgent", "emergency")
+
+
+def missing_fields(fields: Collection[str] = CORE_FIELDS) -> Column:
+    """Names of the fields that are still unanswered."""
+    return F.filter(
+        F.array(
+            *[F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) == "", F.lit(f)) for f in fields]
+        ),
+        lambda name: name.isNotNull(),
+    )
+
+
+def must_escalate(urgency: Column, flagged: Column) -> Column:
+    """An urgent or emergency assessment always escalates, whatever it was flagged."""
+    return F.coalesce(flagged, F.lit(False)) | urgency.isin(*ESCALATING)
+
+
+def valid_confidence(confidence: Column) -> Column:
+    return F.coalesce(confidence.between(0.0, 1.0), F.lit(False))
