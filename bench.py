@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from quillon.session import local_session
@@ -26,6 +27,7 @@ def main() -> None:
     for name in HEADLINE:
         start = time.perf_counter()
         REGISTRY[name].job(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        print(name, round(time.perf_counter() - start, 2), file=sys.stderr, flush=True)
         took[name] = round(time.perf_counter() - start, 3)
     print(
         json.dumps(
