@@ -12,6 +12,7 @@ from quillon.operators import chunk as CH
 from quillon.operators import index as IX
 from quillon.operators import structure as ST
 from quillon.operators.stats import latency_summary
+from quillon.scale import spread
 from quillon.session import written
 from quillon.sources import blocks as B
 from quillon.suite.base import register, table
@@ -19,7 +20,7 @@ from quillon.suite.base import register, table
 
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Web pages; the host is the document, the page id its page number."""
-    p = table(spark, sf, "pages")
+    p = spread(table(spark, sf, "pages"))
     host = F.regexp_extract("url", "^https?://([^/]*)", 1)
     return B.html_blocks(p.select(host.alias("doc_id"), F.col("page_id").alias("page"), "html"))
 
@@ -27,7 +28,7 @@ def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
 def line_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of documents as blocks: every fourth line that can be one is a heading, every fourth a
     list item. The source is the document, the document its page."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("source", "doc_id", "text"))
     lines = d.select(
         F.col("source").alias("doc_id"), F.col("doc_id").alias("page"),
         F.posexplode(F.split("text", "\n")).alias("pos", "raw"),
