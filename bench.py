@@ -11,8 +11,8 @@ from quillon.session import local_session
 from quillon.suite import REGISTRY
 
 HEADLINE = [
-    "bm25_search", "dense_search", "hybrid_search", "passage_retrieval_metrics",
-    "catalogue_merge", "name_search", "sections_markdown", "chunk_labels", "page_blocks",
+    "bm25_search", "dense_search", "hybrid_search",
+    "catalogue_merge", "name_search", "sections_markdown", "page_blocks",
     "due_reminders", "low_stock", "call_utterances", "call_snapshots", "latency_summary",
     "idle_sessions", "index_changes",
 ]

@@ -53,22 +53,33 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def _where_marked(text: Column, mark: str, pattern: str, into: str) -> Column:
+    def replaced(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, pattern, into)).otherwise(t)
+
+    return let(text, replaced)
+
+
 def normalise(text: Column) -> Column:
     """Inline markup and extraction artefacts removed; the lines stay. Order matters."""
     out = text
     for old, new in LIGATURES.items():
         out = F.replace(out, F.lit(old), F.lit(new))
+    # A pattern is only tried on texts that hold what it cannot match without.
+    for mark, pattern, into in (
+        ("**==>", PICTURE, ""),
+        ("_", CITATION, ""),
+        ("<sup>", SUPERSCRIPT_REF, ""),
+        ("<", INLINE_TAG, ""),
+        ("<br", HTML_BREAK, " "),
+        ("**", BOLD, "$1"),
+        ("_", ITALIC, "$1"),
+        ("f", SPLIT_LIGATURE, "$1$2"),
+        ("f", LEADING_SPLIT_LIGATURE, "$1"),
+        ("- ", HYPHEN_BREAK, "$1"),
+    ):
+        out = _where_marked(out, mark, pattern, into)
     for pattern, into in (
-        (PICTURE, ""),
-        (CITATION, ""),
-        (SUPERSCRIPT_REF, ""),
-        (INLINE_TAG, ""),
-        (HTML_BREAK, " "),
-        (BOLD, "$1"),
-        (ITALIC, "$1"),
-        (SPLIT_LIGATURE, "$1$2"),
-        (LEADING_SPLIT_LIGATURE, "$1"),
-        (HYPHEN_BREAK, "$1"),
         (r"\r\n?", "\n"),
         (r"[ \t]+", " "),
         (LINE_EDGES, ""),
