@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, counts, pieces, rules, sequences, shards
+from quillon.llm import chat, counts, leaks, pieces, quality, rules, sequences, shards
 from quillon.suite.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,52 @@ def op3_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.contained_items(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.withColumn("containment", F.round("containment", 6))
+
+
+# All shingles of all documents against all shingles of all items, without sketches.
+SQL["op5_benchmark_leaks"] = r"""
+with doc_words as (
+    select doc_id, list_filter(
+        regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as words
+    from documents
+), item_words as (
+    select item_id, list_filter(
+        regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as words
+    from benchmark
+), item_rows as (
+    select distinct item_id, width, array_to_string(words[i:i + width - 1], ' ') as shingle
+    from (
+        select item_id, words, least(len(words), 5) as width,
+            unnest(generate_series(1, len(words) - least(len(words), 5) + 1)) as i
+        from item_words where len(words) > 0
+    )
+), items as (
+    select *, count(*) over (partition by item_id, width) as size from item_rows
+), doc_rows as (
+    select distinct doc_id, width, array_to_string(words[i:i + width - 1], ' ') as shingle
+    from (
+        select doc_id, words, width, unnest(generate_series(1, len(words) - width + 1)) as i
+        from doc_words, (select distinct width from items) where len(words) >= width
+    )
+)
+select doc_id, item_id, size, count(*) as matched, round(count(*) / size, 6) as containment
+from doc_rows join items using (width, shingle)
+group by doc_id, item_id, width, size
+having count(*) >= ceil(size * 0.8 - 1e-9)
+"""
+
+
 @query
 def op6_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
