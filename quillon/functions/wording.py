@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import let, squeeze
@@ -93,73 +93,90 @@ def dedupe_key(*parts: Column | str) -> Column:
 
 
 def opening_line(service: str, name: Column, label: Column, at: Column, count: Column) -> Column:
-    """What a reminder call begins with."""
-    when = F.when(
-        at.isNotNull(), F.concat(F.lit(" It is your "), clock_text(at), F.lit(" medicine."))
-    ).otherwise("")
+    """What a reminder call begins with: who calls, what is due, since when."""
+    due = F.when(count > 1, " are due").otherwise(" is due")
+    since = F.when(at.isNotNull(), F.concat(F.lit(" since "), clock_text(at))).otherwise("")
     return F.concat(
-        F.lit("Hello "), name, F.lit(f", this is {service} with your medicine reminder."), when,
-        F.lit(" It is time for "), label, F.lit(". Have you taken "),
-        F.when(count > 1, "them").otherwise("it"), F.lit("?"),
+        F.lit("Good day "), name, F.lit(f". {service} calling: "), label, due, since,
+        F.lit(". Is that done already?"),
     )
 
 
 def match_sentence() -> Column:
-    """A lookup answer in words: only facts that every product it could be shares."""
-    choices = F.array_join("choices", "; ")
-    several = F.size("choices") > 1
-    it = F.when((F.col("status") == "several") & several, "Each").otherwise("It")
-    source = lookup(SOURCE_NAMES, F.col("source"))
-    facts = F.concat_ws(
-        " ",
-        F.when(
-            F.col("composition") != F.col("name"),
-            F.concat(it, F.lit(" contains: "), F.col("composition"), F.lit(".")),
-        ),
-        F.when(F.col("strength") != "", F.concat(F.lit("Strength: "), F.col("strength"), F.lit("."))),
-        F.when(F.col("unit") != "", F.concat(it, F.lit(" comes as: "), F.col("unit"), F.lit("."))),
-        F.concat(F.lit("Listed in: "), source, F.lit(".")),
-    )
-    opening = (
-        F.when(F.col("status") == "exact", F.format_string('In the catalogue as "%s".', "name"))
+    """A lookup answer in words: the finding, then the facts all products it could be share."""
+    listed, said = F.array_join("choices", " / "), F.concat(F.lit("<"), "heard", F.lit(">"))
+    name = F.concat(F.lit("<"), "name", F.lit(">"))
+    count, status = F.size("choices"), F.col("status")
+    fact = {
+        "ingredients": F.when(F.col("composition") != F.col("name"), F.col("composition")),
+        "strength": F.when(F.col("strength") != "", F.col("strength")),
+        "form": F.when(F.col("unit") != "", F.col("unit")),
+        "list": lookup(SOURCE_NAMES, F.col("source")),
+    }
+    facts = F.concat_ws(", ", *(F.concat(F.lit(f"{k} = "), v) for k, v in fact.items()))
+    others = F.when(count > 0, F.concat(F.lit("; others near it: "), listed)).otherwise("")
+    finding = (
+        F.when(status == "exact", F.concat(F.lit("Found "), name))
         .when(
-            (F.col("status") == "several") & ~several,
-            F.format_string('"%s" is not listed as said; the nearest product is "%s".', "name", choices),
-        )
-        .when(
-            F.col("status") == "several",
-            F.format_string('More than one product is called "%s": %s.', "name", choices),
-        )
-        .when(
-            F.col("status") == "close",
-            F.concat(
-                F.format_string('"%s" is not in the catalogue; "%s" sounds like it.', "heard", "name"),
-                F.when(F.size("choices") > 0, F.format_string(" It could also be: %s.", choices)).otherwise(""),
+            status == "several",
+            F.when(count > 1, F.concat(name, F.lit(" stands for: "), listed)).otherwise(
+                F.concat(name, F.lit(" as such isn't in the list, only "), listed)
             ),
         )
-        .otherwise(
-            F.concat(
-                F.format_string('"%s" is not in the catalogue.', "heard"),
-                F.when(F.size("choices") > 0, F.format_string(" A little like it: %s.", choices)).otherwise(""),
-            )
+        .when(
+            status == "close",
+            F.concat(said, F.lit(" isn't in the list, it may be "), name, others),
         )
+        .otherwise(F.concat(F.lit("Nothing like "), said, F.lit(" in the list"), others))
     )
-    return F.when(
-        F.col("status").isin("exact", "several"), F.concat_ws(" ", opening, facts)
-    ).otherwise(opening)
+    known = status.isin("exact", "several") & (facts != "")
+    return F.concat(finding, F.when(known, F.concat(F.lit(" ("), facts, F.lit(")"))).otherwise(""), F.lit("."))
 
 
 def passage_source() -> Column:
-    """Where a passage is from: title, publisher and year, section, page, for whom."""
-    published = F.concat_ws(", ", "publisher", F.substring("publication_date", 1, 4))
-    title = F.when(
-        published != "", F.concat("document_title", F.lit(" ("), published, F.lit(")"))
-    ).otherwise(F.col("document_title"))
-    path = F.array_join("heading_path", " > ")
-    return F.concat_ws(
-        " | ",
-        title,
-        F.when(path != "", path),
-        F.concat(F.lit("page "), F.col("page_number").cast("string")),
-        F.when(F.col("population") != "all", F.concat(F.lit("written for: "), F.col("population"))),
+    """Where a passage is from: section and page first, then the document, then for whom."""
+    path = F.array_join("heading_path", ", ")
+    year = F.substring("publication_date", 1, 4)
+    issued = F.concat_ws(" ", "publisher", year)
+    place = F.concat_ws(" ", F.when(path != "", path), F.concat(F.lit("p."), F.col("page_number")))
+    return F.concat(
+        place,
+        F.lit(" in "),
+        F.col("document_title"),
+        F.when(issued != "", F.concat(F.lit(", "), issued)).otherwise(""),
+        F.when(F.col("population") != "all", F.concat(F.lit("; readers: "), F.col("population"))).otherwise(""),
+    )
+
+
+def passage_block() -> Column:
+    """One passage as a numbered paragraph of an answer: its source, then its text."""
+    return F.concat(
+        F.lit("["), F.col("rank"), F.lit("] "), passage_source(), F.lit("\n"), F.trim("text")
+    )
+
+
+def described_passages(
+    passages: DataFrame, queries: DataFrame, keys: str = "query_id", width: int = 20
+) -> DataFrame:
+    """``(query_id, found, description)``: the blocks of a query's best passages in rank order.
+
+    ``passages`` has at most ``width`` rows a query (rank 1 to ``width``; others are not shown);
+    ``queries(query_id, population)`` names for whom was searched. A query without passages says
+    so, and a search that was held to a population says which.
+    """
+    blocks = (
+        passages.where(F.col("rank") <= width)
+        .select(keys, "rank", passage_block().alias("block"))
+        .groupBy(keys)
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("blocks"))
+    )
+    held = F.when(
+        F.col("population").isNotNull() & (F.col("population") != "all"),
+        F.concat(F.lit("Searched for readers: "), F.col("population"), F.lit(".\n")),
+    ).otherwise("")
+    body = F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n")
+    return queries.join(blocks, keys, "left").select(
+        keys,
+        F.coalesce(F.size("blocks"), F.lit(0)).alias("found"),
+        F.concat(held, F.coalesce(body, F.lit("No passage answers this."))).alias("description"),
     )

@@ -189,13 +189,13 @@ def low_stock(spark: SparkSession, sf: str) -> DataFrame:
     rows AS (SELECT delivery_id, first_name, language, c.time_s, CASE WHEN len(ls) > 1 THEN {TOGETHER} ELSE m.label END AS label,
       CASE WHEN len(ls) > 1 THEN len(ls) ELSE 1 END AS count FROM calls c JOIN meds m USING (id, client_id) JOIN clients USING (client_id)
       LEFT JOIN same s ON s.client_id = c.client_id AND s.time_s = c.time_s)
-    SELECT delivery_id, language, count, 'Hello ' || first_name || ', this is the service with your medicine reminder. It is your '
+    SELECT delivery_id, language, count, 'Good day ' || first_name || '. The service calling: ' || label || CASE WHEN count > 1 THEN ' are' ELSE ' is' END || ' due since '
       || CASE WHEN time_s // 3600 % 12 = 0 THEN 12 ELSE time_s // 3600 % 12 END || printf(':%02d ', time_s % 3600 // 60) || CASE WHEN time_s < 43200 THEN 'AM' ELSE 'PM' END
-      || ' medicine. It is time for ' || label || '. Have you taken ' || CASE WHEN count > 1 THEN 'them' ELSE 'it' END || '?' AS line FROM rows""",
+      || '. Is that done already?' AS line FROM rows""",
 )
 def call_contexts(spark: SparkSession, sf: str) -> DataFrame:
     rows = A.call_context(deliveries(spark, sf), tables(spark, sf))
-    line = W.opening_line("the service", F.col("first_name"), F.col("label"), F.col("time_s"), F.col("count"))
+    line = W.opening_line("The service", F.col("first_name"), F.col("label"), F.col("time_s"), F.col("count"))
     return rows.select("delivery_id", "language", "count", line.alias("line"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import wording as W
@@ -42,13 +42,12 @@ def intake_checks(spark: SparkSession, sf: str) -> DataFrame:
     """WITH m AS (SELECT p_partkey, p_name AS name, p_name || ' x' AS heard, ['exact', 'several', 'several', 'close', 'unknown'][p_partkey % 5 + 1] AS status,
       CASE WHEN p_partkey % 5 = 2 THEN [p_name || ' a', p_name || ' b'] WHEN p_partkey % 5 IN (1, 3) THEN [p_name || ' a'] ELSE [] END AS choices,
       CASE WHEN p_partkey % 2 = 0 THEN p_type END AS composition, CASE WHEN p_partkey % 3 = 0 THEN p_size || ' mg' END AS strength FROM part),
-    t AS (SELECT *, array_to_string(choices, '; ') AS c, CASE WHEN status = 'several' AND len(choices) > 1 THEN 'Each' ELSE 'It' END AS it FROM m),
-    f AS (SELECT *, concat_ws(' ', it || ' contains: ' || composition || '.', 'Strength: ' || strength || '.', it || ' comes as: tablets.', 'Listed in: Branded product list.') AS facts FROM t)
-    SELECT p_partkey, CASE WHEN status = 'exact' THEN 'In the catalogue as "' || name || '". ' || facts
-      WHEN status = 'several' AND len(choices) = 1 THEN '"' || name || '" is not listed as said; the nearest product is "' || c || '". ' || facts
-      WHEN status = 'several' THEN 'More than one product is called "' || name || '": ' || c || '. ' || facts
-      WHEN status = 'close' THEN '"' || heard || '" is not in the catalogue; "' || name || '" sounds like it. It could also be: ' || c || '.'
-      ELSE '"' || heard || '" is not in the catalogue.' END AS sentence FROM f""",
+    f AS (SELECT *, array_to_string(choices, ' / ') AS c, concat_ws(', ', 'ingredients = ' || composition, 'strength = ' || strength, 'form = tablets', 'list = Branded product list') AS facts FROM m)
+    SELECT p_partkey, CASE WHEN status = 'exact' THEN 'Found <' || name || '> (' || facts || ').'
+      WHEN status = 'several' AND len(choices) = 1 THEN '<' || name || '> as such isn''t in the list, only ' || c || ' (' || facts || ').'
+      WHEN status = 'several' THEN '<' || name || '> stands for: ' || c || ' (' || facts || ').'
+      WHEN status = 'close' THEN '<' || heard || '> isn''t in the list, it may be <' || name || '>; others near it: ' || c || '.'
+      ELSE 'Nothing like <' || heard || '> in the list.' END AS sentence FROM f""",
 )
 def match_sentences(spark: SparkSession, sf: str) -> DataFrame:
     k, name = F.col("p_partkey"), F.col("p_name")
@@ -66,8 +65,8 @@ def match_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "passage_sources", "H29 H30",
-    """SELECT doc_id, upper(source) || ' (Publisher, ' || (2000 + doc_id % 20) || ')' || CASE WHEN doc_id % 4 > 0 THEN ' | ' || source || ' > ' || lang ELSE '' END
-      || ' | page ' || doc_id || CASE WHEN lang <> 'en' THEN ' | written for: ' || lang ELSE '' END AS source FROM documents""",
+    """SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN source || ', ' || lang || ' ' ELSE '' END || 'p.' || doc_id || ' in ' || upper(source)
+      || ', Publisher ' || (2000 + doc_id % 20) || CASE WHEN lang <> 'en' THEN '; readers: ' || lang ELSE '' END AS source FROM documents""",
 )
 def passage_sources(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
@@ -78,3 +77,36 @@ def passage_sources(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("page_number"), F.when(F.col("lang") == "en", "all").otherwise(F.col("lang")).alias("population"),
     )
     return rows.select("doc_id", W.passage_source().alias("source"))
+
+
+@register(
+    "passage_descriptions", "H29",
+    """WITH p AS (SELECT item_id, doc_id, text, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM documents, benchmark_ids WHERE doc_id % n = item_id AND item_id % 5 > 0 QUALIFY rank <= 3)
+    SELECT item_id AS query_id, count(doc_id) AS found, CASE WHEN item_id % 2 = 0 THEN 'Searched for readers: child.' || chr(10) ELSE '' END
+      || coalesce(string_agg('[' || rank || '] p.' || doc_id || ' in Doc, Publisher' || chr(10) || trim(p.text), chr(10) || chr(10) ORDER BY rank), 'No passage answers this.') AS description
+    FROM benchmark b LEFT JOIN p USING (item_id) GROUP BY 1""".replace(
+        "documents, benchmark_ids", "documents, (SELECT item_id, count(*) OVER () AS n FROM benchmark)"
+    ).replace("SELECT item_id, doc_id, text,", "SELECT item_id, doc_id, text,"),
+)
+def passage_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each benchmark question with up to three documents as its passages; every fifth finds none."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    n = asked.count()
+    population = F.when(F.col("query_id") % 2 == 0, "child").otherwise("all")
+    order = Window.partitionBy("query_id").orderBy("page_number")
+    rows = (
+        table(spark, sf, "documents")
+        .select((F.col("doc_id") % n).alias("query_id"), F.col("doc_id").alias("page_number"), "text")
+        .join(asked.where("query_id % 5 > 0"), "query_id")
+        .withColumn("rank", F.row_number().over(order))
+        .where("rank <= 3")
+        .withColumns(
+            {
+                "document_title": F.lit("Doc"), "publisher": F.lit("Publisher"), "publication_date": F.lit(None).cast("string"),
+                "heading_path": F.array().cast("array<string>"), "population": F.lit("all"),
+            }
+        )
+    )
+    return W.described_passages(rows, asked.withColumn("population", population)).withColumn(
+        "found", F.col("found").cast("bigint")
+    )
