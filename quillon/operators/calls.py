@@ -19,6 +19,8 @@ RECENT_CALLS = 50
 HOUR_US = 3_600_000_000
 # A position may lie this far behind the end of its own frame.
 AUDIO_TOLERANCE = 1e-6
+# Fixed value: an utterance's confidence is the mean of its segments to so many digits.
+CONFIDENCE_DIGITS = 4
 
 
 def time_block(ts: str = "ts_us", width: int = HOUR_US) -> Column:
@@ -50,7 +52,7 @@ def utterances(events: DataFrame, width: int = HOUR_US) -> DataFrame:
     segment = F.when(_is_segment(), F.struct("ts_us", "event_id", "text"))
     grouped = placed.where(_is_segment() | is_end()).groupBy("call_id", "turn").agg(
         F.collect_list(segment).alias("_s"),
-        F.avg(F.when(_is_segment(), F.col("confidence"))).alias("confidence"),
+        F.round(F.avg(F.when(_is_segment(), F.col("confidence"))), CONFIDENCE_DIGITS).alias("confidence"),
         F.max(
             F.when(
                 is_end(),

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quillon.operators.calls import CONFIDENCE_DIGITS
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TRANSCRIPT = (
@@ -30,10 +32,13 @@ UTTERANCE = T.StructType(
     ]
 )
 # --- fixed values: sentence boundary and words that never end one ----------------------------
-BOUNDARY = re.compile(r"([.!?]+[\"')\]]*)\s+")
+BOUNDARY = re.compile(r"(?P<close>[.!?]+[\"')\]]*)\s+")
 ABBREVIATIONS = ("dr", "mr", "mrs", "ms", "prof", "st", "vs", "etc", "e.g", "i.e", "approx")
 MIN_SENTENCE = 12
 # --- end of fixed values ---------------------------------------------------------------------
+SHORT_FORM = re.compile(
+    rf"(?i)(?:^|\s)[(\"']*(?:{'|'.join(map(re.escape, ABBREVIATIONS))})\.$"
+)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -50,7 +55,7 @@ class Utterances(StatefulProcessor):
 
     def _emit(self, call_id: int, found: list, reason: str, latency: float | None) -> tuple:
         sure = [c for _, c in found if c is not None and c == c]
-        mean = sum(sure) / len(sure) if sure else None
+        mean = round(sum(sure) / len(sure), CONFIDENCE_DIGITS) if sure else None
         return call_id, " ".join(t for t, _ in found), mean, reason, latency
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -102,21 +107,20 @@ def utterance_stream(events: DataFrame, idle_seconds: int = 900, delay: str = "1
     )
 
 
+def _is_closed(sentence: str, least: int) -> bool:
+    return len(sentence) >= least and SHORT_FORM.search(sentence) is None
+
+
 def next_sentences(buffer: str, least: int = MIN_SENTENCE) -> tuple[list[str], str]:
     """(complete sentences, rest): a sentence ends at closing punctuation followed by space."""
     done: list[str] = []
-    start = 0
-    for match in BOUNDARY.finditer(buffer):
-        candidate = buffer[start : match.end(1)].strip()
-        last = candidate[:-1].split()
-        abbreviated = (
-            candidate.endswith(".") and not candidate.endswith("..")
-            and bool(last) and last[-1].lower().lstrip("(\"'") in ABBREVIATIONS
-        )
-        if len(candidate) >= least and not abbreviated:
-            done.append(candidate)
-            start = match.end()
-    return done, buffer[start:]
+    rest = 0
+    for mark in BOUNDARY.finditer(buffer):
+        sentence = buffer[rest : mark.end("close")].strip()
+        if _is_closed(sentence, least):
+            done.append(sentence)
+            rest = mark.end()
+    return done, buffer[rest:]
 
 
 SENTENCE = T.StructType(
@@ -141,7 +145,10 @@ class Sentences(StatefulProcessor):
                 if held.strip():
                     out.append((key[0], held.strip()))
                 held = ""
-        self.buffer.update((held,))
+        if held:
+            self.buffer.update((held,))
+        else:
+            self.buffer.clear()
         yield pd.DataFrame(out, columns=SENTENCE.names)
 
     def close(self) -> None:
@@ -168,6 +175,7 @@ class RateLimit(StatefulProcessor):
     """A sliding minute of accepted hits; refused ones are not recorded."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.hits = handle.getListState("hits", "at double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -182,21 +190,34 @@ class RateLimit(StatefulProcessor):
                 held.append(now)
             out.append((key[0], row.event_id, allowed))
         self.hits.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if held:
             self.hits.put([(h,) for h in held])
+            self.handle.registerTimer(int((held[-1] + self.seconds) * 1000) + 1)
         yield pd.DataFrame(out, columns=VERDICT.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """All recorded hits are older than the window: the key is forgotten."""
+        self.hits.clear()
+        yield pd.DataFrame([], columns=VERDICT.names)
+
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(hits: DataFrame, most: int, seconds: float = 60.0) -> DataFrame:
-    """``hits(key, event_id, ts)`` to verdicts."""
+def rate_limit_stream(
+    hits: DataFrame, most: int, seconds: float = 60.0, delay: str = "10 minutes"
+) -> DataFrame:
+    """``hits(key, event_id, ts)`` to verdicts; a key's hits are forgotten once the watermark is
+    past their window."""
     prepare(hits.sparkSession)
     processor = RateLimit()
     processor.most, processor.seconds = most, seconds
-    return hits.groupBy("key").transformWithStateInPandas(
-        processor, VERDICT, outputMode="append", timeMode="None"
+    return (
+        hits.withWatermark("ts", delay)
+        .groupBy("key")
+        .transformWithStateInPandas(processor, VERDICT, outputMode="append", timeMode="EventTime")
     )
 
 

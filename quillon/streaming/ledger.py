@@ -16,22 +16,26 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def claim_batch(ledger_path: str):
+def claim_batch(ledger_path: str, stream: str):
     """A ``foreachBatch`` function: claims what was never claimed and appends it.
 
-    Claims are stored under the batch's number, so a batch that is run again after a failure
-    replaces its own claims and sees only those of the batches before it.
+    ``stream`` names the stream run, e.g. by its checkpoint: claims are stored under it and the
+    batch's number. A batch that is run again after a failure replaces its own claims and sees all
+    others, those of earlier runs with other checkpoints included.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = read_or_none(spark, ledger_path)
+        own = (F.col("stream") == stream) & (F.col("batch") == number)
         earlier = (
             batch.select("dedupe_key").limit(0)
             if known is None
-            else known.where(F.col("batch") != number).select("dedupe_key")
+            else known.where(~own).select("dedupe_key")
+        )
+        unclaimed(batch, earlier).write.mode("overwrite").parquet(
+            f"{ledger_path}/stream={stream}/batch={number}"
         )
-        unclaimed(batch, earlier).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
 
     return run
 

@@ -39,7 +39,7 @@ ORDER = "PARTITION BY call_id ORDER BY ts_us, event_id"
 UTTERANCES = f"""
 turns AS (SELECT *, coalesce(sum(ends::INT) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS turn FROM ev),
 utt AS (SELECT call_id, turn, string_agg(text, ' ' ORDER BY ts_us, event_id) FILTER (type = 'final') AS text,
-    avg(confidence) FILTER (type = 'final') AS confidence,
+    round(avg(confidence) FILTER (type = 'final'), 4) AS confidence,
     coalesce(max(CASE WHEN ends THEN CASE type WHEN 'final' THEN 'speech_final' ELSE 'utterance_end' END END), 'stream_closed') AS end_reason,
     max(CASE WHEN ends THEN endpoint_latency_ms END) AS endpoint_latency_ms FROM turns GROUP BY 1, 2
   HAVING count(*) FILTER (type = 'final') > 0)"""

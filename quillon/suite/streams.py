@@ -121,7 +121,7 @@ def send_once_ledger(spark: SparkSession, sf: str) -> DataFrame:
     )
     ledger, state = _folder(spark, "ledger"), _folder(spark, "ledger-state")
     query = (
-        asks.writeStream.foreachBatch(claim_batch(ledger)).option("checkpointLocation", state)
+        asks.writeStream.foreachBatch(claim_batch(ledger, "events")).option("checkpointLocation", state)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
