@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.scale import block_scan
+from quillon.session import written
 
 EXTRACTOR_VERSION = "1"
 # --- fixed values: which markup makes which kind of block ------------------------------------
 DROPPED = r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>|<!--.*?-->"
-NAV = r"(?is)<nav\b[^>]*>(.*?)</nav>"
-BLOCK_TAG = (
-    r"(?i)<(h[1-6]|p|li|td|footer)(?:\s[^>]*)?>"
-    r"([^<]*(?:</?(?:a|b|i|u|br|em|strong|sup|sub|mark)\b[^>]*>[^<]*)*)"
+# A block runs to its own closing tag or to where the next block begins, whatever is inside.
+OPENED = "h[1-6]|p|li|tr|nav|footer"
+BLOCK = (
+    rf"(?is)<({OPENED})(?:\s[^>]*)?>"
+    rf"(.*?)(?=</?(?:{OPENED}|ul|ol|table)(?:\s[^>]*)?>|\z)"
 )
-KINDS = {"p": "text", "li": "list_item", "td": "table", "footer": "page_footer", "nav": "page_header"}
+CELL = r"(?i)</t[dh]\s*>\s*(?:<t[dh](?:\s[^>]*)?>)?|<t[dh](?:\s[^>]*)?>"
+KINDS = {"p": "text", "li": "list_item", "tr": "table", "footer": "page_footer", "nav": "page_header"}
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 # --- end of fixed values ---------------------------------------------------------------------
 
@@ -29,36 +32,37 @@ def plain_text(markup: Column) -> Column:
 
 
 def html_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row for each block: ``(…, pos, kind, text, md_level)``; unknown tags and empty text drop."""
+    """One row for each block in page order: ``(…, pos, kind, text, md_level)``.
+
+    A table row is one block, its cells between bars. Empty blocks and text outside of blocks drop.
+    """
     kept = [c for c in pages.columns if c != html]
     body = F.regexp_replace(html, DROPPED, "")
-    navs = F.transform(
-        F.regexp_extract_all(body, F.lit(NAV), F.lit(1)),
-        lambda t: F.struct(F.lit("nav").alias("tag"), F.regexp_replace(t, "<[^>]*>", " ").alias("text")),
-    )
-    rest = F.regexp_replace(body, NAV, "")
-    others = F.zip_with(
-        F.regexp_extract_all(rest, F.lit(BLOCK_TAG), F.lit(1)),
-        F.regexp_extract_all(rest, F.lit(BLOCK_TAG), F.lit(2)),
+    found = F.zip_with(
+        F.regexp_extract_all(body, F.lit(BLOCK), F.lit(1)),
+        F.regexp_extract_all(body, F.lit(BLOCK), F.lit(2)),
         lambda tag, text: F.struct(F.lower(tag).alias("tag"), text.alias("text")),
     )
-    rows = pages.select(*kept, F.posexplode(F.concat(navs, others)).alias("pos", "_b"))
-    tag = F.col("_b.tag")
+    rows = pages.select(*kept, F.posexplode(found).alias("pos", "_b"))
+    tag, inner = F.col("_b.tag"), F.col("_b.text")
     heading = tag.rlike("^h[1-6]$")
     kind = F.when(heading, "heading")
     for name, to in KINDS.items():
         kind = kind.when(tag == name, to)
+    text = plain_text(F.when(tag == "tr", F.regexp_replace(inner, CELL, " | ")).otherwise(inner))
     return rows.select(
-        *kept, "pos", kind.alias("kind"), plain_text(F.col("_b.text")).alias("text"),
+        *kept, "pos", kind.alias("kind"), text.alias("text"),
         F.when(heading, F.substring(tag, 2, 1).cast("int")).otherwise(0).alias("md_level"),
-    ).where("text != '' and kind is not null")
+    ).where(~F.col("text").rlike("^[| ]*$"))
 
 
 def outline_paths(entries: DataFrame, pages: DataFrame, width: int = 256) -> DataFrame:
     """``entries(doc_id, n, level, title, page)`` to the outline path active on each page.
 
-    An entry keeps what is above its level and replaces the rest. A title of level k is on the
-    path as long as no later entry of that level or above has come.
+    An entry of level L cuts the path to its first L - 1 titles and is put behind them, so it
+    comes to depth ``min(L, depth before + 1)``: a level that was skipped leaves no gap, and what
+    stands at a place above stays. The depth after t entries is t less the running maximum of
+    (s - L of entry s); the title at each depth is the last one that came to it.
     """
     clean = F.trim(F.regexp_replace("title", r"(?U)\s+", " "))
     named = entries.where((clean != "") & ~F.col("title").startswith("_Hlk"))
@@ -68,20 +72,20 @@ def outline_paths(entries: DataFrame, pages: DataFrame, width: int = 256) -> Dat
         F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("title"),
     )
     rows = marks.withColumn("n", F.col("n").cast("long")).unionByName(asked)
-    at = F.struct("page", "_kind", "n")
-    levels = range(1, 7)
-    scans = {
-        f"l{k}": ("fill", F.when(F.col("level") == k, F.struct(at.alias("at"), F.col("title"))))
-        for k in levels
+    along = (["doc_id"], F.floor(F.col("page") / width), ["page", "_kind", "n"])
+    counted = block_scan(rows, *along, t=("sum", 1 - F.col("_kind")))
+    sunk = F.when(F.col("_kind") == 0, F.col("t") - F.greatest("level", F.lit(1)))
+    deep = block_scan(counted, *along, _sunk=("max", sunk)).withColumn(
+        "depth", (F.col("t") - F.greatest(F.coalesce("_sunk", F.lit(0)), F.lit(0))).cast("int")
+    )
+    deep = written(deep.drop("t", "_sunk"), "outline-depths")
+    most = deep.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    here = {
+        f"l{k}": ("fill", F.when((F.col("_kind") == 0) & (F.col("depth") == k), F.col("title")))
+        for k in range(1, most + 1)
     }
-    placed = block_scan(rows, ["doc_id"], F.floor(F.col("page") / width), ["page", "_kind", "n"], **scans)
-    parts = []
-    for k in levels:
-        later = F.lit(False)
-        for above in range(1, k):
-            later = later | F.coalesce(F.col(f"l{above}.at") > F.col(f"l{k}.at"), F.lit(False))
-        parts.append(F.when(F.col(f"l{k}").isNotNull() & ~later, F.col(f"l{k}.title")))
-    path = F.filter(F.array(*parts), lambda t: t.isNotNull())
+    placed = block_scan(deep, *along, **here) if here else deep
+    path = F.slice(F.array(*(F.col(c) for c in here)).cast("array<string>"), F.lit(1), F.col("depth"))
     return placed.where("_kind = 1").select("doc_id", "page", path.alias("toc_path"))
 
 

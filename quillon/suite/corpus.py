@@ -267,21 +267,23 @@ def repeated_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return ST.repeated_paragraphs(line_blocks(spark, sf))
 
 
+# Pieces between block tags, each beginning with its tag; what follows a closing tag is no block.
 HTML = r"""
 body AS (SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS doc_id, page_id AS page,
     regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g') AS h FROM pages),
-rest AS (SELECT *, regexp_replace(h, '(?is)<nav\b[^>]*>(.*?)</nav>', '', 'g') AS r FROM body),
-found AS (SELECT doc_id, page, list_concat(
-    list_transform(regexp_extract_all(h, '(?is)<nav\b[^>]*>(.*?)</nav>', 1), lambda x: {'tag': 'nav', 'text': regexp_replace(x, '<[^>]*>', ' ', 'g')}),
-    list_transform(list_zip(regexp_extract_all(r, '{P}', 1), regexp_extract_all(r, '{P}', 2)), lambda z: {'tag': lower(z[1]), 'text': z[2]})) AS bs FROM rest),
-ex AS (SELECT doc_id, page, i - 1 AS pos, bs[i].tag AS tag, regexp_replace(regexp_replace(bs[i].text, '(?i)<br\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g') AS t
-  FROM found, unnest(range(1, len(bs) + 1)) u(i)),
-blocks AS (SELECT doc_id, page, pos, CASE tag WHEN 'p' THEN 'text' WHEN 'li' THEN 'list_item' WHEN 'td' THEN 'table' WHEN 'footer' THEN 'page_footer' WHEN 'nav' THEN 'page_header' ELSE 'heading' END AS kind,
+cut AS (SELECT doc_id, page, string_split(regexp_replace(h, '(?is)(</?(?:h[1-6]|p|li|tr|nav|footer|ul|ol|table)(?:\s[^>]*)?>)', chr(1) || '\1', 'g'), chr(1)) AS pieces FROM body),
+ps AS (SELECT doc_id, page, pieces[i] AS piece, i FROM cut, unnest(range(1, len(pieces) + 1)) u(i)),
+opened AS (SELECT doc_id, page, i, lower(regexp_extract(piece, '(?is)^<(h[1-6]|p|li|tr|nav|footer)(?:\s[^>]*)?>', 1)) AS tag,
+    regexp_replace(piece, '(?is)^<[^>]*>', '') AS inner_text FROM ps),
+ex AS (SELECT doc_id, page, tag, row_number() OVER (PARTITION BY page ORDER BY i) - 1 AS pos,
+    regexp_replace(regexp_replace(CASE WHEN tag = 'tr' THEN regexp_replace(inner_text, '(?i)</t[dh]\s*>\s*(?:<t[dh](?:\s[^>]*)?>)?|<t[dh](?:\s[^>]*)?>', ' | ', 'g') ELSE inner_text END,
+      '(?i)<br\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM opened WHERE tag <> ''),
+blocks AS (SELECT doc_id, page, pos, CASE tag WHEN 'p' THEN 'text' WHEN 'li' THEN 'list_item' WHEN 'tr' THEN 'table' WHEN 'footer' THEN 'page_footer' WHEN 'nav' THEN 'page_header' ELSE 'heading' END AS kind,
     trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text,
-    CASE WHEN tag LIKE 'h_' THEN substring(tag, 2, 1)::INT ELSE 0 END AS md_level FROM ex)""".replace("{P}", B.BLOCK_TAG)
+    CASE WHEN tag LIKE 'h_' THEN substring(tag, 2, 1)::INT ELSE 0 END AS md_level FROM ex)"""
 
 
-@register("page_blocks", "S2 S3", f"WITH {HTML} SELECT * FROM blocks WHERE text <> ''")
+@register("page_blocks", "S2 S3", f"WITH {HTML} SELECT * FROM blocks WHERE NOT regexp_matches(text, '^[| ]*$')")
 def html_page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return page_blocks(spark, sf)
 
@@ -305,18 +307,20 @@ def kept_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "outline_paths", "S4",
-    """WITH e AS (SELECT url AS u, regexp_extract(url, '^https?://([^/]*)', 1) AS doc_id, page_id AS page, page_id % 3 + 1 AS level, 'Title ' || page_id AS title FROM pages WHERE page_id % 4 > 0),
+    """WITH RECURSIVE e AS (SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS doc_id, page_id AS page, page_id * 5 % 8 + 1 AS level, 'Title ' || page_id AS title,
+      row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]*)', 1) ORDER BY page_id) AS i FROM pages WHERE page_id % 4 > 0),
+    walk AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS stack FROM e
+      UNION ALL SELECT w.doc_id, e.i, list_append(w.stack[1:e.level - 1], e.title) FROM walk w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i + 1),
     p AS (SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS doc_id, page_id AS page FROM pages),
-    l AS (SELECT p.doc_id, p.page, e.level, max(e.page) AS at FROM p JOIN e ON e.doc_id = p.doc_id AND e.page <= p.page GROUP BY 1, 2, 3),
-    k AS (SELECT * FROM l a WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.doc_id = a.doc_id AND b.page = a.page AND b.level < a.level AND b.at > a.at))
-    SELECT p.doc_id, p.page, coalesce(string_agg('Title ' || k.at, ' > ' ORDER BY level), '') AS path FROM p LEFT JOIN k USING (doc_id, page) GROUP BY 1, 2""",
+    seen AS (SELECT p.doc_id, p.page, count(e.i) AS i FROM p LEFT JOIN e ON e.doc_id = p.doc_id AND e.page <= p.page GROUP BY 1, 2)
+    SELECT seen.doc_id, seen.page, coalesce(array_to_string(stack, ' > '), '') AS path FROM seen LEFT JOIN walk USING (doc_id, i)""",
 )
 def outline_paths(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select(
         F.regexp_extract("url", "^https?://([^/]*)", 1).alias("doc_id"), F.col("page_id").alias("page")
     )
     entries = p.where("page % 4 > 0").select(
-        "doc_id", F.col("page").alias("n"), (F.col("page") % 3 + 1).cast("int").alias("level"),
+        "doc_id", F.col("page").alias("n"), (F.col("page") * 5 % 8 + 1).cast("int").alias("level"),
         F.concat(F.lit("Title "), "page").alias("title"), "page",
     )
     return B.outline_paths(entries, p).select("doc_id", "page", F.array_join("toc_path", " > ").alias("path"))

@@ -176,7 +176,51 @@ def test_index_sync_and_guards(spark):
 
 
 def test_sentences_of_a_stream():
-    done, rest = next_sentences("Dr. Smith took 3.5 mg today. Okay. He then left, e.g. home. Fine")
-    assert done == ["Dr. Smith took 3.5 mg today.", "Okay. He then left, e.g. home."] and rest == "Fine"
+    done, rest = next_sentences("Prof. Okoro measured 7.25 litres again. Right. They walked to St. Ives afterwards. Later")
+    assert done == ["Prof. Okoro measured 7.25 litres again.", "Right. They walked to St. Ives afterwards."] and rest == "Later"
 
 
+
+
+def test_a_second_checkpoint_sends_nothing_again(spark, tmp_path):
+    """The same asks, run twice with checkpoints of their own, and a batch that is run again."""
+    from quillon.streaming.ledger import claim_batch
+
+    asks = spark.createDataFrame([("k1", "send"), ("k2", "send")], "dedupe_key string, decision string")
+    ledger = f"{tmp_path}/ledger"
+    claim_batch(ledger, "first")(asks, 0)
+    claim_batch(ledger, "first")(asks, 0)
+    assert spark.read.parquet(ledger).count() == 2
+    more = asks.unionByName(spark.createDataFrame([("k3", "send")], asks.schema))
+    claim_batch(ledger, "second")(more, 0)
+    claims = [(r.stream, r.dedupe_key) for r in spark.read.parquet(ledger).collect()]
+    assert sorted(claims) == [("first", "k1"), ("first", "k2"), ("second", "k3")]
+
+
+def test_outline_keeps_what_stands_above(spark):
+    from quillon.sources.blocks import outline_paths
+
+    levels = [3, 2, 8, 8, 1, 4, 2, 3, 4, 5, 6, 7, 8, 9, 2]
+    rows = [("d", i, level, f"T{i}", i * 2) for i, level in enumerate(levels)]
+    entries = spark.createDataFrame(rows, "doc_id string, n int, level int, title string, page int")
+    pages = spark.range(0, 31).selectExpr("'d' as doc_id", "cast(id as int) as page")
+    got = {r.page: r.toc_path for r in outline_paths(entries, pages, width=4).collect()}
+    stack: list[str] = []
+    for i, level in enumerate(levels):
+        stack = [*stack[: level - 1], f"T{i}"]
+        assert got[2 * i] == got[2 * i + 1] == stack
+
+
+def test_blocks_hold_what_inline_tags_hold(spark):
+    from quillon.sources.blocks import html_blocks
+
+    html = (
+        "<h2>Head <span>two</span></h2><p>one <span>two</span> three<p>next<br>line</p>loose"
+        "<nav><ul><li><a href='x'>a</a></li></ul></nav><table><tr><th>H</th><td>1</td></tr></table>"
+    )
+    rows = html_blocks(spark.createDataFrame([(1, html)], "page int, html string"))
+    got = [(r.kind, r.text, r.md_level) for r in rows.orderBy("pos").collect()]
+    assert got == [
+        ("heading", "Head two", 2), ("text", "one two three", 0), ("text", "next line", 0),
+        ("list_item", "a", 0), ("table", "| H | 1 |", 0),
+    ]
