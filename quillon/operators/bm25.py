@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.ids import indexed_text
 from quillon.operators.filters import FILTER_COLUMNS, passes
-from quillon.scale import join_small
+from quillon.scale import BROADCAST_BYTES, measured_bytes
 from quillon.session import written
 
 # --- fixed values: scoring parameters, token pattern and stop words --------------------------
@@ -45,7 +45,8 @@ def terms(text: Column, stem: Stemmer = suffix_stem) -> Column:
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """``postings(chunk_id, term, tf, length, <filter columns>)``, ``df(term, df)`` and totals.
+    """``postings(chunk_id, length, terms array<struct<term, tf>>, <filter columns>)``, one row for
+    each chunk, ``df(term, df)`` and totals.
 
     Statistics cover every retrievable chunk, so a query's filter never changes a score.
     """
@@ -61,8 +62,8 @@ def build_index(
 ) -> Bm25Index:
     """Index the retrievable rows of ``chunks(chunk_id, text, ...)``.
 
-    Rows are laid out by chunk, so all terms of a chunk sit together: scoring a chunk is then
-    a local sum, whichever terms are frequent.
+    A row holds all terms of a chunk: scoring it is a sum over that row, whichever terms are
+    frequent.
     """
     kept = [c for c in FILTER_COLUMNS if c in chunks.columns]
     source = chunks.where("retrievable") if "retrievable" in chunks.columns else chunks
@@ -79,17 +80,23 @@ def build_index(
         .groupBy(*own, "_word")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    postings = (
-        words.groupBy(*own, stem(F.col("_word")).alias("term"))
-        .agg(F.sum("tf").cast("int").alias("tf"))
-        .withColumn("length", F.sum("tf").over(Window.partitionBy("chunk_id")))
+    counted = words.groupBy(*own, stem(F.col("_word")).alias("term")).agg(
+        F.sum("tf").cast("int").alias("tf")
+    )
+    postings = counted.groupBy(*own).agg(
+        F.sum("tf").alias("length"), F.collect_list(F.struct("term", "tf")).alias("terms")
     )
     postings = written(postings, "postings")
     total = source.count()
-    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    words = postings.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     if total == 0:
         raise ValueError("an index needs at least one retrievable chunk")
-    df = written(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    df = written(
+        postings.select(F.explode("terms.term").alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df")),
+        "df",
+    )
     return Bm25Index(postings, df, total, max(words / total, 1e-9))
 
 
@@ -138,13 +145,25 @@ def search(
             F.lit(0.0).alias("bm25_score"),
             F.lit(0).alias("bm25_rank"),
         ).where("false")
-    wanted = query_terms(queries, text, stem).join(index.df, "term")
-    pairs = join_small(index.postings, wanted, ["term"], ["chunk_id"])
-    pairs = pairs.where(passes(pairs.columns))
-    scored = (
-        pairs.withColumn("_w", weight(index) * F.col("times"))
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum("_w").alias("bm25_score"))
-        .where("bm25_score > 0")
-    )
-    return top_k(scored, k, "bm25_score", "bm25_rank")
+    wanted = written(query_terms(queries, text, stem).join(index.df, "term"), "wanted")
+    # Questions come to the chunks, in blocks of a checked size; a chunk's rows never leave its
+    # partition before they are down to the k best of each question.
+    blocks = -(-measured_bytes(wanted) // BROADCAST_BYTES) or 1
+    partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.postings.repartition(partitions, "chunk_id")
+    own = [c for c in placed.columns if c != "terms"]
+    rows = placed.select(*own, F.inline("terms"))
+    hits = None
+    for block in range(blocks):
+        some = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        pairs = rows.join(F.broadcast(some), "term")
+        pairs = pairs.where(passes(pairs.columns))
+        scored = (
+            pairs.withColumn("_w", weight(index) * F.col("times"))
+            .groupBy("query_id", "chunk_id")
+            .agg(F.sum("_w").alias("bm25_score"))
+            .where("bm25_score > 0")
+        )
+        best = top_k(scored, k, "bm25_score", "bm25_rank")
+        hits = best if hits is None else hits.unionByName(best)
+    return hits
