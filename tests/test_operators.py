@@ -15,10 +15,10 @@ from quillon.sources.catalogue import CATALOGUE
 from quillon.streaming.calls import next_sentences
 
 NAMES = [
-    "Dolo 650 Tablet", "Dolo 500 Tablet", "Glycomet 500 Tablet", "Glycomet 250 Tablet", "Glycomet 500 SR Tablet",
-    "Crocin Advance Tablet", "Ecosprin 75 Tablet", "Ecosprin 150 Tablet", "Pan D Capsule", "Pan 40 Tablet",
-    "A Pan 40 Tablet", "Ascoril LS Syrup", "Ascoril LS Drops", "Ascoril C Syrup", "Selca 500 Tablet",
-    "Atorva 20 Tablet", "Atorva 40 Tablet", "Atorva Tablet", "Brax Clav 500",
+    "Febra 650 Tablet", "Febra 500 Tablet", "Sukrenil 500 Tablet", "Sukrenil 250 Tablet", "Sukrenil 500 SR Tablet",
+    "Talvexin Extra Tablet", "Hemosalin 75 Tablet", "Hemosalin 150 Tablet", "Ruv D Capsule", "Ruv 40 Tablet",
+    "A Ruv 40 Tablet", "Bronquil LS Syrup", "Bronquil LS Drops", "Bronquil C Syrup", "Ossivan 500 Tablet",
+    "Lipenda 20 Tablet", "Lipenda 40 Tablet", "Lipenda Tablet", "Mox Ferin 500",
 ]
 
 
@@ -30,25 +30,25 @@ def names(spark):
 
 def test_decisions(spark, names):
     want = {
-        "dolo 650": ("exact", "Dolo 650 Tablet"),
-        "glycomet": ("several", "Glycomet"),
-        "glycomate 500": ("close", "Glycomet 500 Tablet"),
-        "shelcal 500": ("unknown", None),
-        "krosin advance": ("close", "Crocin Advance Tablet"),
-        "eco sprin 75": ("exact", "Ecosprin 75 Tablet"),
-        "ascoril syrup": ("several", "Ascoril"),
-        "atorva 10": ("several", "Atorva 10"),
-        "braxclav 500": ("exact", "Brax Clav 500"),
+        "febra 650": ("exact", "Febra 650 Tablet"),
+        "sukrenil": ("several", "Sukrenil"),
+        "sukrenile 500": ("close", "Sukrenil 500 Tablet"),
+        "oshelvan 500": ("unknown", None),
+        "talveksin extra": ("close", "Talvexin Extra Tablet"),
+        "hemo salin 75": ("exact", "Hemosalin 75 Tablet"),
+        "bronquil syrup": ("several", "Bronquil"),
+        "lipenda 10": ("several", "Lipenda 10"),
+        "moxferin 500": ("exact", "Mox Ferin 500"),
         "500": ("unknown", None),
     }
     asked = lookup.tidy_heard(spark.createDataFrame(list(enumerate(want)), "query_id long, heard string"))
     got = {r.heard: r for r in lookup.decide(asked, lookup.name_candidates(names, asked)).collect()}
     assert {h: (r.status, r.name) for h, r in got.items()} == want
-    assert got["ascoril syrup"].choices == ["Ascoril LS Syrup", "Ascoril C Syrup"]
+    assert got["bronquil syrup"].choices == ["Bronquil LS Syrup", "Bronquil C Syrup"]
 
 
 def test_common_features_do_not_change_the_search(spark, names):
-    asked = spark.createDataFrame([(1, "pan 40 tablet"), (2, "tablet"), (3, "zzz")], "query_id long, heard string")
+    asked = spark.createDataFrame([(1, "ruv 40 tablet"), (2, "tablet"), (3, "zzz")], "query_id long, heard string")
     rows = lambda limit: sorted(
         (r.query_id, r.rank, r.id, round(r.score, 6)) for r in lookup.search_names(names, asked, 5, common=limit).collect()
     )
