@@ -11,7 +11,8 @@ from quillon.session import local_session
 from quillon.suite import REGISTRY
 
 HEADLINE = [
-    "bm25_search", "dense_search", "hybrid_search",
+    "bm25_search", "dense_search", "hybrid_search", "guideline_search", "passage_retrieval_metrics",
+    "chunk_labels", "document_chunks", "compressed_passages", "name_decisions",
     "catalogue_merge", "name_search", "sections_markdown", "page_blocks",
     "due_reminders", "low_stock", "call_utterances", "call_snapshots", "latency_summary",
     "idle_sessions", "index_changes",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +21,22 @@ RUNTIME_CONF = {
 }
 
 
+PACKAGE = Path(__file__).resolve().parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors of a cluster that doesn't have it installed."""
+    folder = tempfile.mkdtemp(prefix="quillon-package-")
+    archive = shutil.make_archive(f"{folder}/quillon", "zip", PACKAGE.parent, PACKAGE.name)
+    spark.sparkContext.addPyFile(archive)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks. Clusters bring their own."""
+    # Python workers start with the environment of the session, whatever the working folder is.
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if str(PACKAGE.parent) not in known:
+        os.environ["PYTHONPATH"] = os.pathsep.join([str(PACKAGE.parent), *filter(None, known)])
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("quillon")
