@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.bm25 import TOKEN
-from quillon.scale import fits_broadcast, join_small
+from quillon.scale import join_small, measured_bytes
 
 KS = (1, 3, 5, 10, 20)
 NDCG_KS = (5, 10)
 TOO_BROAD = 40
+# Bytes of passages that are put into a plan at once.
+IN_PLAN = 1 << 20
 
 
 def criterion(
@@ -80,16 +82,15 @@ def containing_chunks(chunks: DataFrame, passages: DataFrame) -> DataFrame:
         "query_id", F.col("text").alias("_text")
     )
     found = verified.select("query_id", "chunk_id")
-    if not wordless.isEmpty():
-        if not fits_broadcast(wordless):
-            raise ValueError("too many passages without an inner word to compare one by one")
-        every = wordless.agg(F.collect_list(F.struct("query_id", "_text")).alias("_all"))
-        rest = (
-            chunks.join(F.broadcast(every))
-            .withColumn("_m", F.explode(F.filter("_all", lambda p: F.contains(F.col("text"), p["_text"]))))
-            .select(F.col("_m.query_id").alias("query_id"), "chunk_id")
-        )
-        found = found.unionByName(rest)
+    # Passages without an inner word are few; they come to the chunks in blocks of a checked size.
+    blocks = -(-measured_bytes(wordless) // IN_PLAN)
+    for block in range(blocks):
+        some = wordless.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        listed = [F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r._text).alias("_text")) for r in some.collect()]
+        if listed:
+            held = F.filter(F.array(*listed), lambda p: F.contains(F.col("text"), p["_text"]))
+            rest = chunks.select("chunk_id", F.explode(held).alias("_m"))
+            found = found.unionByName(rest.select(F.col("_m.query_id").alias("query_id"), "chunk_id"))
     return found
 
 

@@ -163,12 +163,7 @@ def sentence_stream(pieces: DataFrame) -> DataFrame:
     )
 
 
-VERDICT = T.StructType(
-    [
-        T.StructField("key", T.LongType()), T.StructField("event_id", T.LongType()),
-        T.StructField("allowed", T.BooleanType()),
-    ]
-)
+VERDICT = ("key", "event_id", "allowed")
 
 
 class RateLimit(StatefulProcessor):
@@ -195,12 +190,12 @@ class RateLimit(StatefulProcessor):
         if held:
             self.hits.put([(h,) for h in held])
             self.handle.registerTimer(int((held[-1] + self.seconds) * 1000) + 1)
-        yield pd.DataFrame(out, columns=VERDICT.names)
+        yield pd.DataFrame(out, columns=VERDICT)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """All recorded hits are older than the window: the key is forgotten."""
         self.hits.clear()
-        yield pd.DataFrame([], columns=VERDICT.names)
+        yield pd.DataFrame([], columns=VERDICT)
 
     def close(self) -> None:
         pass
@@ -214,10 +209,13 @@ def rate_limit_stream(
     prepare(hits.sparkSession)
     processor = RateLimit()
     processor.most, processor.seconds = most, seconds
+    verdict = T.StructType(
+        [hits.schema["key"], hits.schema["event_id"], T.StructField("allowed", T.BooleanType())]
+    )
     return (
         hits.withWatermark("ts", delay)
         .groupBy("key")
-        .transformWithStateInPandas(processor, VERDICT, outputMode="append", timeMode="EventTime")
+        .transformWithStateInPandas(processor, verdict, outputMode="append", timeMode="EventTime")
     )
 
 
@@ -246,6 +244,11 @@ def idle_sessions(events: DataFrame, gap: str = "900 seconds", delay: str = "10
     )
 
 
-def single_use(claims: DataFrame, lifetime: str = "1 hour") -> DataFrame:
-    """The first claim of a token until it expires."""
-    return claims.withWatermark("ts", lifetime).dropDuplicatesWithinWatermark(["token"])
+def single_use(claims: DataFrame, lifetime: float = 3600.0, delay: str = "10 minutes") -> DataFrame:
+    """``claims(token, event_id, ts)`` to (key, event_id, allowed): a token is claimed once until it
+    expires ``lifetime`` seconds after the claim; then it may be claimed again.
+
+    That is a rate limit of one for each token."""
+    return rate_limit_stream(
+        claims.withColumnRenamed("token", "key"), most=1, seconds=lifetime, delay=delay
+    )

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import sentences, split_units
+from quillon.operators import bm25
 from quillon.operators.compress import compress
-from quillon.session import shared_dir
+from quillon.session import shared_dir, written
 from quillon.streaming import calls as S
 from quillon.streaming.ledger import claim_batch
 from quillon.suite.base import register, table
 from quillon.suite.calls import EVENTS, LATENCY, SESSIONS, UTTERANCES, transcript
-from quillon.suite.retrieval import chunks
+from quillon.suite.retrieval import chunks, questions
 
 CLOSING = "timestamp'2100-01-01'"
 
@@ -79,22 +80,50 @@ def latency_window_stream(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@register("single_use_stream", "R9", f"WITH {EVENTS} SELECT DISTINCT text AS token FROM ev")
+HITS = """hits AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS i FROM ({SOURCE})),
+walk AS (
+  SELECT key, event_id, i, true AS allowed, [ts] AS held FROM hits WHERE i = 1
+  UNION ALL SELECT key, event_id, i, len(held) < {MOST}, CASE WHEN len(held) < {MOST} THEN list_append(held, ts) ELSE held END
+  FROM (SELECT h.key, h.event_id, h.i, h.ts, list_filter(w.held, lambda x: epoch_us(h.ts) - epoch_us(x) <= {SECONDS}000000) AS held
+    FROM walk w JOIN hits h ON h.key = w.key AND h.i = w.i + 1))"""
+
+
+def limited_sql(source: str, most: int, seconds: int) -> str:
+    """A walk along each key's hits that carries the accepted ones."""
+    walk = HITS.replace("{SOURCE}", source).replace("{MOST}", str(most)).replace("{SECONDS}", str(seconds))
+    return f"WITH RECURSIVE {walk} SELECT key, event_id, allowed FROM walk"
+
+
+TOKENS = "SELECT event_type || json_extract_string(props, '$.k') AS key, event_id, ts FROM events"
+
+
+@register("single_use_stream", "R9", limited_sql(TOKENS, 1, 5 * 86400))
 def single_use_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens live longer than the events last, so each is claimed once."""
+    """A token lives for five days; the events last longer, so tokens are claimed again."""
     events = event_stream(spark, sf, ["call_id", "event_id", "ts", "text"]).where("call_id >= 0")
-    out = finished(S.single_use(events.withColumnRenamed("text", "token"), "3650 days"), "tokens")
-    return out.select("token")
+    return finished(S.single_use(events.withColumnRenamed("text", "token"), 5 * 86400.0), "tokens")
 
 
-@register("rate_limit_stream", "R8")
+@register("rate_limit_stream", "R8", limited_sql("SELECT user_id AS key, event_id, ts FROM events", 3, 86400))
 def rate_limit_stream(spark: SparkSession, sf: str) -> DataFrame:
     events = event_stream(spark, sf, ["call_id", "event_id", "ts"]).where("call_id >= 0")
     hits = events.withColumnRenamed("call_id", "key")
     return finished(S.rate_limit_stream(hits, most=3, seconds=86400.0), "verdicts")
 
 
-@register("sentence_stream", "R3")
+# Whole replies are read from the left: each step takes the text to the next closing mark.
+SENTENCE_WALK = r"""WITH RECURSIVE replies AS (SELECT conv_id * 1000 + turn AS reply_id, text FROM conversations WHERE role = 'assistant'),
+walk AS (
+  SELECT reply_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS sentence, '' AS pending, text AS rest FROM replies
+  UNION ALL SELECT reply_id, i + 1, CASE WHEN closed THEN candidate END, CASE WHEN closed THEN '' ELSE pending || taken END, substring(rest, length(taken) + 1)
+  FROM (SELECT *, length(candidate) >= 12 AND NOT regexp_matches(candidate, '(?i)(?:^|\s)[("'']*(?:dr|mr|mrs|ms|prof|st|vs|etc|e\.g|i\.e|approx)\.$') AS closed
+    FROM (SELECT *, trim(pending || regexp_extract(rest, '(?s)^(.*?[.!?]+["'')\]]*)\s+', 1)) AS candidate, regexp_extract(rest, '(?s)^(.*?[.!?]+["'')\]]*)\s+') AS taken
+      FROM walk) WHERE taken <> '')),
+ends AS (SELECT reply_id, trim(arg_max(pending || rest, i)) AS sentence FROM walk GROUP BY 1)
+SELECT reply_id, sentence FROM walk WHERE sentence IS NOT NULL UNION ALL SELECT reply_id, sentence FROM ends WHERE sentence <> ''"""
+
+
+@register("sentence_stream", "R3", SENTENCE_WALK)
 def sentence_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Replies arrive in two pieces each."""
     folder = _folder(spark, "replies")
@@ -130,12 +159,14 @@ def send_once_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("compressed_passages", "B5 H6")
 def compressed_passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document compressed for the first words of its source's name."""
-    c = chunks(spark, sf).where("retrievable")
-    asked = c.select(
-        F.col("document_id").alias("query_id"), "chunk_id", F.substring("text", 1, 60).alias("query_text"), "text"
+    """The five best passages of every benchmark question, compressed for it."""
+    c = written(chunks(spark, sf), "chunks")
+    asked = questions(spark, sf).select("query_id", "text")
+    hits = bm25.search(bm25.build_index(c), asked, 5).select("query_id", "chunk_id")
+    texts = hits.join(c.select("chunk_id", "text"), "chunk_id").join(
+        asked.withColumnRenamed("text", "query_text"), "query_id"
     )
-    return compress(asked, 60).select("query_id", "chunk_id", "original_tokens", "kept_tokens", "kept_units", "total_units")
+    return compress(texts, 60).select("query_id", "chunk_id", "original_tokens", "kept_tokens", "kept_units", "total_units")
 
 
 @register("text_units", "H5 H6 F1")
