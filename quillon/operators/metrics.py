@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.bm25 import TOKEN
+from quillon.operators.stats import auroc
 from quillon.scale import join_small, measured_bytes
 
 KS = (1, 3, 5, 10, 20)
@@ -160,6 +161,53 @@ def top_score() -> Column:
     return F.coalesce("reranker_score", "dense_score", "bm25_score", "rrf_score")
 
 
+def abstention_signal(scored: DataFrame, keys: tuple[str, ...] = ("system",)) -> DataFrame:
+    """Does the top score tell what can be answered? ``scored`` has ``expected`` and ``top_score``.
+
+    Counts of the questions with a score by what they expect, and the AUROC of answerable
+    questions against those to abstain from, and against those and the unclear ones together.
+    """
+    known = scored.where("top_score is not null").withColumn("_s", F.round("top_score", 9))
+    answer = F.col("expected") == "answer"
+    counts = known.groupBy(*keys).agg(
+        *[
+            F.count(F.when(F.col("expected") == e, 1)).alias(f"n_{e}")
+            for e in ("answer", "abstain", "clarify")
+        ]
+    )
+    out = counts
+    for name, others in (("abstain", ["abstain"]), ("both", ["abstain", "clarify"])):
+        some = known.where(answer | F.col("expected").isin(others)).select(
+            *keys, "_s", answer.alias("_pos")
+        )
+        found = auroc(some, keys, "_s", "_pos").select(
+            *keys, F.round("auroc", 6).alias(f"auroc_{name}")
+        )
+        out = out.join(found, list(keys), "left")
+    return out
+
+
+def system_gains(
+    per_question: DataFrame, pairs: list[tuple[str, str]], names: tuple[str, ...]
+) -> DataFrame:
+    """(base, other, n, gain_<metric>): mean gain of ``other`` over ``base`` on the answerable
+    questions both were asked. One shuffle by question, whatever the number of pairs."""
+    both = F.array(*[F.struct(F.lit(a).alias("base"), F.lit(b).alias("other")) for a, b in pairs])
+    rows = per_question.where("expected = 'answer'").select(
+        "query_id", "system", *names, F.explode(both).alias("_p")
+    ).where((F.col("system") == F.col("_p.base")) | (F.col("system") == F.col("_p.other")))
+    sides = rows.groupBy("query_id", "_p").agg(
+        F.count(F.lit(1)).alias("_sides"),
+        *[
+            F.sum(F.when(F.col("system") == F.col("_p.other"), F.col(m)).otherwise(-F.col(m))).alias(m)
+            for m in names
+        ],
+    )
+    return sides.where("_sides = 2").groupBy("_p.base", "_p.other").agg(
+        F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 6).alias(f"gain_{m}") for m in names]
+    )
+
+
 def validate_gold(matches: DataFrame, units: DataFrame) -> DataFrame:
     """Gold units that match nothing (error) or far too much (warning)."""
     counted = units.join(

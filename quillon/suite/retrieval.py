@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from quillon.plans import evaluation
 from quillon.plans.retrieval import (
     Corpus, evidence_columns, guideline_search, hybrid_search, prepare, with_vectors,
 )
-from quillon.session import written
+from quillon.session import shared_dir, written
+from quillon.sources import evalset
+from quillon.sources.reports import write_lines
 from quillon.suite.base import register, table
 
 # --- the tables as a retrieval corpus ---------------------------------------------------------
@@ -467,21 +471,69 @@ def misses_at_five(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def auroc_sql(others: str) -> str:
+    return f"""(SELECT round(avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END), 6)
+      FROM tops a JOIN tops b USING (system) WHERE a.system = t.system AND a.expected = 'answer' AND b.expected IN ({others}))"""
+
+
 @register(
     "abstention_signal", "A9 A10",
-    f"""{SYSTEMS}, tops AS (SELECT p.system, p.expected = 'answer' AS pos, round(r.top, 9) AS s FROM per_q p
+    f"""{SYSTEMS}, tops AS (SELECT p.system, CASE WHEN p.expected = 'abstain' AND p.query_id % 2 = 1 THEN 'clarify' ELSE p.expected END AS expected, round(r.top, 9) AS s FROM per_q p
       JOIN runs r ON r.system = p.system AND r.query_id = p.query_id AND r.rank = 1)
-    SELECT a.system, count(DISTINCT a.i) AS n_pos, count(DISTINCT b.i) AS n_neg,
-      round(avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END), 6) AS auroc
-    FROM (SELECT *, row_number() OVER () AS i FROM tops WHERE pos) a
-    JOIN (SELECT *, row_number() OVER () AS i FROM tops WHERE NOT pos) b ON a.system = b.system GROUP BY 1""",
+    SELECT system, count(*) FILTER (expected = 'answer') AS n_answer, count(*) FILTER (expected = 'abstain') AS n_abstain, count(*) FILTER (expected = 'clarify') AS n_clarify,
+      {auroc_sql("'abstain'")} AS auroc_abstain, {auroc_sql("'abstain', 'clarify'")} AS auroc_both FROM tops t GROUP BY 1""",
 )
 def abstention_signal(spark: SparkSession, sf: str) -> DataFrame:
-    scored = evaluated(spark, sf).where("top_score is not null").select(
-        "system", F.round("top_score", 9).alias("s"), (F.col("expected") == "answer").alias("pos")
+    """Questions without gold are to be abstained from; every second of them counts as unclear."""
+    rows = evaluated(spark, sf).withColumn(
+        "expected",
+        F.when((F.col("expected") == "abstain") & (F.col("query_id") % 2 == 1), "clarify").otherwise(F.col("expected")),
+    )
+    return metrics.abstention_signal(written(rows.select("system", "expected", "top_score"), "tops"))
+
+
+GAINS = [
+    ("vector", "hybrid"), ("bm25", "hybrid"), ("vector+rerank", "hybrid+rerank"),
+    ("hybrid+rerank", "hybrid+rerank+pop"), ("hybrid+rerank+pop", "hybrid+rerank+pop+topic"),
+]
+
+
+@register(
+    "system_gains", "E3",
+    f"""{SYSTEMS} SELECT a.system AS base, b.system AS other, count(*) AS n, round(avg(b.hit_5 - a.hit_5), 6) AS gain_hit_5,
+      round(avg(b.rr - a.rr), 6) AS gain_rr, round(avg(b.ndcg_10 - a.ndcg_10), 6) AS gain_ndcg_10
+    FROM per_q a JOIN per_q b USING (query_id) WHERE a.expected = 'answer' AND (a.system, b.system) IN ({", ".join(str(p) for p in GAINS)}) GROUP BY 1, 2""",
+)
+def system_gains(spark: SparkSession, sf: str) -> DataFrame:
+    """What keyword search adds to vectors, and what each filter adds or costs."""
+    return metrics.system_gains(evaluated(spark, sf), GAINS, ("hit_5", "rr", "ndcg_10"))
+
+
+@register(
+    "question_set_problems", "S11",
+    """WITH q AS (SELECT 'q' || item_id % 37 AS query_id, ['answer', 'clarify', 'abstain', 'shrug', 'answer'][item_id % 5 + 1] AS expected, item_id % 3 AS gold FROM benchmark)
+    SELECT DISTINCT query_id, problem FROM (
+      SELECT query_id, 'expects something unknown' AS problem FROM q WHERE expected = 'shrug'
+      UNION ALL SELECT query_id, 'answerable without evidence' FROM q WHERE expected = 'answer' AND gold = 0
+      UNION ALL SELECT query_id, 'evidence without an answer' FROM q WHERE expected <> 'answer' AND gold > 0
+      UNION ALL SELECT query_id, 'id used twice' FROM q GROUP BY 1 HAVING count(*) > 1
+      UNION ALL SELECT query_id, 'evidence names a document only' FROM q WHERE gold = 2)""",
+)
+def question_set_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items written as a question set, with faults put in, and read again."""
+    b, k = table(spark, sf, "benchmark"), F.col("item_id")
+    unit = F.struct(
+        F.array(F.concat(F.lit("src"), k % 20)).alias("document_ids"),
+        F.when(k % 3 == 1, F.array("text")).alias("must"),
+    )
+    expected = F.element_at(F.array(*[F.lit(e) for e in ("answer", "clarify", "abstain", "shrug", "answer")]), (k % 5 + 1).cast("int"))
+    rows = b.select(
+        F.concat(F.lit("q"), k % 37).alias("query_id"), F.col("text").alias("question"),
+        expected.alias("expected"), F.when(k % 3 > 0, F.array(unit)).alias("gold"),
     )
-    found = stats.auroc(scored, ["system"], "s", "pos")
-    return found.select("system", "n_pos", "n_neg", F.round("auroc", 6).alias("auroc"))
+    path = f"{shared_dir(spark)}/questions-{uuid.uuid4().hex}"
+    write_lines(rows, path)
+    return evalset.question_problems(evalset.read_questions(spark, path))
 
 
 BOOT = 2000

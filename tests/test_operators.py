@@ -224,3 +224,31 @@ def test_blocks_hold_what_inline_tags_hold(spark):
         ("heading", "Head two", 2), ("text", "one two three", 0), ("text", "next line", 0),
         ("list_item", "a", 0), ("table", "| H | 1 |", 0),
     ]
+
+
+def test_chunks_and_reports_are_read_back(spark, tmp_path):
+    from quillon.sources import reports
+
+    rows = [("a", "1", "x|y\nz", 3, ["t"], None), ("b", "2", "é", 4, [], 0.5)]
+    chunks = spark.createDataFrame(
+        rows, "document_id string, chunk_id string, text string, token_count int, topics array<string>, share double"
+    )
+    reports.write_chunks(chunks, f"{tmp_path}/chunks")
+    back = reports.read_chunks(spark, f"{tmp_path}/chunks", chunks.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, chunks.collect())) and back.dtypes == chunks.dtypes
+    reports.write_markdown(chunks.select("chunk_id", "text"), f"{tmp_path}/md", "Chunks", ["chunk_id"])
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/md").collect()]
+    assert lines == ["# Chunks", "", "| chunk_id | text |", "|---|---|", "| 1 | x\\|y z |", "| 2 | é |"]
+
+
+def test_question_sets_are_checked(spark, tmp_path):
+    from quillon.sources import evalset
+
+    fine = '{"query_id": "a", "question": "what", "gold": [{"document_ids": ["d"], "must": ["zinc"]}]}'
+    (tmp_path / "fine.jsonl").write_text(fine + '\n{"query_id": "b", "question": "who", "expected": "abstain"}\n')
+    read = evalset.checked_questions(evalset.read_questions(spark, str(tmp_path / "fine.jsonl")))
+    assert sorted((r.query_id, r.expected, r.text) for r in read.collect()) == [("a", "answer", "what"), ("b", "abstain", "who")]
+    assert [(r.unit_index, r.must) for r in evalset.gold_units(read).collect()] == [(0, ["zinc"])]
+    (tmp_path / "bad.jsonl").write_text(fine + "\n" + fine + '\n{"query_id": "c", "question": "x"}\n')
+    with pytest.raises(ValueError, match="a: id used twice; c: answerable without evidence"):
+        evalset.checked_questions(evalset.read_questions(spark, str(tmp_path / "bad.jsonl")))
