@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 
 def changes(wanted: DataFrame, existing: DataFrame) -> DataFrame:
@@ -39,11 +40,35 @@ def sync(stored: DataFrame, wanted: DataFrame) -> DataFrame:
     return upsert(delete(stored, stale), todo)
 
 
+def stored_dimension(spark: SparkSession, path: str, vector: str) -> int | None:
+    """Size of the vectors of the collection at ``path``; None if there is none."""
+    try:
+        live = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    first = live.select(F.size(vector).alias("n")).first()
+    return None if first is None else first["n"]
+
+
+def append_checked(df: DataFrame, path: str, *, vector: str) -> None:
+    """Adds rows to a live collection if their vectors have its size."""
+    live = stored_dimension(df.sparkSession, path, vector)
+    if live is not None and not df.where(F.size(vector) != live).isEmpty():
+        raise ValueError(f"vectors that aren't of the collection's size, {live}")
+    df.write.mode("append").parquet(path)
+
+
 def checked_write(
     df: DataFrame, path: str, *, vector: str | None = None, dimension: int | None = None,
     recreate: bool = False,
 ) -> None:
-    """Write a collection: never an empty one, never vectors of another size over existing ones."""
+    """Write a collection: never an empty one, never vectors of another size over existing ones.
+
+    The size is the one asked for or, where a collection is live at ``path``, that of its vectors;
+    only ``recreate`` may change it.
+    """
+    if vector and dimension is None and not recreate:
+        dimension = stored_dimension(df.sparkSession, path, vector)
     facts = df.agg(
         F.count(F.lit(1)).alias("n"),
         *([F.min(F.size(vector)).alias("lo"), F.max(F.size(vector)).alias("hi")] if vector else []),

@@ -41,17 +41,34 @@ def spread(df: DataFrame, task_bytes: int = 16 * 1024 * 1024) -> DataFrame:
 # --- joins ---------------------------------------------------------------------------------
 
 
+def _wide(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value; nested values by what they hold, nulls as a word."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value) + 8
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            size = F.aggregate(value, F.lit(8), lambda n, x: (n + _wide(x, kind.elementType)).cast("int"))
+        else:
+            size = F.size(value) * 8 + 8
+    elif isinstance(kind, T.MapType):
+        size = _wide(F.map_keys(value), T.ArrayType(kind.keyType)) + _wide(
+            F.map_values(value), T.ArrayType(kind.valueType)
+        )
+    elif isinstance(kind, T.StructType):
+        size = F.lit(8)
+        for field in kind.fields:
+            size = size + _wide(value[field.name], field.dataType)
+    else:
+        return F.lit(8)
+    return F.coalesce(size, F.lit(8))
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes the rows of ``df`` take, counted by a small aggregation job."""
-    per_row: Column = F.lit(8 * max(len(df.columns), 1))
+    per_row: Column = F.lit(8)
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            per_row = per_row + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
-            per_row = per_row + F.coalesce(
-                F.octet_length(F.to_json(F.struct(F.col(field.name)))), F.lit(0)
-            )
-    return int(df.agg(F.coalesce(F.sum(per_row), F.lit(0))).first()[0])
+        per_row = per_row + _wide(F.col(f"`{field.name}`"), field.dataType)
+    return int(df.agg(F.coalesce(F.sum(per_row.cast("bigint")), F.lit(0))).first()[0])
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -178,6 +195,8 @@ def by_value_scan(
     distribution. The cut points only decide where the work is done, never the result.
     """
     keys = list(keys)
+    # The counts feed the cuts and both halves of the scan: they are made once.
+    counts = written(counts, "counts")
     cuts = counts.groupBy(*keys).agg(
         F.percentile_approx(
             value, [i / buckets for i in range(1, buckets)], F.lit(buckets * 20)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.scale import block_scan
@@ -23,6 +23,37 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 # --- end of fixed values ---------------------------------------------------------------------
 
 
+MANIFEST = (
+    "doc_id string, title string, file string, publisher string, document_type string, "
+    "population string, topics array<string>, skip_pages array<struct<lo: bigint, hi: bigint>>"
+)
+BLOCKS = "doc_id string, page bigint, pos int, kind string, text string, md_level int"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The documents to take in, from JSON lines; an id that is used twice is an error."""
+    rows = spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(path)
+    twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"ids used twice: {', '.join(str(r.doc_id) for r in twice)}")
+    return rows
+
+
+def document(manifest: DataFrame, doc_id: str) -> dict:
+    """The manifest's entry of one document."""
+    found = manifest.where(F.col("doc_id") == doc_id).limit(1).collect()
+    if not found:
+        raise KeyError(doc_id)
+    return found[0].asDict(recursive=True)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Stored typed blocks as JSON lines: rows of known kinds with text, in declared types."""
+    rows = spark.read.schema(BLOCKS).json(path)
+    known = [*KINDS.values(), "heading"]
+    return rows.where(F.col("kind").isin(known) & (F.trim("text") != "")).fillna({"md_level": 0})
+
+
 def plain_text(markup: Column) -> Column:
     out = F.regexp_replace(markup, r"(?i)<br\s*/?>", " ")
     out = F.regexp_replace(out, r"<[^>]*>", "")

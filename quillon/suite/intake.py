@@ -110,3 +110,22 @@ def passage_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     return W.described_passages(rows, asked.withColumn("population", population)).withColumn(
         "found", F.col("found").cast("bigint")
     )
+
+
+@register(
+    "intake_filters", "P6 P5",
+    f"""WITH {INTAKE}, aged AS (SELECT *, CASE WHEN id % 6 > 0 THEN id % 90 END AS age, CASE WHEN id % 8 = 3 THEN 'yes' WHEN id % 8 = 5 THEN 'not pregnant' END AS pregnancy FROM intake)
+    SELECT id, CASE WHEN age < 18 THEN 'child,all' WHEN age >= 18 THEN 'adult,all' END || CASE WHEN pregnancy = 'yes' THEN ',pregnancy' ELSE '' END AS population,
+      CASE WHEN id % 5 = 0 THEN 'respiratory,infectious_disease' WHEN id % 5 = 1 THEN 'emergency' END AS topics FROM aged""",
+)
+def intake_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Age, pregnancy and the caller's own words to search filters."""
+    k = F.col("o_orderkey")
+    said = F.when(k % 5 == 0, "a cough and a fever").when(k % 5 == 1, "it was poisoning").otherwise("nothing much")
+    rows = table(spark, sf, "orders").select(
+        k.alias("id"), F.when(k % 6 > 0, k % 90).cast("int").alias("age"),
+        F.when(k % 8 == 3, "yes").when(k % 8 == 5, "not pregnant").alias("pregnancy"), said.alias("chief_complaint"),
+    )
+    found = filters.from_intake(rows, ["chief_complaint"])
+    shown = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
+    return found.select("id", shown("q_population").alias("population"), shown("q_topics").alias("topics"))

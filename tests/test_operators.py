@@ -252,3 +252,61 @@ def test_question_sets_are_checked(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text(fine + "\n" + fine + '\n{"query_id": "c", "question": "x"}\n')
     with pytest.raises(ValueError, match="a: id used twice; c: answerable without evidence"):
         evalset.checked_questions(evalset.read_questions(spark, str(tmp_path / "bad.jsonl")))
+
+
+def test_stored_sources_are_read(spark, tmp_path):
+    import json
+
+    from quillon.sources import blocks, catalogue
+
+    lines = [
+        {"doc_id": "a", "title": "A", "topics": ["t"], "skip_pages": [{"lo": 1, "hi": 2}]},
+        {"doc_id": "b", "title": "B"},
+    ]
+    (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    manifest = blocks.read_manifest(spark, str(tmp_path / "m.jsonl"))
+    assert blocks.document(manifest, "a")["skip_pages"] == [{"lo": 1, "hi": 2}]
+    with pytest.raises(KeyError):
+        blocks.document(manifest, "c")
+    (tmp_path / "n.jsonl").write_text("\n".join(map(json.dumps, [*lines, lines[0]])))
+    with pytest.raises(ValueError, match="used twice: a"):
+        blocks.read_manifest(spark, str(tmp_path / "n.jsonl"))
+    rows = [{"doc_id": "a", "page": 1, "pos": 0, "kind": "heading", "text": "H", "md_level": 2},
+            {"doc_id": "a", "page": 1, "pos": 1, "kind": "text", "text": " "},
+            {"doc_id": "a", "page": 1, "pos": 2, "kind": "picture", "text": "x"},
+            {"doc_id": "a", "page": 1, "pos": 3, "kind": "text", "text": "T"}]
+    (tmp_path / "b.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    assert [(r.pos, r.md_level) for r in blocks.read_blocks(spark, str(tmp_path / "b.jsonl")).orderBy("pos").collect()] == [(0, 2), (3, 0)]
+    head = [f.name for f in catalogue.BRANDED_CSV.fields] if hasattr(catalogue.BRANDED_CSV, "fields") else [
+        c.split()[0].strip("`") for c in catalogue.BRANDED_CSV.split(",")
+    ]
+    one = {"id": "7", "name": 'Febra "Forte", 650 Tablet', "short_composition1": "Febrol (650mg)", "pack_size_label": "strip of 10 tablets"}
+    quoted = lambda v: '"' + v.replace('"', '\\"') + '"'
+    (tmp_path / "c.csv").write_text(",".join(head) + "\n" + ",".join(quoted(one.get(h, "")) for h in head) + "\n\n,broken\n")
+    got = catalogue.read_branded_csv(spark, str(tmp_path / "c.csv")).where("id = 'branded:7'").collect()
+    assert [(r.name, r.strength, r.discontinued) for r in got] == [('Febra "Forte", 650 Tablet', "650 mg", False)]
+
+
+def test_delivery_reports_as_a_stream_sink(spark, tmp_path):
+    from quillon.streaming.ledger import current_status, status_batch
+
+    deliveries = spark.createDataFrame([("s1", "queued", None), ("s2", "queued", None)], "provider_sid string, status string, detail string")
+    path, order = f"{tmp_path}/updates", ["at"]
+    assert current_status(deliveries, path, order).where("status = 'queued'").count() == 2
+    schema = "provider_sid string, status string, detail string, at int"
+    status_batch(path)(spark.createDataFrame([("s1", "sent", "x", 1)], schema), 0)
+    status_batch(path)(spark.createDataFrame([("s1", "read", None, 3), ("s1", "delivered", None, 2)], schema), 1)
+    status_batch(path)(spark.createDataFrame([("s1", "read", None, 3), ("s1", "delivered", None, 2)], schema), 1)
+    got = {r.provider_sid: (r.status, r.detail) for r in current_status(deliveries, path, order).collect()}
+    assert got == {"s1": ("read", "x"), "s2": ("queued", None)}
+
+
+def test_a_collection_keeps_its_vector_size(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "1", [1.0, 2.0])], "id string, content_hash string, vec array<double>")
+    other = spark.createDataFrame([("b", "1", [1.0])], rows.schema)
+    path = f"{tmp_path}/live"
+    index.checked_write(rows, path, vector="vec")
+    with pytest.raises(ValueError):
+        index.append_checked(other, path, vector="vec")
+    index.append_checked(rows, path, vector="vec")
+    assert spark.read.parquet(path).count() == 2 and index.stored_dimension(spark, path, "vec") == 2
