@@ -28,9 +28,10 @@ from quillon.llm.shared import WHITE_SPACE, stored
 BROADCAST_TOKENS = 100_000
 BROADCAST_CHARS = 64
 # A task's memory of words already split, at most.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 150_000
 WORD_CHARS = 200
 PIECES_BATCH = 2_000
+ROWS_AT_ONCE = 1_000
 
 _S = regex.escape(WHITE_SPACE, special_only=False)
 # Fixed value: the split of byte-level BPE, with the library's idea of white space.
@@ -151,9 +152,10 @@ def token_counts(
         split = PreTokens(vocabulary)
         for batch in batches:
             counts: Counter = Counter()
-            for value in batch.column(0).to_pylist():
-                if value:
-                    counts.update(split.of(value))
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for value in batch.column(0).slice(at, ROWS_AT_ONCE).to_pylist():
+                    if value:
+                        counts.update(split.of(value))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(counts.keys(), pa.string()),
@@ -178,33 +180,37 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, pieces_of = PreTokens(vocabulary), near.value
-        for batch in batches:
-            at, sizes, sums, rest = [], [], [], []
-            for row, value in zip(
-                batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True
-            ):
-                total, far = 0, []
-                for token, times in split.of(value or "").items():
-                    pieces = pieces_of.get(token)
-                    if pieces is None:
-                        far.append((token, times))
-                    else:
-                        total += pieces * times
-                at.append(row)
-                sizes.append(len((value or "").encode()))
-                sums.append(total)
-                rest.append(far)
-            tail = pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(sums, pa.int64()),
-                    pa.array([[{"token": t, "times": n} for t, n in far] for far in rest], tail),
-                ],
-                names=["doc_id", "row", "n_bytes", "near", "far"],
-            )
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS_AT_ONCE):
+                yield some(whole.slice(low, ROWS_AT_ONCE), split, pieces_of)
+
+    def some(batch: pa.RecordBatch, split: PreTokens, pieces_of: dict[str, int]) -> pa.RecordBatch:
+        sizes, sums, far, far_times, offsets = [], [], [], [], [0]
+        for value in batch.column(2).to_pylist():
+            total = 0
+            for token, times in split.of(value or "").items():
+                pieces = pieces_of.get(token)
+                if pieces is None:
+                    far.append(token)
+                    far_times.append(times)
+                else:
+                    total += pieces * times
+            sizes.append(len((value or "").encode()))
+            sums.append(total)
+            offsets.append(len(far))
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(far, pa.string()), pa.array(far_times, pa.int64())], ["token", "times"]
+        )
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                batch.column(1),
+                pa.array(sizes, pa.int64()),
+                pa.array(sums, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
+            ],
+            names=["doc_id", "row", "n_bytes", "near", "far"],
+        )
 
     counts = rows.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), "text"
