@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -42,26 +42,37 @@ def hashed_words(text: Column, dimension: int = DIMENSION) -> Column:
 
 
 def _allowed(queries: pd.DataFrame, rows: pd.DataFrame, fields: list[str]) -> np.ndarray | None:
-    """Which (query, row) pairs the filters let through, as a mask; None if all."""
+    """Which (query, row) pairs the filters let through, as a mask; None if all.
+
+    Labels become numbers; a field is then one product of 0/1 matrices, queries by labels and
+    labels by rows.
+    """
     mask: np.ndarray | None = None
     for field in fields:
-        wanted = queries[f"q_{field}"]
-        if not any(w is not None and len(w) for w in wanted):
+        wanted = [() if w is None else tuple(w) for w in queries[f"q_{field}"]]
+        labels = {label: i for i, label in enumerate({v for values in wanted for v in values})}
+        if not labels:
             continue
-        if mask is None:
-            mask = np.ones((len(queries), len(rows)), dtype=bool)
-        for i, values in enumerate(wanted):
-            if values is None or not len(values):
-                continue
-            values = set(values)
-            if field == "topics":
-                hit = [t is not None and not values.isdisjoint(t) for t in rows[field]]
-            else:
-                hit = rows[field].isin(values).to_numpy()
-            mask[i] &= hit
+        held = [() if t is None else t for t in rows[field]] if field == "topics" else [
+            (t,) for t in rows[field]
+        ]
+        asks, has = (
+            _incidence(side, labels) for side in (wanted, held)
+        )
+        free = np.array([not values for values in wanted])[:, None]
+        passes = free | (asks @ has.T > 0)
+        mask = passes if mask is None else mask & passes
     return mask
 
 
+def _incidence(sets: Sequence[Sequence[str]], labels: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(sets), len(labels)), np.float32)
+    pairs = [(i, labels[v]) for i, values in enumerate(sets) for v in values if v in labels]
+    if pairs:
+        out[tuple(zip(*pairs, strict=True))] = 1
+    return out
+
+
 def _nearest(
     queries: pd.DataFrame, rows: pd.DataFrame, k: int, fields: list[str]
 ) -> pd.DataFrame:
@@ -94,9 +105,7 @@ def search(
     """``hits(query_id, chunk_id, dense_score, dense_rank)`` by cosine of unit vectors.
 
     Blocks of vectors meet blocks of queries as matrix products, and only the best ``k`` of
-    each meeting leave a task. A query table of checked size travels to the vectors, which
-    then stay where they are; a larger one is cut into blocks that are paired with blocks of
-    vectors by a shuffle.
+    each meeting leave a task. No vector is ever shuffled.
     """
     fields = [f for f in FILTER_COLUMNS if f in vectors.columns and f"q_{f}" in queries.columns]
     rows = vectors.where("retrievable") if "retrievable" in vectors.columns else vectors
@@ -113,35 +122,29 @@ def search(
         F.count(F.lit(1)),
         F.coalesce(F.sum(F.size("vec") * 8 + 64), F.lit(0)),
     ).first()
-    if size[1] <= BROADCAST_BYTES:
-        # Bounded by the check above.
-        held = vectors.sparkSession.sparkContext.broadcast(asked.toPandas())
-
-        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                table = held.value
-                for at in range(0, len(frame), block):
-                    piece = frame.iloc[at : at + block]
-                    for start in range(0, len(table), QUERY_BLOCK):
-                        yield _nearest(table.iloc[start : start + QUERY_BLOCK], piece, k, fields)
-
-        local = rows.mapInPandas(scan, schema)
-    else:
-        parts_q = max(1, math.ceil(size[0] / QUERY_BLOCK))
-        parts_v = max(1, math.ceil(rows.count() / block))
-        left = asked.withColumn(
-            "_q", F.pmod(F.xxhash64("query_id"), F.lit(parts_q)).cast("int")
-        ).withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(parts_v - 1))))
-        right = rows.withColumn(
-            "_v", F.pmod(F.xxhash64("chunk_id"), F.lit(parts_v)).cast("int")
-        ).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(parts_q - 1))))
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame(columns=[f.name for f in schema.fields])
-            return _nearest(a, b, k, fields)
-
-        local = (
-            left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(meet, schema)
+    # Questions travel to the vectors in blocks of a checked size; the vectors stay in place.
+    blocks = min(size[0], -(-size[1] // max(1, BROADCAST_BYTES))) or 1
+    local = None
+    for number in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toPandas()
+        if some.empty and local is not None:
+            continue
+        found = rows.mapInPandas(
+            _scan(vectors.sparkSession.sparkContext.broadcast(some), block, k, fields), schema
         )
+        local = found if local is None else local.unionByName(found)
     return top_k(local, k, "dense_score", "dense_rank")
+
+
+def _scan(held, block: int, k: int, fields: list[str]):
+    """The best ``k`` of each block of vectors for each block of the questions sent along."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = held.value
+        for frame in frames:
+            for at in range(0, len(frame), block):
+                piece = frame.iloc[at : at + block]
+                for start in range(0, len(table), QUERY_BLOCK):
+                    yield _nearest(table.iloc[start : start + QUERY_BLOCK], piece, k, fields)
+
+    return scan
