@@ -16,12 +16,14 @@ files and no rows; further columns don't take part.
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -35,45 +37,75 @@ LENGTH = 2048
 BATCH_SEQUENCES = 512
 END_ID = 1
 # A task's memory of words already encoded, at most.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 400_000
 WORD_CHARS = 200
 _SPACES = str.maketrans(dict.fromkeys(WHITE_SPACE, " "))
 # What str.split takes for white space and the library doesn't.
 _NOT_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-class Encoder:
-    """Ids of whole texts, for a tokenizer that drops white space and never joins across it."""
+# The library's split of a lower-case word, and its spelling of bytes as characters.
+PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(256) if b not in _PRINTED]
+SPELLING = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+# Below this character every letter is composed, and lower case goes letter by letter.
+LATIN_END = "\u0250"
+
+
+class Encoder(dict):
+    """Ids of whole texts, for a tokenizer that drops white space and never joins across it.
+
+    The dictionary itself is the memory of words: a missing word is encoded on the spot. Words of
+    Latin letters go to the merging model directly, split and spelt in bytes as the library does
+    before it; all others, and all that might hold a special string, go through the library.
+    """
 
     def __init__(self, vocabulary: str) -> None:
+        super().__init__()
         self.model = Tokenizer.from_file(vocabulary)
         self.model.no_truncation()
         self.model.no_padding()
         size = self.model.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def texts(self, texts: list[str]) -> list[bytes]:
+        self.code = "<%d" + ("H" if self.kind.itemsize == 2 else "I")
+        self.merge = self.model.model.tokenize
+        self.special = {t.content[0] for t in self.model.get_added_tokens_decoder().values()}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        plain = part.isascii() and part.isprintable()
+        spelt = part if plain else "".join(map(SPELLING.__getitem__, part.encode()))
+        ids = [token.id for token in self.merge(spelt)]
+        made = struct.pack(self.code % len(ids), *ids)
+        if len(part) <= WORD_CHARS:
+            if len(self.parts) >= KNOWN_WORDS:
+                self.parts.clear()
+            self.parts[part] = made
+        return made
+
+    def __missing__(self, word: str) -> bytes:
+        if max(word) < LATIN_END and self.special.isdisjoint(word):
+            known = self.parts
+            made = b"".join([known.get(p) or self._part(p) for p in PART.findall(word.lower())])
+        else:
+            ids = self.model.encode(word, add_special_tokens=False).ids
+            made = struct.pack(self.code % len(ids), *ids)
+        if len(word) <= WORD_CHARS:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = made
+        return made
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as bytes of ``kind``."""
-        split = [
-            (t.translate(_SPACES).split(" ") if any(c in t for c in _NOT_SPACES) else t.split())
-            for t in texts
-        ]
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        made: dict[str, bytes] = {}
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            encoded = self.model.encode_batch(some, add_special_tokens=False)
-            made.update((w, self._bytes(e.ids)) for w, e in zip(some, encoded, strict=True))
-        short = {w: ids for w, ids in made.items() if len(w) <= WORD_CHARS}
-        self.known.update(short)
-        of = self.known.get if len(short) == len(made) else (self.known | made).get
-        return [b"".join(map(of, words)) for words in split]
+        of = self.__getitem__
+        for text in texts:
+            if any(c in text for c in _NOT_SPACES):
+                words = filter(None, text.translate(_SPACES).split(" "))
+            else:
+                words = text.split()
+            yield b"".join(map(of, words))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -142,7 +174,7 @@ def write_sequences(
                 writer = pa.ipc.new_file(sink, schema)
                 index_sink = store.open_output_stream(f"{name}.index.arrow")
                 index = pa.ipc.new_file(index_sink, INDEX)
-            ids_of = model.texts([t or "" for t in batch.column(1).to_pylist()])
+            ids_of = list(model.texts([t or "" for t in batch.column(1).to_pylist()]))
             counts = np.array([len(ids) // model.kind.itemsize + 1 for ids in ids_of])
             starts = total + np.cumsum(counts) - counts
             index.write_batch(
@@ -208,7 +240,7 @@ def read_documents(files: DataFrame, path: str) -> DataFrame:
     before = Window.orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
     listed = files.select(
         "file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before")
-    ).repartition("file")
+    ).repartition(max(1, files.count()))
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
