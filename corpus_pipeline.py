@@ -1,8 +1,8 @@
 """The corpus pipeline: what a raw document table goes through before training.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it has kept.
-All but the last return the columns of ``documents``. Rows are dropped by id: rows that share
-an id, null included, stand or fall together. Empty tables stay empty.
+All but the last return the columns of ``documents``. Rows are judged and dropped one by one,
+whether their ids are null, used twice or their own. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import jaccard, leaks, pieces, quality, suffixes
@@ -22,31 +22,44 @@ from quillon.suite.base import table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` whose id isn't among those of ``gone``; broadcast only behind a measured size."""
-    def name(column: Column) -> Column:
-        return F.coalesce(column.cast("string"), F.lit("null"))
+ROW = "_row"
 
-    ids = stored(gone.select(name(F.col("doc_id")).alias("_gone")).distinct(), "gone")
-    side = F.broadcast(ids) if fits_broadcast(ids) else ids
-    return docs.join(side, name(docs["doc_id"]) == side["_gone"], "left_anti")
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written once: read again, it is the same."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Numbered rows less those of ``gone``; broadcast only behind a measured size."""
+    numbers = stored(gone.select(ROW).distinct(), "gone")
+    side = F.broadcast(numbers) if fits_broadcast(numbers) else numbers
+    return rows.join(side, ROW, "left_anti").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return without(docs, judged.where(~F.col("kept")))
+    rows = numbered(docs)
+    judged = quality.classify(rows, table(spark, sf_dir, "labels"), row=ROW)
+    return without(rows, judged.where(~F.col("kept")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one with the least id stays."""
-    classes = jaccard.similar_documents(docs)
-    return without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    """Of each class of similar documents the one with the least id stays (null last)."""
+    rows = numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
+    classes = jaccard.similar_documents(rows.select(key.alias("_key"), "text"), key="_key")
+    later = F.col("doc_id")[ROW] != F.col("class_id")[ROW]
+    return without(rows, classes.where(later).select(F.col("doc_id")[ROW].alias(ROW)))
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out of the texts."""
-    done = suffixes.remove_repeats(docs)
+    """Passages that an earlier document has are cut out of the texts.
+
+    The numbers that order rows of one id are written with the texts before they are used.
+    """
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    done = suffixes.remove_repeats(rows, row=ROW)
     replaced = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
     return done.select(
         *(replaced[c].alias(c) if c in replaced else F.col(c) for c in docs.columns)
@@ -55,8 +68,9 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    found = leaks.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found)
+    rows = numbered(docs)
+    found = leaks.contained_items(rows, table(spark, sf_dir, "benchmark"), key=ROW)
+    return without(rows, found.select(F.col("doc_id").alias(ROW)))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,13 +200,19 @@ def train(
 
 
 def document_evidence(
-    docs: DataFrame, model: Model | None, key: str, text: str, sites: Sequence[str]
+    docs: DataFrame,
+    model: Model | None,
+    key: str,
+    text: str,
+    sites: Sequence[str],
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id, site columns as strings, evidence."""
+    """doc_id, site columns as strings, ``carried`` columns as they are, evidence."""
     names = [f"site_{i}" for i in range(len(sites))]
     rows = docs.select(
         docs[key].alias("doc_id"),
         *(docs[s].cast("string").alias(n) for s, n in zip(sites, names, strict=True)),
+        *(docs[c] for c in carried),
         docs[text].alias("text"),
     )
     if model is None:
@@ -288,10 +294,15 @@ def classify(
     host: str = "source",
     path: str = "lang",
     sample_rows: int = SAMPLE_ROWS,
+    row: str | None = None,
 ) -> DataFrame:
-    """doc_id, evidence, host_posterior, path_posterior, posterior, kept of each row."""
+    """doc_id, evidence, host_posterior, path_posterior, posterior, kept of each row.
+
+    ``row`` names a column that tells rows apart; it is returned too.
+    """
+    carried = [] if row is None else [row]
     model = train(docs, labels, key=key, text=text, rows=sample_rows)
-    evidence = stored(document_evidence(docs, model, key, text, (host, path)), "evidence")
+    evidence = stored(document_evidence(docs, model, key, text, (host, path), carried), "evidence")
     # Nulls meet nulls: sites are joined on a text that marks them.
     name = F.concat_ws(
         "\x01", *(F.coalesce(F.concat(F.lit("="), F.col(f"site_{i}")), F.lit("null")) for i in (0, 1))
@@ -300,7 +311,10 @@ def classify(
         name.alias("_site"), "global_prior", "host_posterior", "path_posterior"
     )
     joined = join_small(
-        evidence.select("doc_id", "evidence", name.alias("_site")), sites, ["_site"], ["doc_id"]
+        evidence.select("doc_id", *carried, "evidence", name.alias("_site")),
+        sites,
+        ["_site"],
+        carried or ["doc_id"],
     )
     shift = _odds(F.col("path_posterior")) - _odds(F.col("global_prior"))
     bounded = F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), shift))
@@ -308,6 +322,7 @@ def classify(
     kept = F.lit(True) if model is None else posterior >= KEEP
     return joined.select(
         "doc_id",
+        *carried,
         "evidence",
         "host_posterior",
         "path_posterior",

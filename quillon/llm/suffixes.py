@@ -20,9 +20,9 @@ sorted distinct keys (for each batch and key range one row) and gets verdicts ba
 order, stored by batch. Each text is hashed again in each round instead of being shuffled.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` lose nothing; a null id counts
-as smaller than all others; rows with equal ids never remove from each other; matches never
-cross rows; an empty table gives no rows; further columns are kept, result columns replace those
-of the same name. A task holds about 30 times a batch's bytes (or the longest text's).
+as smaller than all others; rows with equal ids never remove from each other, unless ``row``
+names a column of numbers that orders them; matches never cross rows; an empty table gives no
+rows; further columns are kept, result columns replace those of the same name. A task holds about 30 times a batch's bytes (or the longest text's).
 """
 
 from __future__ import annotations
@@ -106,6 +106,7 @@ class Positions:
     starts: np.ndarray  # of each text
     ends: np.ndarray
     ids: np.ndarray  # of each text
+    rows: np.ndarray  # orders texts with equal ids; 0 where they are one
     rank: np.ndarray  # of HEAD bytes at each position
     least: np.ndarray  # the least rank inside the string at each position; 0 where none fits
     anchors: np.ndarray
@@ -116,7 +117,9 @@ class Positions:
         return self.rank[self.anchors]
 
 
-def positions(texts: list[bytes], ids: np.ndarray, length: int, head: int) -> Positions:
+def positions(
+    texts: list[bytes], ids: np.ndarray, rows: np.ndarray, length: int, head: int
+) -> Positions:
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -147,7 +150,24 @@ def positions(texts: list[bytes], ids: np.ndarray, length: int, head: int) -> Po
         found.append(here + low)
     anchors = np.concatenate(found) if found else np.zeros(0, np.int64)
     text_of = np.searchsorted(ends, anchors, side="right")
-    return Positions(starts, ends, ids, rank, least, anchors, text_of)
+    return Positions(starts, ends, ids, rows, rank, least, anchors, text_of)
+
+
+def least_first(
+    ids: np.ndarray, rows: np.ndarray, *keys: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the last key, then the others, id and row; where keys change in it."""
+    order = np.lexsort((rows, ids, *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    return order, new
+
+
+def later(ids: np.ndarray, rows: np.ndarray, smallest: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which documents come after the smallest one."""
+    return (ids > smallest) | ((ids == smallest) & (rows > first))
 
 
 # --- packing and side files --------------------------------------------------------------------
@@ -237,8 +257,10 @@ class Rounds:
     ``parts`` key ranges: a key's upper bits choose its range.
     """
 
-    def __init__(self, text: str, key: str, length: int, head: int, bits: int) -> None:
-        self.text, self.key = text, key
+    def __init__(
+        self, text: str, key: str, length: int, head: int, bits: int, row: str | None = None
+    ) -> None:
+        self.text, self.key, self.row = text, key, row
         self.length, self.head, self.bits = length, head, bits
         self.step = length - head
         self.paths: list[str] = []
@@ -249,7 +271,21 @@ class Rounds:
     def positions(self, rows: pa.Table) -> Positions:
         texts = [(t or "").encode() for t in rows[self.text].to_pylist()]
         ids = rows[self.key].cast(pa.int64()).fill_null(NO_ID).to_numpy()
-        return positions(texts, ids, self.length, self.head)
+        of_row = np.zeros(len(ids), np.int64)
+        if self.row is not None:
+            of_row = rows[self.row].cast(pa.int64()).to_numpy()
+        return positions(texts, ids, of_row, self.length, self.head)
+
+    def told(self, ids: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
+        """What is sent of a document."""
+        return {"id": ids} if self.row is None else {"id": ids, "row": rows}
+
+    def smallest(self, at: int, batch: int) -> tuple[np.ndarray, np.ndarray]:
+        """Id and row of the smallest documents that a round has stored for a batch."""
+        ids = _verdicts(self.paths[at], batch, "smallest")
+        if self.row is None:
+            return ids, np.zeros(len(ids), np.int64)
+        return ids, _verdicts(self.paths[at], batch, "first")
 
     def split(self, keys: np.ndarray) -> np.ndarray:
         """Where each key range begins among sorted keys."""
@@ -259,13 +295,13 @@ class Rounds:
     # Round 1: anchors by rank.
 
     def first(self, batch: int, at: Positions) -> dict[str, np.ndarray]:
-        order = np.lexsort((at.ids[at.text_of], at.keys))
-        keys, ids = at.keys[order], at.ids[at.text_of][order]
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
+        ids, rows = at.ids[at.text_of], at.rows[at.text_of]
+        order, new = least_first(ids, rows, at.keys)
+        keys, ids, rows = at.keys[order], ids[order], rows[order]
         begins = np.nonzero(new)[0]
         last = np.append(begins[1:], len(keys)) - 1
-        return {"key": keys[begins], "many": ids[begins] != ids[last]}
+        many = (ids[begins] != ids[last]) | (rows[begins] != rows[last])
+        return {"key": keys[begins], "many": many}
 
     def shorten(self, sent: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """Keys of a range cut to their next ``SENT_BITS`` bits, as steps between neighbours.
@@ -292,7 +328,14 @@ class Rounds:
             return at
         keep = verdict[np.searchsorted(keys, at.keys)]
         return Positions(
-            at.starts, at.ends, at.ids, at.rank, at.least, at.anchors[keep], at.text_of[keep]
+            at.starts,
+            at.ends,
+            at.ids,
+            at.rows,
+            at.rank,
+            at.least,
+            at.anchors[keep],
+            at.text_of[keep],
         )
 
     # Round 2: anchors by surroundings.
@@ -309,29 +352,29 @@ class Rounds:
 
     def second(self, batch: int, at: Positions) -> dict[str, np.ndarray]:
         at = self.shared(batch, at)
-        key, around, ids = at.keys, self.around(at), at.ids[at.text_of]
-        order = np.lexsort((ids, around, key))
-        key, around, ids = key[order], around[order], ids[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (around[1:] != around[:-1])
-        return {"key": key[new], "around": around[new], "id": ids[new]}
+        key, around = at.keys, self.around(at)
+        ids, rows = at.ids[at.text_of], at.rows[at.text_of]
+        order, new = least_first(ids, rows, around, key)
+        own = order[new]
+        return {"key": key[own], "around": around[own]} | self.told(ids[own], rows[own])
 
     @staticmethod
     def judge_second(sent: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """The smallest document of the surroundings; do the anchor's surroundings differ?"""
         key, around, ids = sent["key"], sent["around"], sent["id"]
-        order = np.lexsort((ids, around, key))
-        k, r, i = key[order], around[order], ids[order]
-        new_key, new = np.ones(len(k), bool), np.ones(len(k), bool)
+        rows = sent.get("row", np.zeros(len(ids), np.int64))
+        order, new = least_first(ids, rows, around, key)
+        k = key[order]
+        new_key = np.ones(len(k), bool)
         new_key[1:] = k[1:] != k[:-1]
-        new[1:] = new_key[1:] | (r[1:] != r[:-1])
         kind = np.cumsum(new) - 1
         anchor = np.cumsum(new_key) - 1
         kinds = np.bincount(anchor[new], minlength=1) if len(k) else np.zeros(1, np.int64)
-        smallest, differ = np.empty(len(k), np.int64), np.empty(len(k), bool)
-        smallest[order] = i[new][kind]
+        best, differ = np.empty(len(k), np.int64), np.empty(len(k), bool)
+        best[order] = order[new][kind]
         differ[order] = (kinds > 1)[anchor]
-        return {"smallest": smallest, "differ": differ}
+        first = {"first": rows[best]} if "row" in sent else {}
+        return {"smallest": ids[best], "differ": differ} | first
 
     def settled(self, batch: int, at: Positions) -> tuple[Positions, np.ndarray, np.ndarray]:
         """Shared anchors; which are repeats as they stand, which have strings to be ranked."""
@@ -345,9 +388,9 @@ class Rounds:
         new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
         row = np.empty(len(k), np.int64)
         row[order] = np.cumsum(new) - 1
-        smallest = _verdicts(self.paths[1], batch, "smallest")[row]
+        smallest, first = self.smallest(1, batch)
         differ = _verdicts(self.paths[1], batch, "differ").astype(bool)[row]
-        repeat = ids > smallest
+        repeat = later(ids, at.rows[at.text_of], smallest[row], first[row])
         return at, repeat, differ & ~repeat
 
     # Round 3: the strings of anchors whose surroundings differ.
@@ -370,22 +413,20 @@ class Rounds:
     def third(self, batch: int, at: Positions) -> dict[str, np.ndarray]:
         at, _, open_ = self.settled(batch, at)
         _, text, key = self.strings(at, open_)
-        ids = at.ids[text]
-        order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        return {"key": key[new], "id": ids[new]}
+        ids, rows = at.ids[text], at.rows[text]
+        order, new = least_first(ids, rows, key)
+        own = order[new]
+        return {"key": key[own]} | self.told(ids[own], rows[own])
 
     @staticmethod
     def judge_third(sent: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        order = np.lexsort((sent["id"], sent["key"]))
-        key, ids = sent["key"][order], sent["id"][order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        smallest = np.empty(len(key), np.int64)
-        smallest[order] = ids[new][np.cumsum(new) - 1]
-        return {"smallest": smallest}
+        ids = sent["id"]
+        rows = sent.get("row", np.zeros(len(ids), np.int64))
+        order, new = least_first(ids, rows, sent["key"])
+        best = np.empty(len(order), np.int64)
+        best[order] = order[new][np.cumsum(new) - 1]
+        first = {"first": rows[best]} if "row" in sent else {}
+        return {"smallest": ids[best]} | first
 
     def covered(self, batch: int, at: Positions) -> np.ndarray:
         """True for each byte of the buffer that is to be removed."""
@@ -401,8 +442,9 @@ class Rounds:
         start, text, key = self.strings(shared, open_)
         if len(start):
             keys = np.unique(key)
-            smallest = _verdicts(self.paths[2], batch, "smallest")[np.searchsorted(keys, key)]
-            start = start[at.ids[text] > smallest]
+            place = np.searchsorted(keys, key)
+            smallest, first = self.smallest(2, batch)
+            start = start[later(at.ids[text], at.rows[text], smallest[place], first[place])]
             np.add.at(change, start, 1)
             np.add.at(change, start + self.length, -1)
         return np.cumsum(change[:n]) > 0
@@ -515,6 +557,7 @@ def remove_repeats(
     length: int = LENGTH,
     head: int = HEAD,
     batch_bytes: int = BATCH_BYTES,
+    row: str | None = None,
 ) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
@@ -528,7 +571,7 @@ def remove_repeats(
     batches = pack_batches(docs, text, f"{base}/batches", batch_bytes)
     # Key ranges in step with the data: a range holds the keys of about four batches.
     bits = max(4, int(batches.select("batch").count() // 4).bit_length())
-    rounds = Rounds(text, key, length, head, bits)
+    rounds = Rounds(text, key, length, head, bits, row)
     _round(batches, rounds, rounds.first, rounds.judge_first, f"{base}/first")
     _round(batches, rounds, rounds.second, rounds.judge_second, f"{base}/second")
     _round(batches, rounds, rounds.third, rounds.judge_third, f"{base}/third")

@@ -69,3 +69,44 @@ def test_registered():
     assert "pipeline" in names
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
+
+
+@pytest.fixture(scope="module")
+def shared_ids(spark, planted, tmp_path_factory):
+    """Clean, bad, copied and leaked documents without ids or with ids used twice."""
+    folder = str(tmp_path_factory.mktemp("shared_ids"))
+    item = spark.read.parquet(f"{planted}/benchmark.parquet").first()["text"]
+    fine = {name: prose(6000 + at, 80) for at, name in enumerate(["a", "b", "c", "d", "e", "f", "g"])}
+    marked = " ".join(f"{w}$$$" for w in prose(6100, 80).split())
+    leaked = f"{prose(6200, 60)} {item} {prose(6201, 60)}"
+    passage = prose(6300, 40)
+    rows = [(None, fine["a"]), (None, fine["b"]), (None, marked), (None, leaked)]
+    rows += [(2000, fine["c"]), (2000, marked + " end"), (2000, leaked + " end")]
+    rows += [(2001, fine["d"])] * 3 + [(None, fine["e"])] * 2 + [(None, fine["f"]), (2002, fine["f"])]
+    rows += [(2003, fine["g"]), (2003, fine["g"] + " other")]
+    rows += [(d, f"{prose(6400 + at, 60)} {passage}") for at, d in enumerate([None, None, 2004, 2004])]
+    old = spark.read.parquet(f"{planted}/documents.parquet").where("doc_id < 300")
+    new = spark.createDataFrame([(d, t, "en", "src0", len(t)) for d, t in rows], SCHEMA)
+    old.unionByName(new).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{planted}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return folder, fine, passage
+
+
+def test_rows_of_one_id_are_judged_alone(spark, shared_ids):
+    folder, fine, passage = shared_ids
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    left = []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stored(stage(spark, docs, folder), name)
+        rows = docs.where("doc_id is null or doc_id >= 300").collect()
+        left.append(sorted(((r["doc_id"], r["text"]) for r in rows), key=repr))
+    quality, near, repeats, clean = left
+    assert not [t for _, t in quality if "$$$" in t] and len(quality) == 18
+    assert [(d, t) for d, t in near if t == fine["d"]] == [(2001, fine["d"])]
+    assert [(d, t) for d, t in near if t == fine["e"]] == [(None, fine["e"])]
+    assert [(d, t) for d, t in near if t == fine["f"]] == [(2002, fine["f"])]
+    assert len([t for d, t in near if d == 2003]) == 1
+    assert sum(passage in t for _, t in near) == 4 and sum(passage in t for _, t in repeats) == 1
+    assert len(clean) == len(near) - len([t for _, t in near if prose(7777, 30) in t])
+    assert {(None, fine["a"]), (None, fine["b"]), (2000, fine["c"])} <= set(clean)
