@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -361,6 +362,14 @@ def test_similar_documents_equal_brute_force(spark, docs, texts, empty, limits,
         assert jaccard.similar_documents(docs).count() == len(texts)
 
 
+def test_core_loses_no_similar_pair():
+    """What a core set and an unlinked one may agree in at most is out of reach of a true pair."""
+    n, p = jaccard.COORDINATES, jaccard.THRESHOLD
+    agree = n - (math.ceil(jaccard.CORE * n) - (math.ceil(jaccard.LOOSE * n) - 1))
+    chance = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(agree + 1))
+    assert chance < 1e-4
+
+
 def test_components(spark):
     edges = [(f"c{i}", f"c{i + 1}") for i in range(60)] + [("hub", f"s{i}") for i in range(40)]
     edges += [("x", "x"), ("s1", "hub")]
