@@ -1,11 +1,12 @@
 """Benchmark decontamination: short test items are looked for inside long documents.
 
 Texts become sets of word shingles. An item of q shingles is contained in a document that holds
-at least ``ceil(threshold * q)`` of them. Items are partitioned by their size; each size has a
-MinHash sketch of its own length, the ``q - ceil(threshold * q) + 1`` smallest hashes. A document
-may lack at most ``q - ceil(threshold * q)`` of an item's shingles, so one of the sketch is always
-among its own: the probe loses no item. Documents that hit a sketch are verified by counting
-all shingles of the item that they hold.
+at least ``ceil(threshold * q)`` of them. An exact prefix filter stands in for a size-partitioned
+MinHash search: of each item the ``q - ceil(threshold * q) + 1`` smallest hashes are probed (its
+``sketch``). A document may lack at most ``q - ceil(threshold * q)`` of an item's shingles, so one
+of these is always among its own: the probe loses no item. Documents have no sketch, no containment
+is estimated, and items are grouped only by shingle width. Documents that hit a probe are verified
+by counting all shingles of the item that they hold.
 
 Only column expressions are used. A text is read once; what is shuffled are the hits.
 
