@@ -1,10 +1,11 @@
-"""Repeated byte strings across documents, by distributed prefix doubling over sampled suffixes.
+"""Repeated byte strings across documents, by fingerprints of sampled positions in three rounds.
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts in a document with a smaller
-id is removed. The order of suffixes is refined in rounds as in prefix doubling: positions carry
-a rank of their first bytes, a shuffle brings equal ranks together, those found once leave, the
-others are ranked anew by pairs of ranks at a growing offset, until ``LENGTH`` is passed. Ranks
-are 64-bit fingerprints, which need no numbering across tasks; equal means equal fingerprints.
+id is removed. This stands in for prefix doubling: positions aren't sorted or ranked anew until
+they are unique. Positions carry a fingerprint of their first bytes (called rank here), a shuffle
+brings equal ones together, those found once leave, the others are told apart by longer strings
+in two more rounds. 64-bit fingerprints need no numbering across tasks; equal means equal
+fingerprints, the bytes aren't compared.
 
 * Round 1 ranks ``HEAD`` bytes. Only sampled positions take part: of the positions inside each
   string of ``LENGTH`` bytes, the one with the smallest rank (an anchor). Equal strings have equal
