@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, counts, jaccard, leaks, pieces, quality, rules, sequences, shards, suffixes
+from quillon.llm import (
+    chat,
+    counts,
+    jaccard,
+    leaks,
+    pieces,
+    quality,
+    repair,
+    rules,
+    sequences,
+    shards,
+    suffixes,
+)
 from quillon.suite.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +193,145 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         "grown_shard",
     )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults drawn by crc32 of ``conv_id:turn`` (nulls: one space)."""
+    space = F.lit(" ")
+    name = F.concat(
+        F.coalesce(F.col("conv_id").cast("string"), space),
+        F.lit(":"),
+        F.coalesce(F.col("turn").cast("string"), space),
+    )
+    fault = F.crc32(name.cast("binary")) % 20
+    text = F.coalesce("text", space)
+    rows = turns.select("conv_id", "turn", "role", "text").withColumn("fault", fault)
+    return rows.where("fault <> 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fault") == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(F.col("fault") == 1, "")
+        .when(F.col("fault") == 2, F.translate(text, ".!?", ""))
+        .otherwise(text)
+        .alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy"),
+    )
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repaired = repair.repair(damaged(turns))
+    every = turns.groupBy("conv_id").agg(F.lit(1).alias("one")).select(
+        "conv_id", repair.conversation_key(F.col("conv_id")).alias("conv")
+    )
+    rows = every.join(repaired.summary, "conv", "left").join(
+        repair.digests(repaired.turns), "conv", "left"
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return rows.select(
+        "conv_id",
+        *map(zero, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+# Written from the contract. crc32 by its table; then, from the last row of each conversation to
+# the first, the cheapest (cost, edits) from each of the four states of the pattern, by recursion.
+SQL["op11_conversation_repair"] = r"""
+with recursive crc_table as (
+    select list(v order by i) as crcs from (
+        select i, list_reduce([i] || range(8), lambda c, k:
+            case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+        from (select unnest(range(256))::bigint as i)
+    )
+), keyed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name
+    from conversations
+), faulted as (
+    select conv_id, turn, role, text,
+        xor(list_reduce([4294967295] || list_transform(string_split(name, ''), lambda ch: ascii(ch)::bigint),
+            lambda c, b: xor(c >> 8, crcs[1 + (xor(c, b) & 255)])), 4294967295) % 20 as fault
+    from keyed, crc_table
+), dealt as (
+    select conv_id, turn,
+        case when fault = 4 then 'user' else role end as role,
+        case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(range(case when fault = 3 then 2 else 1 end)) as copy
+    from faulted where fault <> 0
+), placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i
+    from dealt
+), judged as (
+    select *, left(role, 1) as c, count(*) over (partition by conv_id) as n,
+        not regexp_matches(text, '[^ 	-]') as is_blank,
+        row_number() over (partition by conv_id, role, text order by i) > 1 as seen,
+        not regexp_matches(regexp_replace(text, '[ 	-]+$', ''), '[.!?]$') as cut,
+        lag(left(role, 1)) over (partition by conv_id order by i) as prior
+    from placed
+), facts as (
+    select conv_id, max(n) as n,
+        coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+        count(*) filter (is_blank) as blank,
+        count(*) filter (seen and not is_blank) as duplicate,
+        count(*) filter (cut and not seen and not is_blank) as truncated,
+        count(*) filter (i > 1 and (prior || c) not in ('su', 'ua', 'au')) as illegal
+    from judged group by conv_id
+), turn_to(q, r, made) as (
+    values ('-', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')
+), inserts as (
+    select q, q as r, 0 as price, '' as done, '' as made from turn_to
+    union all
+    select q, r, 5, 'I', made || ':' || chr(10) from turn_to
+    union all
+    select x.q, y.r, 10, 'II', x.made || ':' || chr(10) || y.made || ':' || chr(10)
+    from turn_to x join turn_to y on x.r = y.q
+), kept(q, c, r) as (
+    values ('-', 's', 's'), ('-', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')
+), walked as (
+    select f.conv_id, f.n as i, s.q, s.price::bigint as price, s.done::varchar as done, s.made::varchar as made
+    from facts f, inserts s where s.r in ('-', 'a')
+        and (s.q, s.price) in (('-', 0), ('s', 10), ('u', 5), ('a', 0))
+    union all
+    select conv_id, i, q, least.price, least.done, least.made
+    from (
+        select conv_id, i - 1 as i, q, min({'price': price, 'done': done, 'made': made}) as least
+        from (
+            select w.conv_id, w.i, s.q, s.price + 2 + w.price as price,
+                s.done || 'D' || w.done as done, s.made || w.made as made
+            from walked w
+            join inserts s on s.r = w.q
+            where w.i >= 1
+            union all
+            select w.conv_id, w.i, s.q, s.price + 5 * j.cut::int + w.price, s.done || 'K' || w.done,
+                s.made || j.role || ':' || j.text || chr(10) || w.made
+            from walked w
+            join judged j on j.conv_id is not distinct from w.conv_id and j.i = w.i
+            join kept k on k.c = j.c and k.r = w.q
+            join inserts s on s.r = k.q
+            where not j.is_blank and not j.seen
+            union all
+            select w.conv_id, w.i, s.q, s.price + 1 + 5 * j.cut::int + w.price, s.done || 'R' || w.done,
+                s.made || t.made || ':' || j.text || chr(10) || w.made
+            from walked w
+            join judged j on j.conv_id is not distinct from w.conv_id and j.i = w.i
+            join turn_to t on t.r = w.q
+            join inserts s on s.r = t.q
+            where not j.is_blank and not j.seen
+        )
+        group by conv_id, i, q
+    )
+), best as (
+    select * from walked where i = 0 and q = '-'
+)
+select e.conv_id,
+    coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+    coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    coalesce(price, 0) as cost, coalesce(done, '') as audit,
+    sha256(coalesce(left(made, length(made) - 1), '')) as repaired_sha256
+from (select distinct conv_id from conversations) e
+left join facts f on e.conv_id is not distinct from f.conv_id
+left join best b on e.conv_id is not distinct from b.conv_id
+"""
