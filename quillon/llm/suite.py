@@ -19,6 +19,7 @@ from quillon.llm import (
     rules,
     sequences,
     shards,
+    spelling,
     suffixes,
 )
 from quillon.suite.base import table
@@ -266,9 +267,11 @@ with recursive crc_table as (
     from dealt
 ), judged as (
     select *, left(role, 1) as c, count(*) over (partition by conv_id) as n,
-        not regexp_matches(text, '[^ 	-]') as is_blank,
+        not regexp_matches(text, '[^ 	-
+]') as is_blank,
         row_number() over (partition by conv_id, role, text order by i) > 1 as seen,
-        not regexp_matches(regexp_replace(text, '[ 	-]+$', ''), '[.!?]$') as cut,
+        not regexp_matches(regexp_replace(text, '[ 	-
+]+$', ''), '[.!?]$') as cut,
         lag(left(role, 1)) over (partition by conv_id order by i) as prior
     from placed
 ), facts as (
@@ -335,3 +338,61 @@ from (select distinct conv_id from conversations) e
 left join facts f on e.conv_id is not distinct from f.conv_id
 left join best b on e.conv_id is not distinct from b.conv_id
 """
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damage=True)
+
+
+# Written from the contract: near words meet by equal strings after one letter is taken out.
+SQL["op12_spelling_variants"] = r"""
+with recursive crc_table as (
+    select list(v order by i) as crcs from (
+        select i, list_reduce([i] || range(8), lambda c, k:
+            case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+        from (select unnest(range(256))::bigint as i)
+    )
+), runs as (
+    select coalesce(doc_id::varchar, '') as id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+    from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents)
+), hashed as (
+    select run, times, xor(list_reduce(
+        [4294967295] || list_transform(range(1, length(code), 2), lambda i: ('0x' || substring(code, i, 2))::bigint),
+        lambda c, b: xor(c >> 8, crcs[1 + (xor(c, b) & 255)])), 4294967295) as h
+    from (select id, run, count(*) as times, hex(id || ':' || run) as code from runs where length(run) >= 6 group by id, run), crc_table
+), words as (
+    select word, sum(times)::bigint as n
+    from (
+        select times, case when h % 199 = 0
+            then left(run, (h % length(run))::int) || substring(run, (h % length(run))::int + 2) else run end as word
+        from hashed
+    )
+    where length(word) >= 6
+    group by word having sum(times) >= 5
+), cuts as (
+    select word, n, i, left(word, i - 1) || substring(word, i + 1) as rest
+    from (select word, n, unnest(range(1, length(word) + 1))::int as i from words)
+), pairs as (
+    select a.word, a.n, b.word as near, b.n as near_n
+    from cuts a join cuts b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+    union
+    select a.word, a.n, b.word, b.n from cuts a join words b on a.rest = b.word
+    union
+    select b.word, b.n, a.word, a.n from cuts a join words b on a.rest = b.word
+), best as (
+    select word, count(*) as n_near, min({'less': -near_n, 'near': near}) as best
+    from pairs group by word
+), forms as (
+    select w.word, w.n, coalesce(n_near, 0) as n_near,
+        case when -best.less >= 5 * w.n then best.near end as form,
+        case when -best.less >= 5 * w.n then -best.less end as form_n
+    from words w left join best b on w.word = b.word
+), walk as (
+    select word, word as root, form as next from forms
+    union all
+    select w.word, f.word, f.form from walk w join forms f on f.word = w.next
+)
+select f.word, f.form, w.root, f.n, f.n_near, f.form_n
+from forms f join walk w on f.word = w.word and w.next is null
+"""
