@@ -14,6 +14,7 @@ from quillon.llm import (
     jaccard,
     leaks,
     pieces,
+    private,
     quality,
     repair,
     rules,
@@ -396,3 +397,8 @@ with recursive crc_table as (
 select f.word, f.form, w.root, f.n, f.n_near, f.form_n
 from forms f join walk w on f.word = w.word and w.next is null
 """
+
+
+@query
+def op13_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.personal_data(table(spark, sf_dir, "documents"))
