@@ -178,10 +178,26 @@ def feature_texts(name: Column) -> Column:
     )
 
 
+def _hashed(texts: Column) -> Column:
+    return F.array_distinct(F.transform(texts, lambda f: F.crc32(f.cast("binary"))))
+
+
 def features(name: Column) -> Column:
     """The features as 32-bit hashes."""
-    return F.array_distinct(
-        F.transform(feature_texts(name), lambda f: F.crc32(f.cast("binary")))
+    return _hashed(feature_texts(name))
+
+
+def split_features(name: Column) -> Column:
+    """A struct of the same hashes in two sorted parts: ``words``, and what ``numbers`` add."""
+    return let(
+        feature_texts(name),
+        lambda texts: let(
+            F.array_sort(_hashed(F.filter(texts, lambda f: ~f.startswith("n:")))),
+            lambda words: F.struct(
+                words.alias("words"),
+                F.array_sort(F.array_except(_hashed(texts), words)).alias("numbers"),
+            ),
+        ),
     )
 
 
