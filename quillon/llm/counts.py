@@ -27,11 +27,13 @@ from quillon.llm.shared import WHITE_SPACE, stored
 # At most so many pre-tokens, of at most so many characters, are sent to every task.
 BROADCAST_TOKENS = 100_000
 BROADCAST_CHARS = 64
-# A task's memory of words already split, at most.
-KNOWN_WORDS = 150_000
+# A worker's memory of words already split: at most twice so many.
+KNOWN_WORDS = 60_000
 WORD_CHARS = 200
 PIECES_BATCH = 2_000
-ROWS_AT_ONCE = 1_000
+ROWS_AT_ONCE = 500
+# Distinct pre-tokens that a task holds before it passes them on, and little more.
+GATHERED = 100_000
 
 _S = regex.escape(WHITE_SPACE, special_only=False)
 # Fixed value: the split of byte-level BPE, with the library's idea of white space.
@@ -49,17 +51,21 @@ class PreTokens:
         self.special = {t["content"] for t in added}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")")
+        # Words met lately, and those met before them.
         self.known: dict[str, tuple[str, ...] | None] = {}
+        self.older: dict[str, tuple[str, ...] | None] = {}
 
     def _word(self, word: str) -> tuple[str, ...] | None:
         """The pre-tokens of a space and ``word``; None if white space touches its ends."""
-        if not word or word[0] in WHITE_SPACE or word[-1] in WHITE_SPACE:
+        if word in self.older:
+            found = self.older[word]
+        elif not word or word[0] in WHITE_SPACE or word[-1] in WHITE_SPACE:
             found = None
         else:
             found = tuple(PRE_TOKEN.findall(f" {word}"))
         if len(word) <= WORD_CHARS:
             if len(self.known) >= KNOWN_WORDS:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[word] = found
         return found
 
@@ -71,9 +77,9 @@ class PreTokens:
         split at once instead.
         """
         first, *words = text.split(" ")
-        known, word_tokens = self.known, []
+        word_tokens = []
         for word, times in Counter(words).items():
-            found = known.get(word, 0)
+            found = self.known.get(word, 0)
             if found == 0:
                 found = self._word(word)
             if found is None:
@@ -101,13 +107,32 @@ class PreTokens:
         return counts
 
 
-def distinct_pieces(tokens: DataFrame, vocabulary: str) -> DataFrame:
-    """pieces of each row's token, by the library."""
+_SPLITTERS: dict[str, PreTokens] = {}
+_MODELS: dict[str, Tokenizer] = {}
 
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def splitter(vocabulary: str) -> PreTokens:
+    """One for each Python worker, whatever the number of tasks it runs."""
+    if vocabulary not in _SPLITTERS:
+        _SPLITTERS[vocabulary] = PreTokens(vocabulary)
+    return _SPLITTERS[vocabulary]
+
+
+def library(vocabulary: str) -> Tokenizer:
+    """The library's model, one for each Python worker."""
+    if vocabulary not in _MODELS:
         model = Tokenizer.from_file(vocabulary)
         model.no_truncation()
         model.no_padding()
+        _MODELS[vocabulary] = model
+    return _MODELS[vocabulary]
+
+
+def distinct_pieces(tokens: DataFrame, vocabulary: str) -> DataFrame:
+    """pieces of each row's token, by the library."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = library(vocabulary)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             pieces: list[int] = []
@@ -149,20 +174,25 @@ def token_counts(
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = PreTokens(vocabulary)
+        split = splitter(vocabulary)
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
+                names=["token", "times"],
+            )
+            counts.clear()
+            return made
+
         for batch in batches:
-            counts: Counter = Counter()
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 for value in batch.column(0).slice(at, ROWS_AT_ONCE).to_pylist():
                     if value:
                         counts.update(split.of(value))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(counts.keys(), pa.string()),
-                    pa.array(counts.values(), pa.int64()),
-                ],
-                names=["token", "times"],
-            )
+                if len(counts) > GATHERED:
+                    yield out()
+        yield out()
 
     tokens = (
         rows.select("text")
@@ -179,7 +209,7 @@ def token_counts(
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces_of = PreTokens(vocabulary), near.value
+        split, pieces_of = splitter(vocabulary), near.value
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_AT_ONCE):
                 yield some(whole.slice(low, ROWS_AT_ONCE), split, pieces_of)

@@ -60,7 +60,9 @@ class Pieces:
             raise ValueError("a piece runs across a space mark; words can't be cut there")
         self.score = {self.text[i]: model.get_score(i) for i in plain}
         self.id_of = {self.text[i]: i for i in plain}
+        # Words met lately, and those met before them: a frequent word is never forgotten.
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
         self.fitting: dict[tuple[str, str], bool] = {}
         self._prepare()
 
@@ -213,14 +215,18 @@ class Pieces:
 
     def _known(self, word: str) -> tuple[str, int, str]:
         """A word's ids joined by commas, their number, and the word decoded from them."""
-        found = self.known.get(word)
+        found = self.known.get(word) or self.older.get(word)
         if found is None:
             ids = self.ids(word)
-            found = (",".join(map(str, ids)), len(ids), self.decode([self.space, *ids]))
-            if len(word) <= WORD_CHARS:
-                if len(self.known) >= KNOWN_WORDS:
-                    self.known.clear()
-                self.known[word] = found
+            if self.byte_value.keys().isdisjoint(ids):
+                decoded = "".join([self.text[i] for i in ids]).replace(SPACE, " ")
+            else:
+                decoded = self.decode([self.space, *ids])
+            found = (",".join(map(str, ids)), len(ids), decoded)
+        if len(word) <= WORD_CHARS:
+            if len(self.known) >= KNOWN_WORDS:
+                self.older, self.known = self.known, {}
+            self.known[word] = found
         return found
 
     @property
