@@ -26,19 +26,18 @@ def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of documents as blocks: every fourth line that can be one is a heading, every fourth a
-    list item. The source is the document, the document its page."""
+    """Lines of documents as they stand, as blocks: lines with cell borders are tables, every fourth
+    other line that can be one is a heading, every fourth a list item. The source is the document,
+    the document its page."""
     d = spread(table(spark, sf, "documents").select("source", "doc_id", "text"))
     lines = d.select(
         F.col("source").alias("doc_id"), F.col("doc_id").alias("page"),
-        F.posexplode(F.split("text", "\n")).alias("pos", "raw"),
-    )
-    # Only letters, digits and plain punctuation, and no letter f: nothing left to repair.
-    clean = F.translate(F.regexp_replace("raw", r"[^\p{L}\p{N} ,.]", ""), "fFß", "vVs")
-    lines = lines.withColumn("text", X.squeeze(clean)).where("text != ''")
+        F.posexplode(F.split("text", "\n")).alias("pos", "text"),
+    ).where(F.trim("text") != "")
     short = F.length("text") <= 100
     kind = (
-        F.when((F.col("pos") % 4 == 0) & short, "heading")
+        F.when(F.contains("text", F.lit("|")), "table")
+        .when((F.col("pos") % 4 == 0) & short, "heading")
         .when(F.col("pos") % 4 == 3, "list_item")
         .otherwise("text")
     )
@@ -75,15 +74,36 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
 # --- SQL -------------------------------------------------------------------------------------
 
 LINES = r"""
-lines AS (SELECT *, CASE WHEN pos % 4 = 0 AND length(text) <= 100 THEN 'heading' WHEN pos % 4 = 3 THEN 'list_item' ELSE 'text' END AS kind,
+lines AS (SELECT *, CASE WHEN contains(text, '|') THEN 'table' WHEN pos % 4 = 0 AND length(text) <= 100 THEN 'heading' WHEN pos % 4 = 3 THEN 'list_item' ELSE 'text' END AS kind,
     substring(md5(page || '|' || pos), 1, 1) AS mark, page % 4 AS md_level FROM
-  (SELECT source AS doc_id, d.doc_id AS page, i - 1 AS pos,
-    trim(regexp_replace(translate(regexp_replace(ls[i], '[^\p{L}\p{N} ,.]', '', 'g'), 'fFß', 'vVs'), '\s+', ' ', 'g')) AS text
-   FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents) d, unnest(range(1, len(ls) + 1)) t(i)) WHERE text <> '')"""
+  (SELECT source AS doc_id, d.doc_id AS page, i - 1 AS pos, ls[i] AS text
+   FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents) d, unnest(range(1, len(ls) + 1)) t(i)) WHERE trim(text) <> '')"""
+
+
+def normal_sql(text: str) -> str:
+    """A line without inline markup. Underscores and tags do not occur in these texts; what a
+    pattern only looks at is taken and put back, twice where matches may touch."""
+    out = text
+    for old, new in X.LIGATURES.items():
+        out = f"replace({out}, '{old}', '{new}')"
+    word = r"[\p{L}\p{M}\p{N}]"
+    for pattern, into, times in (
+        (r"(?s)\*\*==>.*?<==\*\*", "", 1),
+        (r"(?s)\*\*(.+?)\*\*", r"\1", 1),
+        (rf"({word})(ffi|ffl|fi|fl|ff) ([a-z])", r"\1\2\3", 2),
+        (r"(^|[^A-Za-z])(fi|fl|ff) ([a-z]{2})", r"\1\2\3", 2),
+        (rf"({word})- ([a-z])", r"\1\2", 2),
+        (r"[ \t]+", " ", 1),
+        (r"^\s+|\s+$", "", 1),
+        (r"^((?:[-*•■]\s+)?)u\s+([A-Z])", r"\1\2", 1),
+    ):
+        for _ in range(times):
+            out = f"regexp_replace({out}, '{pattern}', '{into}', 'g')"
+    return out
 
 
 def heading_sql(text: str) -> str:
-    """Cleaned heading for lines with nothing else to repair."""
+    """A heading whose markup is gone: no dots or colons at its ends, no drop cap set apart."""
     return rf"regexp_replace(trim({text}, ' .:'), '^((?:\d+(?:\.\d+)*\s+)?)([B-HJ-Z]) ([a-z]{{3}})', '\1\2\3')"
 
 
@@ -104,16 +124,20 @@ def display_sql(h: str) -> str:
 
 
 CLEAN = rf"""
-cleaned AS (SELECT * REPLACE (CASE WHEN kind = 'heading' THEN {heading_sql('text')} ELSE text END AS text) FROM SOURCE),
-roled AS (SELECT *, CASE WHEN kind = 'heading' AND regexp_matches(text, '(?i)^(?:chapter\s+)?\d{{1,2}}\.?$') THEN 'bare'
-    WHEN kind = 'heading' AND {is_heading_sql('text')} THEN 'head' ELSE 'unit' END AS role FROM cleaned WHERE text <> '')"""
+normed AS (SELECT * REPLACE ({normal_sql("CASE WHEN kind = 'heading' THEN regexp_replace(text, '^#{1,6}\\s*', '') ELSE text END")} AS text) FROM SOURCE),
+cleaned AS (SELECT * REPLACE (CASE kind WHEN 'heading' THEN {heading_sql("regexp_replace(text, '\\s+', ' ', 'g')")}
+    WHEN 'table' THEN CASE WHEN trim(text, '| ') = '' THEN '' ELSE text END
+    ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS text) FROM normed),
+bulleted AS (SELECT *, kind = 'heading' AND regexp_matches(regexp_replace(text, '^#{{1,6}}\s*', ''), '^\s*[-*•●■▪◦‣]') AS bullet FROM cleaned WHERE text <> ''),
+roled AS (SELECT *, CASE WHEN bullet THEN 'unit' WHEN kind = 'heading' AND regexp_matches(text, '(?i)^(?:chapter\s+)?\d{{1,2}}\.?$') THEN 'bare'
+    WHEN kind = 'heading' AND {is_heading_sql('text')} THEN 'head' ELSE 'unit' END AS role FROM bulleted)"""
 DOC = "PARTITION BY doc_id ORDER BY page, pos"
-UNITS_OUT = """SELECT doc_id, page, pos, CASE kind WHEN 'list_item' THEN 'list_item' ELSE 'text' END AS kind,
-  CASE WHEN kind = 'list_item' THEN '- ' || regexp_replace(text, '^\\d+[.)]\\s+', '') ELSE text END AS text, path FROM pathed
+UNITS_OUT = r"""SELECT doc_id, page, pos, CASE WHEN bullet OR kind = 'list_item' THEN 'list_item' WHEN kind = 'table' THEN 'table' ELSE 'text' END AS kind,
+  CASE WHEN bullet OR kind = 'list_item' THEN '- ' || regexp_replace(text, '^\s*(?:[-*•●■▪◦‣–]|\d+[.)])\s+', '') ELSE text END AS text, path FROM pathed
   WHERE role = 'unit' AND NOT (kind = 'text' AND (doc_id, text) IN (SELECT (doc_id, text) FROM repeated))"""
 REPEATED = """
 page_count AS (SELECT doc_id, count(DISTINCT page) AS pages FROM SOURCE GROUP BY 1),
-repeated AS (SELECT doc_id, text, count(*) AS n FROM (SELECT DISTINCT doc_id, page, text FROM SOURCE WHERE kind = 'text' AND length(text) >= 40)
+repeated AS (SELECT doc_id, text, count(*) AS n FROM (SELECT DISTINCT doc_id, page, text FROM cleaned WHERE kind = 'text' AND length(text) >= 40)
   JOIN page_count USING (doc_id) GROUP BY 1, 2 HAVING count(*) >= greatest(6, 0.04 * any_value(pages)))"""
 NUMBERED_LINES = """
 numbered AS (SELECT * REPLACE (CASE WHEN kind <> 'heading' THEN text WHEN mark < '4' THEN (page % 3 + 1) || ' ' || text
@@ -153,7 +177,7 @@ def sections_markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CAPS = f"""
-caps_lines AS (SELECT * REPLACE (CASE WHEN kind = 'heading' AND mark < '4' THEN upper(text) ELSE text END AS text) FROM lines),"""
+caps_lines AS (SELECT * REPLACE (CASE WHEN kind = 'heading' AND mark < '4' THEN upper(replace(text, 'ß', 'SS')) ELSE text END AS text) FROM lines),"""
 CAPS_PATH = rf"""
 marked AS (SELECT *, {display_sql('text')} AS shown, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) >= 3
     AND NOT regexp_matches(regexp_replace(text, '[^\p{{L}}]', '', 'g'), '[^\p{{Lu}}]') AS caps FROM roled),
@@ -262,7 +286,7 @@ def sections_running(spark: SparkSession, sf: str) -> DataFrame:
     return _units(ST.structure_units(b, "running", aliases={"skin care": "Skin conditions"}))
 
 
-@register("repeated_paragraphs", "A4", f"WITH {LINES},{REPEATED.replace('SOURCE', 'lines')} SELECT doc_id, text, n FROM repeated")
+@register("repeated_paragraphs", "A4", f"WITH {LINES},{CLEAN},{REPEATED} SELECT doc_id, text, n FROM repeated".replace("SOURCE", "lines"))
 def repeated_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return ST.repeated_paragraphs(line_blocks(spark, sf))
 
