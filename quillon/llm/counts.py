@@ -13,6 +13,7 @@ each row is counted alone; an empty table gives no rows; further columns don't t
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ WORD_CHARS = 200
 PIECES_BATCH = 2_000
 ROWS_AT_ONCE = 500
 # Distinct pre-tokens that a task holds before it passes them on, and little more.
-GATHERED = 100_000
+GATHERED = 60_000
 
 _S = regex.escape(WHITE_SPACE, special_only=False)
 # Fixed value: the split of byte-level BPE, with the library's idea of white space.
@@ -119,8 +120,11 @@ def splitter(vocabulary: str) -> PreTokens:
 
 
 def library(vocabulary: str) -> Tokenizer:
-    """The library's model, one for each Python worker."""
+    """The library's model, one for each Python worker; words split before are forgotten."""
+    _SPLITTERS.clear()
     if vocabulary not in _MODELS:
+        # Spark's tasks fill the cores; threads of the library would each keep memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model = Tokenizer.from_file(vocabulary)
         model.no_truncation()
         model.no_padding()
@@ -136,6 +140,7 @@ def distinct_pieces(tokens: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             pieces: list[int] = []
+            pa.default_memory_pool().release_unused()
             for at in range(0, len(texts), PIECES_BATCH):
                 some = texts[at : at + PIECES_BATCH]
                 pieces += [len(e.ids) for e in model.encode_batch(some, add_special_tokens=False)]
@@ -192,6 +197,7 @@ def token_counts(
                         counts.update(split.of(value))
                 if len(counts) > GATHERED:
                     yield out()
+            pa.default_memory_pool().release_unused()
         yield out()
 
     tokens = (
@@ -213,6 +219,7 @@ def token_counts(
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_AT_ONCE):
                 yield some(whole.slice(low, ROWS_AT_ONCE), split, pieces_of)
+            pa.default_memory_pool().release_unused()
 
     def some(batch: pa.RecordBatch, split: PreTokens, pieces_of: dict[str, int]) -> pa.RecordBatch:
         sizes, sums, far, far_times, offsets = [], [], [], [], [0]

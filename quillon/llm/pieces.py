@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from quillon.llm.shared import row_by_row
 
 SPACE = "▁"
-KNOWN_WORDS = 200_000
+# A worker remembers at most twice so many.
+KNOWN_WORDS = 350_000
 WORD_CHARS = 200
 PAIRS = 1_000_000
 # A run of space marks opens a word; marks at the very end are a word of their own.
