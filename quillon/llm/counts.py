@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from quillon.llm.shared import WHITE_SPACE, stored
 BROADCAST_TOKENS = 100_000
 BROADCAST_CHARS = 64
 # A worker's memory of words already split: at most twice so many.
-KNOWN_WORDS = 60_000
+KNOWN_WORDS = 120_000
 WORD_CHARS = 200
 PIECES_BATCH = 2_000
 ROWS_AT_ONCE = 500
@@ -43,6 +44,10 @@ PRE_TOKEN = regex.compile(
 )
 
 
+# A space beside white space.
+TOUCHING = tuple({pair for c in WHITE_SPACE for pair in (f" {c}", f"{c} ")})
+
+
 class PreTokens:
     """Pre-token frequencies of a text, special strings included as pre-tokens of their own."""
 
@@ -70,6 +75,21 @@ class PreTokens:
             self.known[word] = found
         return found
 
+    def words(self, text: str) -> tuple[str, list[str]] | None:
+        """The text up to its first space and the words behind its spaces, if it can be cut there.
+
+        It can if no space touches other white space or the ends and no special string occurs.
+        """
+        if any(pair in text for pair in TOUCHING) or any(s in text for s in self.special):
+            return None
+        first, *words = text.split(" ")
+        return (first, words) if first and (not words or words[-1]) else None
+
+    def tokens(self, word: str) -> tuple[str, ...]:
+        """The pre-tokens of a space and a word out of ``words``."""
+        found = self.known.get(word)
+        return self._word(word) if found is None else found
+
     def _part(self, text: str, counts: Counter) -> None:
         """A part without special strings.
 
@@ -132,6 +152,52 @@ def library(vocabulary: str) -> Tokenizer:
     return _MODELS[vocabulary]
 
 
+class Sums:
+    """Pieces of a text by the known pre-tokens, and how often each other one occurs."""
+
+    def __init__(self, split: PreTokens, pieces_of: dict[str, int]) -> None:
+        self.split, self.pieces_of = split, pieces_of
+        self.known: dict[str, tuple[int, tuple[str, ...]]] = {}
+        self.older: dict[str, tuple[int, tuple[str, ...]]] = {}
+
+    def _word(self, word: str) -> tuple[int, tuple[str, ...]]:
+        found = self.known.get(word) or self.older.get(word)
+        if found is None:
+            tokens = PRE_TOKEN.findall(f" {word}")
+            pieces = [self.pieces_of.get(t) for t in tokens]
+            others = tuple(t for t, p in zip(tokens, pieces, strict=True) if p is None)
+            found = (sum(p for p in pieces if p is not None), others)
+        if len(word) <= WORD_CHARS:
+            if len(self.known) >= KNOWN_WORDS:
+                self.older, self.known = self.known, {}
+            self.known[word] = found
+        return found
+
+    def of(self, text: str) -> tuple[int, Counter]:
+        total, others = 0, Counter()
+        cut = self.split.words(text) if text else None
+        if cut is None:
+            times_of = self.split.of(text)
+        else:
+            times_of = Counter(PRE_TOKEN.findall(cut[0]))
+            get, make = self.known.get, self._word
+            found = [get(word) or make(word) for word in cut[1]]
+            total = sum([f[0] for f in found])
+            for f in found:
+                if f[1]:
+                    others.update(f[1])
+        for token, times in times_of.items():
+            pieces = self.pieces_of.get(token)
+            if pieces is None:
+                others[token] += times
+            else:
+                total += pieces * times
+        return total, others
+
+
+_SUMS: dict[str, Sums] = {}
+
+
 def distinct_pieces(tokens: DataFrame, vocabulary: str) -> DataFrame:
     """pieces of each row's token, by the library."""
 
@@ -181,21 +247,32 @@ def token_counts(
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(vocabulary)
         counts: Counter = Counter()
+        words: Counter = Counter()
 
         def out() -> pa.RecordBatch:
+            for word, times in words.items():
+                for token in split.tokens(word):
+                    counts[token] += times
             made = pa.RecordBatch.from_arrays(
                 [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
                 names=["token", "times"],
             )
             counts.clear()
+            words.clear()
             return made
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 for value in batch.column(0).slice(at, ROWS_AT_ONCE).to_pylist():
-                    if value:
+                    if not value:
+                        continue
+                    cut = split.words(value)
+                    if cut is None:
                         counts.update(split.of(value))
-                if len(counts) > GATHERED:
+                    else:
+                        counts.update(PRE_TOKEN.findall(cut[0]))
+                        words.update(cut[1])
+                if len(counts) + len(words) > GATHERED:
                     yield out()
             pa.default_memory_pool().release_unused()
         yield out()
@@ -214,24 +291,23 @@ def token_counts(
     # A row of its own for each input row, so that repeated and null ids stay apart.
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    run = uuid.uuid4().hex
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces_of = splitter(vocabulary), near.value
+        if run not in _SUMS:
+            _SUMS.clear()
+            _SUMS[run] = Sums(splitter(vocabulary), near.value)
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_AT_ONCE):
-                yield some(whole.slice(low, ROWS_AT_ONCE), split, pieces_of)
+                yield some(whole.slice(low, ROWS_AT_ONCE), _SUMS[run])
             pa.default_memory_pool().release_unused()
 
-    def some(batch: pa.RecordBatch, split: PreTokens, pieces_of: dict[str, int]) -> pa.RecordBatch:
+    def some(batch: pa.RecordBatch, sums_of: Sums) -> pa.RecordBatch:
         sizes, sums, far, far_times, offsets = [], [], [], [], [0]
         for value in batch.column(2).to_pylist():
-            total = 0
-            for token, times in split.of(value or "").items():
-                pieces = pieces_of.get(token)
-                if pieces is None:
-                    far.append(token)
-                    far_times.append(times)
-                else:
-                    total += pieces * times
+            total, others = sums_of.of(value or "")
+            far += others.keys()
+            far_times += others.values()
             sizes.append(len((value or "").encode()))
             sums.append(total)
             offsets.append(len(far))
