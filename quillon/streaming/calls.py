@@ -129,19 +129,22 @@ SENTENCE = T.StructType(
 
 
 class Sentences(StatefulProcessor):
-    """Sentences of replies that arrive in pieces; the last piece flushes the rest."""
+    """Sentences of replies that arrive in pieces; the last piece flushes the rest, and so do, of
+    timed pieces, ``idle_ms`` without one, so that no reply stays for ever. Null pieces say nothing.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.buffer = handle.getValueState("buffer", "text string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
         held = self.buffer.get()[0] if self.buffer.exists() else ""
         out = []
-        for row in frame.itertuples(index=False):
-            done, held = next_sentences(held + row.text)
+        for text, last in zip(frame["text"], frame["last"], strict=True):
+            done, held = next_sentences(held + ("" if pd.isna(text) else text))
             out += [(key[0], s) for s in done]
-            if row.last:
+            if not pd.isna(last) and last:
                 if held.strip():
                     out.append((key[0], held.strip()))
                 held = ""
@@ -149,17 +152,34 @@ class Sentences(StatefulProcessor):
             self.buffer.update((held,))
         else:
             self.buffer.clear()
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if held:
+                self.handle.registerTimer(_micros(frame["ts"].max()) // 1000 + self.idle_ms)
         yield pd.DataFrame(out, columns=SENTENCE.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.buffer.get()[0].strip() if self.buffer.exists() else ""
+        self.buffer.clear()
+        yield pd.DataFrame([(key[0], held)] if held else [], columns=SENTENCE.names)
+
     def close(self) -> None:
         pass
 
 
-def sentence_stream(pieces: DataFrame) -> DataFrame:
-    """``pieces(reply_id, seq, text, last)`` to sentences."""
+def sentence_stream(
+    pieces: DataFrame, idle_seconds: int = 3600, delay: str = "10 minutes"
+) -> DataFrame:
+    """``pieces(reply_id, seq, text, last)`` to sentences. With a column ``ts``, a reply without a
+    piece for ``idle_seconds`` counts as ended."""
     prepare(pieces.sparkSession)
-    return pieces.groupBy("reply_id").transformWithStateInPandas(
-        Sentences(), SENTENCE, outputMode="append", timeMode="None"
+    timed = "ts" in pieces.columns
+    processor = Sentences()
+    processor.idle_ms = idle_seconds * 1000 if timed else None
+    rows = pieces.withWatermark("ts", delay) if timed else pieces
+    return rows.groupBy("reply_id").transformWithStateInPandas(
+        processor, SENTENCE, outputMode="append", timeMode="EventTime" if timed else "None"
     )
 
 
@@ -252,3 +272,165 @@ def single_use(claims: DataFrame, lifetime: float = 3600.0, delay: str = "10 min
     return rate_limit_stream(
         claims.withColumnRenamed("token", "key"), most=1, seconds=lifetime, delay=delay
     )
+
+
+RECOVERY = T.StructType(
+    [
+        T.StructField("call_id", T.LongType()),
+        T.StructField("event_id", T.LongType()),
+        T.StructField("recover_us", T.LongType()),
+    ]
+)
+
+
+def _micros(ts: pd.Timestamp) -> int:
+    return ts.value // 1000
+
+
+class BargeIns(StatefulProcessor):
+    """Speech that cuts a reply off and is followed by no words in time.
+
+    Rows wait until the watermark has passed them and are then taken in order, so the result does
+    not depend on how they arrive. A cut-off waits on a timer, which words in time call off.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, kind string, play long")
+        self.open = handle.getListState("open", "at long, event_id long")
+        self.playing = handle.getValueState("playing", "until long")
+
+    def _advance(self, call_id: int, rows: list, passed: int) -> list:
+        until = self.playing.get()[0] if self.playing.exists() else None
+        cut, out = list(self.open.get()), []
+        rows.sort()
+        ready = [r for r in rows if r[0] <= passed]
+        for at, event_id, kind, play in ready:
+            if kind == "audio":
+                until = max(at, until if until is not None else at) + play
+            elif kind == "start":
+                if until is not None and at < until:
+                    cut.append((at, event_id))
+            else:
+                out += [c for c in cut if at - c[0] > self.wait]
+                cut = []
+        out += [c for c in cut if c[0] + self.wait <= passed]
+        cut = [c for c in cut if c[0] + self.wait > passed]
+        later = rows[len(ready) :]
+        for state, kept in ((self.waiting, later), (self.open, cut)):
+            state.clear()
+            if kept:
+                state.put(kept)
+        if until is not None:
+            self.playing.update((until,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        due = [r[0] for r in later] + [c[0] + self.wait for c in cut]
+        if due:
+            self.handle.registerTimer(max(min(due), passed) // 1000 + 1)
+        return [(call_id, event_id, at + self.wait) for at, event_id in out]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        waiting = [tuple(r) for r in self.waiting.get()]
+        for frame in rows:
+            waiting += [
+                (_micros(ts), int(event_id), kind, 0 if pd.isna(play) else int(play))
+                for ts, event_id, kind, play in zip(
+                    frame["ts"], frame["event_id"], frame["kind"], frame["play_us"], strict=True
+                )
+            ]
+        out = self._advance(key[0], waiting, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield pd.DataFrame(out, columns=RECOVERY.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = [tuple(r) for r in self.waiting.get()]
+        out = self._advance(key[0], waiting, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield pd.DataFrame(out, columns=RECOVERY.names)
+
+    def close(self) -> None:
+        pass
+
+
+def barge_in_stream(marks: DataFrame, wait_seconds: int = 6, delay: str = "10 minutes") -> DataFrame:
+    """``marks(call_id, event_id, ts, kind, play_us)`` to the moments a question is asked again.
+
+    Kinds: ``audio`` of a reply with its playing time, ``start`` of speech, ``words``.
+    """
+    prepare(marks.sparkSession)
+    processor = BargeIns()
+    processor.wait = wait_seconds * 1_000_000
+    return (
+        marks.withWatermark("ts", delay)
+        .groupBy("call_id")
+        .transformWithStateInPandas(processor, RECOVERY, outputMode="append", timeMode="EventTime")
+    )
+
+
+LIVE = T.StructType(
+    [
+        T.StructField("call_id", T.LongType()),
+        T.StructField("transcript", T.StringType()),
+        T.StructField("ended_us", T.LongType()),
+        T.StructField("active", T.BooleanType()),
+    ]
+)
+
+
+class LiveCalls(StatefulProcessor):
+    """What each call shows right now; a call without events for ``idle_ms`` is finished and its
+    state goes, after a last row that says so."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.said = handle.getListState("said", "text string")
+        self.shown = handle.getValueState("shown", "interim string, ended long")
+
+    def _row(self, call_id: int, said: list, interim: str, ended: int, active: bool) -> pd.DataFrame:
+        transcript = " ".join([*said, interim] if interim else said)
+        return pd.DataFrame([(call_id, transcript, ended, active)], columns=LIVE.names)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        said = [s[0] for s in self.said.get()]
+        interim, ended = self.shown.get() if self.shown.exists() else ("", 0)
+        for row in frame.itertuples(index=False):
+            ended = max(ended, _micros(row.ts))
+            text = "" if pd.isna(row.text) else row.text
+            closes = row.type == "utterance_end" or (row.type == "final" and row.speech_final is True)
+            if closes:
+                said, interim = [], ""
+            elif row.type == "final":
+                said, interim = said + [text] * bool(text), ""
+            elif row.type == "interim":
+                interim = text
+        self.said.clear()
+        if said:
+            self.said.put([(s,) for s in said])
+        self.shown.update((interim, ended))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(ended // 1000 + self.idle_ms)
+        yield self._row(key[0], said, interim, ended, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        interim, ended = self.shown.get()
+        said = [s[0] for s in self.said.get()]
+        self.said.clear()
+        self.shown.clear()
+        yield self._row(key[0], said, interim, ended, False)
+
+    def close(self) -> None:
+        pass
+
+
+def live_call_stream(events: DataFrame, idle_seconds: int = 900, delay: str = "10 minutes") -> DataFrame:
+    """``events(call_id, event_id, ts, type, text, speech_final)`` to changed rows of the live set;
+    ``ledger.upsert_batch`` keeps them as a table. Events of a call come in order."""
+    prepare(events.sparkSession)
+    processor = LiveCalls()
+    processor.idle_ms = idle_seconds * 1000
+    return (
+        events.withWatermark("ts", delay)
+        .groupBy("call_id")
+        .transformWithStateInPandas(processor, LIVE, outputMode="update", timeMode="EventTime")
+    )

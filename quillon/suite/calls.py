@@ -55,14 +55,15 @@ def call_utterances(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@register(
-    "live_transcripts", "R2",
-    f"""WITH {EVENTS}, said AS (SELECT *, coalesce(sum(ends::INT) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn,
+LIVE = f"""
+    said AS (SELECT *, coalesce(sum(ends::INT) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn,
         sum(ends::INT) OVER (PARTITION BY call_id) AS turns FROM ev WHERE type <> 'speech_started'),
     o AS (SELECT call_id, string_agg(text, ' ' ORDER BY ts_us, event_id) FILTER (type = 'final') AS finals,
-      arg_max(CASE WHEN type = 'interim' THEN text ELSE '' END, (ts_us, event_id)) AS last FROM said WHERE turn = turns AND NOT ends GROUP BY 1)
-    SELECT call_id, trim(coalesce(finals, '') || ' ' || coalesce(last, '')) AS transcript FROM (SELECT DISTINCT call_id FROM ev) LEFT JOIN o USING (call_id)""",
-)
+      arg_max(CASE WHEN type = 'interim' THEN text ELSE '' END, (ts_us, event_id)) AS last FROM said WHERE turn = turns AND NOT ends GROUP BY 1),
+    live AS (SELECT call_id, trim(coalesce(finals, '') || ' ' || coalesce(last, '')) AS transcript FROM (SELECT DISTINCT call_id FROM ev) LEFT JOIN o USING (call_id))"""
+
+
+@register("live_transcripts", "R2", f"WITH {EVENTS},{LIVE} SELECT * FROM live")
 def live_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     return C.live_transcripts(transcript(spark, sf))
 
@@ -148,10 +149,14 @@ def idle_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return C.idle_sessions(transcript(spark, sf))
 
 
+def play_us():
+    return F.round(F.col("value") * 300 * 1e6).cast("bigint")
+
+
 def audio_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Views as chunks of audio that play for a while after they are sent."""
     return transcript(spark, sf).where("type = 'interim'").select(
-        "call_id", "event_id", "ts_us", F.round(F.col("value") * 300 * 1e6).cast("bigint").alias("play_us")
+        "call_id", "event_id", "ts_us", play_us().alias("play_us")
     )
 
 
@@ -166,14 +171,15 @@ def playback_horizon(spark: SparkSession, sf: str) -> DataFrame:
     return C.playback_until(audio_chunks(spark, sf))
 
 
-@register(
-    "barge_in_recoveries", "R5",
-    f"""WITH {EVENTS},{PLAYBACK}, s AS (SELECT call_id, event_id, ts_us,
+RECOVERIES = """
+    s AS (SELECT call_id, event_id, ts_us,
         (SELECT arg_max(until_us, (p.ts_us, p.event_id)) FROM playback p WHERE p.call_id = e.call_id AND (p.ts_us, p.event_id) < (e.ts_us, e.event_id)) AS playing,
         (SELECT min(f.ts_us) FROM ev f WHERE f.call_id = e.call_id AND f.type = 'final' AND (f.ts_us, f.event_id) > (e.ts_us, e.event_id)) AS next_us
       FROM ev e WHERE type = 'speech_started')
-    SELECT call_id, event_id, ts_us + 3600000000 AS recover_us FROM s WHERE ts_us < playing AND (next_us IS NULL OR next_us - ts_us > 3600000000)""",
-)
+    SELECT call_id, event_id, ts_us + 3600000000 AS recover_us FROM s WHERE ts_us < playing AND (next_us IS NULL OR next_us - ts_us > 3600000000)"""
+
+
+@register("barge_in_recoveries", "R5", f"WITH {EVENTS},{PLAYBACK},{RECOVERIES}")
 def barge_in_recoveries(spark: SparkSession, sf: str) -> DataFrame:
     e = transcript(spark, sf)
     pick = ("call_id", "event_id", "ts_us")

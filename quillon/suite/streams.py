@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from quillon.functions.text import sentences, split_units
 from quillon.operators import bm25
 from quillon.operators.compress import compress
 from quillon.session import shared_dir, written
 from quillon.streaming import calls as S
-from quillon.streaming.ledger import claim_batch
+from quillon.streaming.ledger import claim_batch, current_version, upsert_batch
 from quillon.suite.base import register, table
-from quillon.suite.calls import EVENTS, LATENCY, SESSIONS, UTTERANCES, transcript
+from quillon.suite.calls import EVENTS, LATENCY, LIVE, PLAYBACK, RECOVERIES, SESSIONS, UTTERANCES, play_us, transcript
 from quillon.suite.retrieval import chunks, questions
 
 CLOSING = "timestamp'2100-01-01'"
@@ -24,25 +27,45 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def event_stream(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
-    """The events as a file stream, closed by rows far in the future of a call of its own."""
-    folder = _folder(spark, "stream")
-    rows = transcript(spark, sf).withColumn("ts", F.timestamp_micros("ts_us")).select(*columns)
-    last = rows.limit(1).withColumn("call_id", F.lit(-1).cast("long")).withColumn("ts", F.expr(CLOSING))
-    rows.unionByName(last).write.parquet(f"{folder}/a")
-    last.withColumn("ts", F.expr(f"{CLOSING} + interval 1 day")).write.parquet(f"{folder}/b")
-    return spark.readStream.schema(rows.schema).parquet(f"{folder}/*")
+@dataclass(frozen=True)
+class Feed:
+    """A folder that is filled slice by slice, and the stream over it."""
 
+    folder: str
+    slices: tuple[DataFrame, ...]
 
-def finished(df: DataFrame, name: str) -> DataFrame:
+    @property
+    def stream(self) -> DataFrame:
+        first = self.slices[0]
+        return first.sparkSession.readStream.schema(first.schema).parquet(f"{self.folder}/*")
+
+    def run(self, write: Callable[[], DataStreamWriter]) -> None:
+        """After each slice the query takes up where it left and runs to the end of what there is."""
+        for number, rows in enumerate(self.slices):
+            rows.write.parquet(f"{self.folder}/{number}")
+            write().trigger(availableNow=True).start().awaitTermination()
+
+
+def event_feed(spark: SparkSession, sf: str, columns: list[str], closed: bool = True) -> Feed:
+    """The events in three slices of time; ``closed`` adds rows far in the future of a call of its
+    own, which let all that waits go."""
+    rows = transcript(spark, sf).withColumn("ts", F.timestamp_micros("ts_us"))
+    cuts = rows.select(F.percentile_approx("ts_us", [0.4, 0.8]).alias("at")).first()["at"] or [0, 0]
+    at = F.col("ts_us")
+    parts = [rows.where(at <= cuts[0]), rows.where((at > cuts[0]) & (at <= cuts[1])), rows.where(at > cuts[1])]
+    parts = [p.select(*columns) for p in parts]
+    if closed:
+        last = rows.limit(1).withColumn("call_id", F.lit(-1).cast("long")).withColumn("ts", F.expr(CLOSING)).select(*columns)
+        parts[-1] = parts[-1].unionByName(last)
+        parts.append(last.withColumn("ts", F.expr(f"{CLOSING} + interval 1 day")))
+    return Feed(_folder(spark, "stream"), tuple(parts))
+
+
+def finished(df: DataFrame, name: str, feed: Feed) -> DataFrame:
     """The stream's whole output as a table."""
     spark = df.sparkSession
     out, state = _folder(spark, name), _folder(spark, f"{name}-state")
-    query = (
-        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    feed.run(lambda: df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state))
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -51,10 +74,10 @@ def finished(df: DataFrame, name: str) -> DataFrame:
     f"WITH {EVENTS},{UTTERANCES} SELECT call_id, text, round(confidence, 6) AS confidence, end_reason, endpoint_latency_ms FROM utt",
 )
 def utterance_stream(spark: SparkSession, sf: str) -> DataFrame:
-    events = event_stream(
+    feed = event_feed(
         spark, sf, ["call_id", "event_id", "ts", "type", "text", "speech_final", "confidence", "endpoint_latency_ms"]
     )
-    out = finished(S.utterance_stream(events, idle_seconds=60 * 86400), "utterances")
+    out = finished(S.utterance_stream(feed.stream, idle_seconds=60 * 86400), "utterances", feed)
     return out.where("call_id >= 0").withColumn("confidence", F.round("confidence", 6))
 
 
@@ -63,7 +86,8 @@ def utterance_stream(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {EVENTS},{SESSIONS} SELECT call_id, started_us, count(*) AS events FROM marked GROUP BY 1, 2",
 )
 def idle_session_stream(spark: SparkSession, sf: str) -> DataFrame:
-    out = finished(S.idle_sessions(event_stream(spark, sf, ["call_id", "event_id", "ts"])), "sessions")
+    feed = event_feed(spark, sf, ["call_id", "event_id", "ts"])
+    out = finished(S.idle_sessions(feed.stream), "sessions", feed)
     return out.where("call_id >= 0")
 
 
@@ -72,9 +96,9 @@ def idle_session_stream(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {EVENTS} SELECT ts_us - ts_us % 86400000000 AS start_us, call_id, event_type AS metric, {LATENCY} FROM ev GROUP BY 1, 2, 3""",
 )
 def latency_window_stream(spark: SparkSession, sf: str) -> DataFrame:
-    events = event_stream(spark, sf, ["call_id", "event_id", "ts", "text", "value"])
-    samples = events.select("call_id", "ts", F.regexp_replace("text", r"\d+$", "").alias("metric"), F.col("value").alias("value_ms"))
-    out = finished(S.latency_windows(samples, "1 day"), "windows").where("call_id >= 0")
+    feed = event_feed(spark, sf, ["call_id", "event_id", "ts", "text", "value"])
+    samples = feed.stream.select("call_id", "ts", F.regexp_replace("text", r"\d+$", "").alias("metric"), F.col("value").alias("value_ms"))
+    out = finished(S.latency_windows(samples, "1 day"), "windows", feed).where("call_id >= 0")
     for c in ("mean", "max", "p50", "p95", "p99"):
         out = out.withColumn(c, F.round(c, 6))
     return out
@@ -100,15 +124,15 @@ TOKENS = "SELECT event_type || json_extract_string(props, '$.k') AS key, event_i
 @register("single_use_stream", "R9", limited_sql(TOKENS, 1, 5 * 86400))
 def single_use_stream(spark: SparkSession, sf: str) -> DataFrame:
     """A token lives for five days; the events last longer, so tokens are claimed again."""
-    events = event_stream(spark, sf, ["call_id", "event_id", "ts", "text"]).where("call_id >= 0")
-    return finished(S.single_use(events.withColumnRenamed("text", "token"), 5 * 86400.0), "tokens")
+    feed = event_feed(spark, sf, ["call_id", "event_id", "ts", "text"], closed=False)
+    return finished(S.single_use(feed.stream.withColumnRenamed("text", "token"), 5 * 86400.0), "tokens", feed)
 
 
 @register("rate_limit_stream", "R8", limited_sql("SELECT user_id AS key, event_id, ts FROM events", 3, 86400))
 def rate_limit_stream(spark: SparkSession, sf: str) -> DataFrame:
-    events = event_stream(spark, sf, ["call_id", "event_id", "ts"]).where("call_id >= 0")
-    hits = events.withColumnRenamed("call_id", "key")
-    return finished(S.rate_limit_stream(hits, most=3, seconds=86400.0), "verdicts")
+    feed = event_feed(spark, sf, ["call_id", "event_id", "ts"], closed=False)
+    hits = feed.stream.withColumnRenamed("call_id", "key")
+    return finished(S.rate_limit_stream(hits, most=3, seconds=86400.0), "verdicts", feed)
 
 
 # Whole replies are read from the left: each step takes the text to the next closing mark.
@@ -126,15 +150,13 @@ SELECT reply_id, sentence FROM walk WHERE sentence IS NOT NULL UNION ALL SELECT
 @register("sentence_stream", "R3", SENTENCE_WALK)
 def sentence_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Replies arrive in two pieces each."""
-    folder = _folder(spark, "replies")
     c = table(spark, sf, "conversations").where("role = 'assistant'")
     key = (F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id")
     half = F.floor(F.length("text") / 2).cast("int")
     first = c.select(key, F.lit(0).alias("seq"), F.substr("text", F.lit(1), half).alias("text"), F.lit(False).alias("last"))
     second = c.select(key, F.lit(1).alias("seq"), F.substr("text", half + 1).alias("text"), F.lit(True).alias("last"))
-    first.unionByName(second).write.parquet(folder)
-    pieces = spark.readStream.schema(first.schema).parquet(folder)
-    return finished(S.sentence_stream(pieces), "sentences")
+    feed = Feed(_folder(spark, "replies"), (first, second))
+    return finished(S.sentence_stream(feed.stream), "sentences", feed)
 
 
 @register(
@@ -143,20 +165,44 @@ def sentence_stream(spark: SparkSession, sf: str) -> DataFrame:
 )
 def send_once_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Every event asks for its user's message of the day; the ledger lets one through."""
-    events = event_stream(spark, sf, ["call_id", "event_id", "ts"]).where("call_id >= 0")
-    asks = events.select(
+    feed = event_feed(spark, sf, ["call_id", "event_id", "ts"], closed=False)
+    asks = feed.stream.select(
         F.concat_ws(":", F.lit("low"), "call_id", F.to_date("ts")).alias("dedupe_key"),
         F.col("call_id").alias("client_id"), F.lit("send").alias("decision"),
     )
     ledger, state = _folder(spark, "ledger"), _folder(spark, "ledger-state")
-    query = (
-        asks.writeStream.foreachBatch(claim_batch(ledger, "events")).option("checkpointLocation", state)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    feed.run(lambda: asks.writeStream.foreachBatch(claim_batch(ledger, "events")).option("checkpointLocation", state))
     return spark.read.parquet(ledger).select("dedupe_key", "client_id")
 
 
+@register("barge_in_stream", "R5", f"WITH {EVENTS},{PLAYBACK},{RECOVERIES}")
+def barge_in_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream's twin of ``barge_in_recoveries``: words that do not come are noticed by a timer."""
+    feed = event_feed(spark, sf, ["call_id", "event_id", "ts", "type", "value"])
+    kind = F.when(F.col("type") == "speech_started", "start").when(F.col("type") == "final", "words").when(F.col("type") == "interim", "audio")
+    marks = feed.stream.select("call_id", "event_id", "ts", kind.alias("kind"), play_us().alias("play_us")).where("kind is not null or call_id < 0")
+    return finished(S.barge_in_stream(marks, wait_seconds=3600), "recoveries", feed)
+
+
+IDLE_DAYS = 3
+
+
+@register(
+    "live_call_stream", "R2 R14",
+    f"""WITH {EVENTS},{LIVE}, ends AS (SELECT call_id, max(ts_us) AS ended_us FROM ev GROUP BY 1)
+    SELECT call_id, transcript, ended_us, ended_us // 1000 + {IDLE_DAYS * 86_400_000} > (SELECT max(ts_us) // 1000 - 600000 FROM ev) AS active
+    FROM live JOIN ends USING (call_id)""",
+)
+def live_call_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The live set after the last event: what each call shows, and whether it still runs."""
+    feed = event_feed(spark, sf, ["call_id", "event_id", "ts", "type", "text", "speech_final"], closed=False)
+    changes = S.live_call_stream(feed.stream, idle_seconds=IDLE_DAYS * 86400)
+    path, state = _folder(spark, "live"), _folder(spark, "live-state")
+    keep = upsert_batch(path, ["call_id"], "ended_us")
+    feed.run(lambda: changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state))
+    return current_version(spark, path)
+
+
 @register("compressed_passages", "B5 H6")
 def compressed_passages(spark: SparkSession, sf: str) -> DataFrame:
     """The five best passages of every benchmark question, compressed for it."""
