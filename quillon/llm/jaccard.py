@@ -6,12 +6,12 @@
    its minimum there, so two sets share a child with the probability of their similarity. A node
    with few sets is searched whole. In a larger one all are compared with the first: what
    resembles it is linked to it, and if that is all, the node is done. Else it is split again,
-   without its core: the distance 1 - J is a metric, so what is within 0.2 of a set that is as
-   near to the first as ``CORE`` resembles the first too and is linked already. Sketches stand
-   in for similarities: a set that isn't linked agrees with the first in 25 coordinates or fewer,
-   one of the core in 53 or more, so the two agree in 36 or fewer; a pair at a similarity of 0.8
-   does so with a probability of 1.4e-5. All runs read the same sketches, so they don't lower it;
-   it concerns only pairs of a core set and an unlinked one in a node split again.
+   without its core: sets that agree with the first in at least 28 coordinates (``MARGIN``) more
+   than any unlinked set of the node does. Such a set and an unlinked one differ where only one
+   of them agrees with the first, so they agree in 36 coordinates of 64 or fewer; a pair at a
+   similarity of 0.8 does so with a probability of 1.4e-5. All runs read the same sketches, so
+   they don't lower it; it concerns only pairs of a core set and an unlinked one in a node split
+   again. Near copies, linked and far from all else in their node, leave it at once.
    With two branches and a similarity of 0.8 a pair that is never split
    apart survives at 94 % a run; at the usual depth of one, six runs miss it with 0.2^12.
    Nodes left at ``DEPTH`` are searched whole in tiles, whatever their size.
@@ -53,7 +53,8 @@ BRANCHES = 2
 SMALL_NODE = 48
 DEPTH = 8
 LOOSE = 0.4
-CORE = 0.82
+# 28 of 64 coordinates.
+MARGIN = 0.4375
 TILE = 256
 WORD = re.compile(r"[^\W_]+")
 KNOWN_WORDS = 200_000
@@ -115,9 +116,19 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return _mixed(out).astype(np.uint32)
 
 
+def mark_of(key: Column, text: Column) -> Column:
+    unnamed = F.concat(F.lit("null "), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.coalesce(key.cast("string"), unnamed)
+
+
 def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """doc_id, node (the set's name), n (its size), sketch (minima as bytes)."""
-    rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
+    """doc_id, mark, node (the set's name), n (its size), sketch (minima as bytes).
+
+    ``mark`` finds the text again: the id, for a null one a digest of the text.
+    """
+    rows = docs.select(
+        docs[key].alias("doc_id"), docs[text].alias("text"), mark_of(docs[key], docs[text]).alias("mark")
+    )
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,14 +143,17 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(names, pa.binary()),
                     pa.array(sizes, pa.int64()),
                     pa.array(sketches, pa.binary()),
                 ],
-                names=["doc_id", "node", "n", "sketch"],
+                names=["doc_id", "mark", "node", "n", "sketch"],
             )
 
-    return rows.mapInArrow(body, f"doc_id {kind}, node binary, n bigint, sketch binary")
+    return rows.mapInArrow(
+        body, f"doc_id {kind}, mark string, node binary, n bigint, sketch binary"
+    )
 
 
 # --- runs of rows with one key ----------------------------------------------------------------
@@ -282,10 +296,10 @@ def loose_edges(sets: DataFrame, *, runs: int = RUNS, small: int = SMALL_NODE, d
                 "stars",
             )
         )
-        mixed = compared.where(~alike).select("path").distinct()
-        rest = stored(
-            compared.where(F.col("near") < CORE).join(mixed, "path", "left_semi"), "mixed"
-        )
+        # How near the unlinked sets of a mixed node come to its first set.
+        mixed = compared.where(~alike).groupBy("path").agg(F.max("near").alias("nearest"))
+        rest = compared.join(mixed, "path").where(F.col("near") < F.col("nearest") + MARGIN)
+        rest = stored(rest.drop("nearest"), "mixed")
         if not rest.limit(1).count():
             return edges
         if level < depth:
@@ -469,6 +483,7 @@ def similar_documents(
         .groupBy("node")
         .agg(
             F.min("doc_id").alias("first_id"),
+            F.min_by("mark", F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("mark"),
             F.count(F.lit(1)).alias("weight"),
             F.first("sketch").alias("sketch"),
         ),
@@ -479,16 +494,12 @@ def similar_documents(
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     candidates = stored(
         groups.join(sizes, "label")
-        .join(classes.select("node", "first_id", "weight"), "node")
-        .select(F.col("label").alias("group"), "size", "node", "weight", "first_id"),
+        .join(classes.select("node", "mark", "weight"), "node")
+        .select(F.col("label").alias("group"), "size", "node", "weight", "mark"),
         "candidates",
     )
-    texts = docs.select(docs[key].alias("first_id"), docs[text].alias("text"))
-    # Null ids have no order; the class of a null id alone is looked up by a null-safe key.
-    of_text = F.coalesce(F.col("first_id").cast("string"), F.lit("null")).alias("_id")
-    texts = join_small(
-        texts.select(of_text, "text"), candidates.select("*", of_text), ["_id"], ["text"]
-    )
+    texts = docs.select(mark_of(docs[key], docs[text]).alias("mark"), docs[text].alias("text"))
+    texts = join_small(texts, candidates, ["mark"], ["text"])
     links = stored(verified(with_hashes(texts, width), threshold), "links")
     near = links.where("links is not null").groupBy("node").agg(F.sum("links").alias("near"))
     labels = components(

@@ -362,10 +362,34 @@ def test_similar_documents_equal_brute_force(spark, docs, texts, empty, limits,
         assert jaccard.similar_documents(docs).count() == len(texts)
 
 
+def test_null_ids_do_not_meet(spark):
+    """Near copies without ids are told apart by their texts, and classes come out whole."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        words[i] = f"other{i}"
+        texts.append(" ".join(words))
+    rows = [(None, t) for t in texts] + [(None, "quite another text of six words")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    links = Counter(r.n_links for r in jaccard.similar_documents(docs).collect())
+    sets = [plain_shingles(t) for t in texts]
+    wanted = Counter(
+        sum(a is not b and len(a & b) >= 0.8 * len(a | b) for b in sets) for a in sets
+    )
+    assert links == wanted + Counter({2: 3})
+
+
+def plain_shingles(text: str) -> set:
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
 def test_core_loses_no_similar_pair():
     """What a core set and an unlinked one may agree in at most is out of reach of a true pair."""
     n, p = jaccard.COORDINATES, jaccard.THRESHOLD
-    agree = n - (math.ceil(jaccard.CORE * n) - (math.ceil(jaccard.LOOSE * n) - 1))
+    agree = n - math.ceil(jaccard.MARGIN * n)
     chance = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(agree + 1))
     assert chance < 1e-4
 
