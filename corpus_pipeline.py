@@ -22,35 +22,41 @@ from quillon.suite.base import table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-ROW = "_row"
+def row_name(docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have, whatever the case."""
+    name, taken = "_row", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, written once: read again, it is the same."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written once: read again, it is the same; its name."""
+    name = row_name(docs)
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+def without(rows: DataFrame, gone: DataFrame, number: str) -> DataFrame:
     """Numbered rows less those of ``gone``; broadcast only behind a measured size."""
-    numbers = stored(gone.select(ROW).distinct(), "gone")
+    numbers = stored(gone.select(number).distinct(), "gone")
     side = F.broadcast(numbers) if fits_broadcast(numbers) else numbers
-    return rows.join(side, ROW, "left_anti").drop(ROW)
+    return rows.join(side, number, "left_anti").drop(number)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    rows = numbered(docs)
-    judged = quality.classify(rows, table(spark, sf_dir, "labels"), row=ROW)
-    return without(rows, judged.where(~F.col("kept")))
+    rows, row = numbered(docs)
+    judged = quality.classify(rows, table(spark, sf_dir, "labels"), row=row)
+    return without(rows, judged.where(~F.col("kept")), row)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar documents the one with the least id stays (null last)."""
-    rows = numbered(docs)
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
+    rows, row = numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)
     classes = jaccard.similar_documents(rows.select(key.alias("_key"), "text"), key="_key")
-    later = F.col("doc_id")[ROW] != F.col("class_id")[ROW]
-    return without(rows, classes.where(later).select(F.col("doc_id")[ROW].alias(ROW)))
+    later = F.col("doc_id")[row] != F.col("class_id")[row]
+    return without(rows, classes.where(later).select(F.col("doc_id")[row].alias(row)), row)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +64,9 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     The numbers that order rows of one id are written with the texts before they are used.
     """
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    done = suffixes.remove_repeats(rows, row=ROW)
+    row = row_name(docs)
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    done = suffixes.remove_repeats(rows, row=row)
     replaced = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
     return done.select(
         *(replaced[c].alias(c) if c in replaced else F.col(c) for c in docs.columns)
@@ -68,9 +75,9 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    rows = numbered(docs)
-    found = leaks.contained_items(rows, table(spark, sf_dir, "benchmark"), key=ROW)
-    return without(rows, found.select(F.col("doc_id").alias(ROW)))
+    rows, row = numbered(docs)
+    found = leaks.contained_items(rows, table(spark, sf_dir, "benchmark"), key=row)
+    return without(rows, found.select(F.col("doc_id").alias(row)), row)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
