@@ -62,32 +62,37 @@ def shard_documents(
     slices of a shard, and a slice begins where the counts of those before it end.
     """
     own = ["size", "text_crc32", "shard", "grown_shard", "slot"]
-    kept = [c for c in docs.columns if c not in own]
+    kept = [c for c in docs.columns if c.lower() not in own]
+    # Working columns get names that no column of the input has.
+    mark = "_"
+    while any(c.lower().startswith(f"{mark}jump") or c.lower().startswith(f"{mark}at_") for c in kept):
+        mark += "_"
+    jump, slice_, n, begin, row = (f"{mark}{x}" for x in ("jump", "at_slice", "at_n", "at_begin", "at_row"))
     bytes_ = F.octet_length(F.coalesce(F.col(text), F.lit("")))
     placed = docs.select(
         *kept,
         (bytes_ + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        jump_shards(F.col(key), shards, shards + 1).alias("_jump"),
+        jump_shards(F.col(key), shards, shards + 1).alias(jump),
     ).select(
         "*",
-        F.col(f"_jump.of_{shards}").alias("shard"),
-        F.col(f"_jump.of_{shards + 1}").alias("grown_shard"),
-        F.pmod(F.xxhash64(key, "text_crc32"), F.lit(SLICES)).cast("int").alias("_slice"),
-    ).drop("_jump")
+        F.col(f"{jump}.of_{shards}").alias("shard"),
+        F.col(f"{jump}.of_{shards + 1}").alias("grown_shard"),
+        F.pmod(F.xxhash64(key, "text_crc32"), F.lit(SLICES)).cast("int").alias(slice_),
+    ).drop(jump)
     # At most shards x SLICES rows, so the running sum is small whatever the table's size.
-    counts = placed.groupBy("shard", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_slice").rowsBetween(
+    counts = placed.groupBy("shard", slice_).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy("shard").orderBy(slice_).rowsBetween(
         Window.unboundedPreceding, -1
     )
     begins = counts.select(
-        "shard", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin")
+        "shard", slice_, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(begin)
     )
-    inside = Window.partitionBy("shard", "_slice").orderBy(key, "text_crc32", "size")
+    inside = Window.partitionBy("shard", slice_).orderBy(key, "text_crc32", "size")
     return (
-        placed.withColumn("_row", F.row_number().over(inside) - 1)
-        .join(F.broadcast(begins), ["shard", "_slice"])
-        .withColumn("slot", (F.col("_begin") + F.col("_row")).cast("bigint"))
+        placed.withColumn(row, F.row_number().over(inside) - 1)
+        .join(F.broadcast(begins), ["shard", slice_])
+        .withColumn("slot", (F.col(begin) + F.col(row)).cast("bigint"))
         .select(*kept, *own)
     )
 

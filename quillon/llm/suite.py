@@ -127,9 +127,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame(
-        [(-7, 0, "user", hard), (-7, 1, "assistant", hard)],
-        "conv_id bigint, turn bigint, role string, text string",
+    extra = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(hard).alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra)
     made = chat.format_conversations(turns).select(
@@ -147,6 +149,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return read.select(
         "conv_id",
+        "order_ok",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss_text").cast("bigint").alias("loss_chars"),
@@ -166,11 +169,14 @@ with turns as (
 ), sized as (
     select *,
         length('<|' || '|>' || chr(10) || '<|end|>' || chr(10)) + length(role) + length(text)
-        + length(regexp_replace(role || text, '[^<>\\]', '', 'g')) as chars
+        + length(regexp_replace(role || text, '[^<>\\]', '', 'g')) as chars,
+        coalesce(lag(role) over (partition by conv_id order by turn, role, text), '') || chr(10) || role as step,
+        lead(role) over (partition by conv_id order by turn, role, text) is null as at_end
     from turns
 )
 select
     conv_id,
+    bool_and(step in (ALLOWED)) and bool_or(at_end and role in (LAST)) as order_ok,
     count(*) as n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text))
         as turns_sha256,
@@ -182,6 +188,12 @@ from sized
 group by conv_id
 """
 
+SQL["op9_chat_format"] = (
+    SQL["op9_chat_format"]
+    .replace("ALLOWED", ", ".join(f"'{a}' || chr(10) || '{b}'" for a, nexts in chat.CHAT.follows.items() for b in nexts))
+    .replace("LAST", ", ".join(f"'{r}'" for r in chat.CHAT.last))
+)
+
 
 @query
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
