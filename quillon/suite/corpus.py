@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +12,12 @@ from quillon.functions import text as X
 from quillon.functions.ids import chunk_id, content_hash
 from quillon.operators import chunk as CH
 from quillon.operators import index as IX
+from quillon.operators import ingest as IN
 from quillon.operators import structure as ST
-from quillon.operators.stats import latency_summary
 from quillon.scale import spread
-from quillon.session import written
+from quillon.session import shared_dir, written
 from quillon.sources import blocks as B
+from quillon.sources import reports
 from quillon.suite.base import register, table
 
 
@@ -466,33 +469,46 @@ def report_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@register(
-    "ingest_report", "A2 S20",
-    """WITH d AS (SELECT source AS document_id, *, 't' || (doc_id % 9) AS topic FROM documents),
-    c AS (SELECT document_id, topic, count(*) AS n FROM d GROUP BY 1, 2),
-    t AS (SELECT document_id, string_agg(topic || '=' || n, ',' ORDER BY n DESC, topic) AS topics FROM
-      (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC, topic) <= 5) GROUP BY 1)
-    SELECT document_id, count(*) AS chunks, count(*) FILTER (n_chars >= 40) AS retrievable, count(DISTINCT lang) AS populations,
-      round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.95), 6) AS p95, max(n_chars)::DOUBLE AS max, any_value(topics) AS topics
-    FROM d JOIN t USING (document_id) GROUP BY 1""",
-)
+@register("ingest_report", "A2 S6 S20")
 def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
-    rows = report_rows(spark, sf)
-    counts = rows.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("chunks"), F.count(F.when(F.col("retrievable"), 1)).alias("retrievable"),
-        F.countDistinct("population").alias("populations"),
+    """The chunks of a run, written by document and read back, and what is reported of them."""
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    made = all_chunks(spark, sf)
+    reports.write_chunks(made, f"{folder}/chunks")
+    chunks = reports.read_chunks(spark, f"{folder}/chunks", made.schema)
+    pages = table(spark, sf, "documents").groupBy(F.col("source").alias("document_id")).agg(
+        F.countDistinct("doc_id").alias("pages")
     )
-    sizes = latency_summary(rows, ["document_id"], "token_count").select(
-        "document_id", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), F.col("max").cast("double").alias("max")
-    )
-    topics = rows.groupBy("document_id", "topic").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("document_id").orderBy(F.col("n").desc(), "topic")
-    top = topics.withColumn("_i", F.row_number().over(order)).where("_i <= 5").groupBy("document_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_i", F.concat("topic", F.lit("="), "n").alias("t")))), lambda s: s["t"]), ","
-        ).alias("topics")
+    report = written(IN.document_report(chunks, pages), "report")
+    reports.write_markdown(report, f"{folder}/report", "Chunks by document", ["document_id"])
+    return report
+
+
+@register(
+    "document_report", "A2",
+    """WITH d AS (SELECT source AS document_id, *, 't' || (doc_id % 9) AS topic, CASE WHEN doc_id % 5 = 0 THEN 'table' ELSE 'text' END AS kind FROM documents WHERE doc_id % 16 > 0),
+    p AS (SELECT source AS document_id, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1),
+    one AS (SELECT document_id, count(*) AS chunks, count(*) FILTER (n_chars >= 40) AS retrievable, count(DISTINCT lang) AS sections,
+      round(quantile_cont(n_chars, 0.5), 1) AS tokens_p50, round(quantile_cont(n_chars, 0.95), 1) AS tokens_p95, max(n_chars) AS tokens_max FROM d GROUP BY 1),
+    k AS (SELECT document_id, string_agg(kind || '=' || n, ',' ORDER BY kind) AS chunk_types FROM (SELECT document_id, kind, count(*) AS n FROM d GROUP BY 1, 2) GROUP BY 1),
+    l AS (SELECT document_id, string_agg(lang || '=' || n, ',' ORDER BY lang) AS populations FROM (SELECT document_id, lang, count(*) AS n FROM d GROUP BY 1, 2) GROUP BY 1),
+    t AS (SELECT document_id, string_agg(topic || '=' || n, ',' ORDER BY n DESC, topic) AS top_topics FROM
+      (SELECT document_id, topic, count(*) AS n FROM d GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC, topic) <= 5) GROUP BY 1)
+    SELECT document_id, pages, coalesce(chunks, 0) AS chunks, coalesce(retrievable, 0) AS retrievable, coalesce(sections, 0) AS sections, coalesce(tokens_p50, 0) AS tokens_p50,
+      coalesce(tokens_p95, 0) AS tokens_p95, coalesce(tokens_max, 0) AS tokens_max, coalesce(chunk_types, '') AS chunk_types, coalesce(populations, '') AS populations, coalesce(top_topics, '') AS top_topics
+    FROM p LEFT JOIN one USING (document_id) LEFT JOIN k USING (document_id) LEFT JOIN l USING (document_id) LEFT JOIN t USING (document_id)""",
+)
+def document_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's arithmetic over documents as chunks, by languages as sections."""
+    d = table(spark, sf, "documents")
+    rows = d.where("doc_id % 16 > 0").select(
+        F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.array("lang").alias("heading_path"),
+        F.col("n_chars").alias("token_count"), (F.col("n_chars") >= 40).alias("retrievable"),
+        F.when(F.col("doc_id") % 5 == 0, "table").otherwise("text").alias("chunk_type"), F.col("lang").alias("population"),
+        F.concat(F.lit("t"), F.col("doc_id") % 9).alias("topic"),
     )
-    return counts.join(sizes, "document_id").join(top, "document_id")
+    pages = d.groupBy(F.col("source").alias("document_id")).agg(F.countDistinct("doc_id").alias("pages"))
+    return IN.document_report(rows, pages)
 
 
 @register(

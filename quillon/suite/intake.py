@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import wording as W
-from quillon.operators import filters
+from quillon.operators import bm25, filters
+from quillon.session import written
 from quillon.suite.base import register, table
+from quillon.suite.retrieval import BASE, POSTINGS, bm25_sql, chunks, questions
 
 INTAKE = """
 intake AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS chief_complaint, CASE WHEN o_orderkey % 4 > 1 THEN '3 days' ELSE '' END AS duration,
@@ -81,33 +83,24 @@ def passage_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "passage_descriptions", "H29",
-    """WITH p AS (SELECT item_id, doc_id, text, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM documents, benchmark_ids WHERE doc_id % n = item_id AND item_id % 5 > 0 QUALIFY rank <= 3)
-    SELECT item_id AS query_id, count(doc_id) AS found, CASE WHEN item_id % 2 = 0 THEN 'Searched for readers: child.' || chr(10) ELSE '' END
-      || coalesce(string_agg('[' || rank || '] p.' || doc_id || ' in Doc, Publisher' || chr(10) || trim(p.text), chr(10) || chr(10) ORDER BY rank), 'No passage answers this.') AS description
-    FROM benchmark b LEFT JOIN p USING (item_id) GROUP BY 1""".replace(
-        "documents, benchmark_ids", "documents, (SELECT item_id, count(*) OVER () AS n FROM benchmark)"
-    ).replace("SELECT item_id, doc_id, text,", "SELECT item_id, doc_id, text,"),
+    f"""{BASE},{POSTINGS},{bm25_sql('hits', 'questions', 3)}
+    SELECT b.item_id AS query_id, count(h.chunk_id) AS found, CASE WHEN b.item_id % 2 = 0 THEN 'Searched for readers: child.' || chr(10) ELSE '' END
+      || coalesce(string_agg('[' || h.bm25_rank || '] p.' || d.doc_id || ' in Doc, Publisher' || chr(10) || trim(d.text), chr(10) || chr(10) ORDER BY h.bm25_rank), 'No passage answers this.') AS description
+    FROM benchmark b LEFT JOIN hits h ON h.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = h.chunk_id GROUP BY 1""",
 )
 def passage_descriptions(spark: SparkSession, sf: str) -> DataFrame:
-    """Each benchmark question with up to three documents as its passages; every fifth finds none."""
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
-    n = asked.count()
-    population = F.when(F.col("query_id") % 2 == 0, "child").otherwise("all")
-    order = Window.partitionBy("query_id").orderBy("page_number")
-    rows = (
-        table(spark, sf, "documents")
-        .select((F.col("doc_id") % n).alias("query_id"), F.col("doc_id").alias("page_number"), "text")
-        .join(asked.where("query_id % 5 > 0"), "query_id")
-        .withColumn("rank", F.row_number().over(order))
-        .where("rank <= 3")
-        .withColumns(
-            {
-                "document_title": F.lit("Doc"), "publisher": F.lit("Publisher"), "publication_date": F.lit(None).cast("string"),
-                "heading_path": F.array().cast("array<string>"), "population": F.lit("all"),
-            }
-        )
+    """The three best passages of each benchmark question, in words."""
+    c = written(chunks(spark, sf), "chunks")
+    asked = questions(spark, sf).select("query_id", "text")
+    hits = bm25.search(bm25.build_index(c), asked, 3).select("query_id", "chunk_id", F.col("bm25_rank").alias("rank"))
+    rows = hits.join(c.select("chunk_id", "page_number", "text"), "chunk_id").withColumns(
+        {
+            "document_title": F.lit("Doc"), "publisher": F.lit("Publisher"), "publication_date": F.lit(None).cast("string"),
+            "heading_path": F.array().cast("array<string>"), "population": F.lit("all"),
+        }
     )
-    return W.described_passages(rows, asked.withColumn("population", population)).withColumn(
+    population = F.when(F.col("query_id") % 2 == 0, "child").otherwise("all")
+    return W.described_passages(rows, asked.select("query_id", population.alias("population"))).withColumn(
         "found", F.col("found").cast("bigint")
     )
 
