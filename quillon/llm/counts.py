@@ -30,12 +30,12 @@ from quillon.llm.shared import WHITE_SPACE, stored
 BROADCAST_TOKENS = 100_000
 BROADCAST_CHARS = 64
 # A worker's memory of words already split: at most twice so many.
-KNOWN_WORDS = 120_000
+KNOWN_WORDS = 250_000
 WORD_CHARS = 200
 PIECES_BATCH = 2_000
 ROWS_AT_ONCE = 500
 # Distinct pre-tokens that a task holds before it passes them on, and little more.
-GATHERED = 60_000
+GATHERED = 200_000
 
 _S = regex.escape(WHITE_SPACE, special_only=False)
 # Fixed value: the split of byte-level BPE, with the library's idea of white space.
@@ -245,6 +245,7 @@ def token_counts(
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _SUMS.clear()
         split = splitter(vocabulary)
         counts: Counter = Counter()
         words: Counter = Counter()
