@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import bm25, dense, filters, metrics
@@ -61,6 +62,68 @@ def standard_systems(corpus: Corpus, scorer: Scorer = word_overlap) -> dict[str,
     }
 
 
+class StageClock:
+    """Times the legs of systems: each is run to a stored table, and a row says how long it took.
+
+    A leg answers a whole table of questions at once, so a question's share is the leg's time
+    over their number.
+    """
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, str, int, float]] = []
+
+    def stage(self, system: str, name: str, questions: int, result: DataFrame) -> DataFrame:
+        start = time.perf_counter()
+        stored = written(result, f"{system}-{name}".replace("+", "-"))
+        self.rows.append((system, name, questions, (time.perf_counter() - start) * 1000))
+        return stored
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(system, stage, questions, total_ms, ms): a row for each leg of each system."""
+        rows = [(*row, row[3] / max(1, row[2])) for row in self.rows]
+        return spark.createDataFrame(
+            rows, "system string, stage string, questions bigint, total_ms double, ms double"
+        )
+
+
+def timed_systems(
+    corpus: Corpus, questions: DataFrame, scorer: Scorer = word_overlap
+) -> tuple[DataFrame, DataFrame]:
+    """Hits of the standard systems as ``run_systems`` gives them, and the time of each leg.
+
+    Legs that systems share are run once for each system, as each would by itself.
+    """
+    spark, clock = questions.sparkSession, StageClock()
+    bare = questions.drop(*[c for c in questions.columns if c.startswith("q_")])
+    aged = questions.where("age is not null")
+    asked = {"": bare, "+pop": filters.relax(aged), "+pop+topic": aged}
+    sizes = {suffix: q.count() for suffix, q in asked.items()}
+    parts = []
+
+    def leg(system: str, kind: str, suffix: str) -> tuple[DataFrame, str]:
+        q = asked[suffix]
+        if kind == "vector":
+            found, rank = dense.search(corpus.vectors, q, DEPTH), "dense_rank"
+        elif kind == "bm25":
+            found, rank = bm25.search(corpus.index, q, DEPTH), "bm25_rank"
+        else:
+            found, rank = hybrid_search(corpus, q), "rrf_rank"
+        return clock.stage(system, kind, sizes[suffix], found), rank
+
+    for kind in ("vector", "bm25", "hybrid"):
+        parts.append((kind, _hits(*leg(kind, kind, ""))))
+    for kind, suffix in (("vector", ""), ("hybrid", ""), ("hybrid", "+pop"), ("hybrid", "+pop+topic")):
+        system = f"{kind}+rerank{suffix}"
+        found, rank = leg(system, kind, suffix)
+        texts = attach_passages(found, asked[suffix], corpus.chunks)
+        ordered = clock.stage(system, "rerank", sizes[suffix], rerank(texts, rank, None, scorer))
+        parts.append((system, _hits(ordered, "reranker_rank")))
+    hits = reduce(
+        DataFrame.unionByName, [rows.withColumn("system", F.lit(name)) for name, rows in parts]
+    )
+    return hits, clock.table(spark)
+
+
 def run_systems(systems: dict[str, System], questions: DataFrame) -> DataFrame:
     """``hits(system, query_id, chunk_id, rank, scores...)`` of every system.
 

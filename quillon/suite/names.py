@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quillon.functions import names as N
 from quillon.operators import lookup as L
+from quillon.operators.dense import hashed_words
 from quillon.operators.stats import wilson
 from quillon.plans import lookup as plan
 from quillon.session import written
 from quillon.sources import catalogue as C
 from quillon.suite.base import register, table
+from quillon.suite.retrieval import vectors_sql
 
 FORMS = {"ECONOMY": "Tablet", "SMALL": "Capsule", "LARGE": "Syrup", "STANDARD": "Injection"}
 
@@ -338,23 +340,21 @@ def name_search(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "two_leg_candidates", "J11 M1 F5",
     f"""WITH {SEARCHED},
-    said AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || id)) AS rank
-      FROM heard JOIN merged ON lower(substring(heard, 1, 1)) = lower(substring(name, 1, 1)) QUALIFY rank <= 16),
+    {vectors_sql('nv', 'merged', 'id', 'name')},{vectors_sql('qv', 'heard', 'query_id', 'heard')},
+    near AS (SELECT query_id, id, round(coalesce(d, 0), 9) AS score FROM (SELECT query_id, id FROM heard, merged)
+      LEFT JOIN (SELECT query_id, id, sum(qv.x * nv.x) AS d FROM qv JOIN nv USING (slot) GROUP BY 1, 2) USING (query_id, id)),
+    said AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near QUALIFY rank <= 16),
     legs AS (SELECT query_id, id, 0 AS leg, rank FROM top UNION ALL SELECT query_id, id, 1, rank FROM said
       WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM top))
     SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY leg, rank, id) AS rank FROM legs""",
 )
 def two_leg_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """A second leg of up to 16 names is added behind the first (here: same first letter)."""
+    """An encoder's 16 nearest names are added behind the first leg's."""
     asked = written(L.tidy_heard(heard(spark, sf)), "heard")
     index = L.index_names(merged(spark, sf))
-    letter = F.lower(F.substring("name", 1, 1))
-    order = Window.partitionBy("_letter", "query_id").orderBy(F.md5(F.concat(F.col("query_id").cast("string"), "id")))
-    second = (
-        asked.select("query_id", F.lower(F.substring("heard", 1, 1)).alias("_letter"))
-        .join(index.names.select("id", letter.alias("_letter")), "_letter")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= L.DENSE_CANDIDATES)
+    second = L.encoder_leg(
+        index.names.select("id", hashed_words(F.col("name")).alias("vec")),
+        asked.select("query_id", hashed_words(F.col("heard")).alias("vec")),
     )
     return L.append_leg(L.search_names(index, asked), second).select("query_id", "id", "rank")
 

@@ -11,7 +11,7 @@ from quillon.functions.ids import content_hash, embedding_text, point_id
 from quillon.operators import bm25, dense, filters, metrics, stats
 from quillon.operators.dense import hashed_words
 from quillon.operators.fusion import fuse
-from quillon.plans import evaluation
+from quillon.plans import evaluation, surface
 from quillon.plans.retrieval import (
     Corpus, evidence_columns, guideline_search, hybrid_search, prepare, with_vectors,
 )
@@ -258,6 +258,36 @@ def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
     return hits.withColumn("bm25_score", F.round("bm25_score", 6))
 
 
+@register(
+    "query_lines", "S21",
+    f"""{BASE},{POSTINGS},{bm25_sql('hits', 'questions', 5, PASSES)}
+    SELECT query_id, bm25_rank AS rank, bm25_rank || '. bm25=' || printf('%.2f', round(bm25_score, 2)) || '(#' || bm25_rank || ')  ' || c.document_id || ' p' || c.chunk_id
+      || '  [' || CASE WHEN c.chunk_id % 5 = 0 THEN 'table' ELSE 'text' END || '/' || c.population || '/' || c.topic || ']' || chr(10) || '   ' || c.document_id
+      || chr(10) || '   ' || replace(substring(c.text, 1, 260), chr(10), ' ') AS line
+    FROM hits JOIN chunks c USING (chunk_id)""",
+)
+def query_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Filtered questions asked by words, as lines to read."""
+    c = written(chunks(spark, sf), "chunks")
+    index = bm25.build_index(c)
+    hits = surface.ask(Corpus(c, index, c), filtered(questions(spark, sf)), mode="bm25")
+    return surface.lines(hits, c)
+
+
+@register("query_lines_hybrid", "S21")
+def query_lines_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by both legs; filters that leave too little are relaxed, and the lines say so."""
+    c = corpus(spark, sf)
+    return surface.lines(surface.ask(c, filtered(questions(spark, sf))), c.chunks)
+
+
+@register("system_timings", "F4")
+def system_timings(spark: SparkSession, sf: str) -> DataFrame:
+    """How long each leg of each retrieval system takes for the benchmark questions."""
+    asked = written(with_vectors(filtered(questions(spark, sf))), "asked")
+    return evaluation.timed_systems(corpus(spark, sf), asked)[1]
+
+
 @register(
     "bm25_filtered_search", "P1 B1 T1",
     f"{BASE},{POSTINGS},{bm25_sql('hits', 'questions', 15, PASSES)} "
