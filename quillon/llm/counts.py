@@ -135,6 +135,7 @@ _MODELS: dict[str, Tokenizer] = {}
 def splitter(vocabulary: str) -> PreTokens:
     """One for each Python worker, whatever the number of tasks it runs."""
     if vocabulary not in _SPLITTERS:
+        _SUMS.clear()
         _SPLITTERS[vocabulary] = PreTokens(vocabulary)
     return _SPLITTERS[vocabulary]
 
@@ -198,6 +199,14 @@ class Sums:
 _SUMS: dict[str, Sums] = {}
 
 
+def sums_of_run(run: str, vocabulary: str, pieces_of: dict[str, int]) -> Sums:
+    """One for each Python worker and run; that of an earlier run is forgotten."""
+    if run not in _SUMS:
+        _SUMS.clear()
+        _SUMS[run] = Sums(splitter(vocabulary), pieces_of)
+    return _SUMS[run]
+
+
 def distinct_pieces(tokens: DataFrame, vocabulary: str) -> DataFrame:
     """pieces of each row's token, by the library."""
 
@@ -245,7 +254,6 @@ def token_counts(
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _SUMS.clear()
         split = splitter(vocabulary)
         counts: Counter = Counter()
         words: Counter = Counter()
@@ -295,12 +303,10 @@ def token_counts(
     run = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if run not in _SUMS:
-            _SUMS.clear()
-            _SUMS[run] = Sums(splitter(vocabulary), near.value)
+        sums_of = sums_of_run(run, vocabulary, near.value)
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS_AT_ONCE):
-                yield some(whole.slice(low, ROWS_AT_ONCE), _SUMS[run])
+                yield some(whole.slice(low, ROWS_AT_ONCE), sums_of)
             pa.default_memory_pool().release_unused()
 
     def some(batch: pa.RecordBatch, sums_of: Sums) -> pa.RecordBatch:
