@@ -215,7 +215,23 @@ def compressed_passages(spark: SparkSession, sf: str) -> DataFrame:
     return compress(texts, 60).select("query_id", "chunk_id", "original_tokens", "kept_tokens", "kept_units", "total_units")
 
 
-@register("text_units", "H5 H6 F1")
+def split_sql(text: str) -> str:
+    """Sentences: cut behind closing punctuation and space where a capital, digit or mark follows."""
+    mark = "chr(1)"
+    cut = rf"""regexp_replace({text}, '([.!?;])\s+([A-Z0-9("''•-])', '\1' || {mark} || '\2', 'g')"""
+    return f"string_split({cut}, {mark})"
+
+
+TRIMMED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@register(
+    "text_units", "H5 H6 F1",
+    f"""SELECT doc_id, len(list_filter({split_sql('text')}, lambda s: trim(s) <> '')) AS sentences,
+      coalesce(list_sum(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: {TRIMMED.format('l')}), lambda l: l <> ''),
+        lambda l: CASE WHEN l[1] IN ('-', '|') THEN 1 ELSE len(list_filter({split_sql('l')}, lambda s: {TRIMMED.format('s')} <> '')) END)), 0)::BIGINT AS units
+    FROM documents""",
+)
 def text_units(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf, "documents").select(
