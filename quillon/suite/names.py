@@ -380,8 +380,34 @@ def lookup_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     return plan.tally(written(plan.run(index, asked), "results"))
 
 
+def words_sql(name: str, source: str, text: str, word: str) -> str:
+    """Distinct content words of a table's names, with their sound."""
+    return f"""
+{name} AS (SELECT DISTINCT {word}, {sound_sql(word)} AS s{word} FROM (SELECT unnest(list_filter(nt, lambda x: NOT {is_form_sql('x')})) AS {word}
+  FROM (SELECT {name_tokens_sql(text)} AS nt FROM {source})))"""
+
+
+# Matching blocks by recursion: the longest common run of a stretch (the first in a, then in b),
+# then what lies before and behind it in both words.
+LIKENESS = rf"""
+likeness AS (WITH RECURSIVE wp AS (SELECT *, regexp_matches(a, '^\d') AS an, regexp_matches(b, '^\d') AS bn FROM aw JOIN bw ON substring(sa, 1, 1) = substring(sb, 1, 1)),
+sure AS (SELECT a, b FROM wp WHERE a = b OR (an AND bn AND try_cast(a AS DOUBLE) = try_cast(b AS DOUBLE))),
+rated AS (SELECT * FROM wp WHERE (a, b) NOT IN (SELECT (a, b) FROM sure) AND NOT an AND NOT bn AND least(length(a), length(b)) > 3),
+walk AS (
+  SELECT a, b, 0::BIGINT AS al, length(a) AS ah, 0::BIGINT AS bl, length(b) AS bh, 0::BIGINT AS k FROM rated
+  UNION ALL SELECT a, b, unnest([al, -m.i + m.k]), unnest([-m.i, ah]), unnest([bl, -m.j + m.k]), unnest([-m.j, bh]), unnest([m.k, 0])
+  FROM (SELECT *, list_max(flatten(list_transform(range(al, ah), lambda i: list_transform(range(bl, bh), lambda j: {{
+      'k': list_max(list_transform(range(0, least(ah - i, bh - j) + 1), lambda n: CASE WHEN substring(a, i + 1, n) = substring(b, j + 1, n) THEN n ELSE 0 END)), 'i': -i, 'j': -j}})))) AS m
+    FROM walk WHERE ah > al AND bh > bl) WHERE m.k > 0),
+alike AS (SELECT a, b, 2.0 * sum(k) / (length(a) + length(b)) AS alike FROM walk GROUP BY a, b)
+  SELECT a, b, 1.0::DOUBLE AS alike, true AS near, true AS near_spelt FROM sure
+  UNION ALL SELECT a, b, alike, levenshtein(a, b) <= 1 OR (sa = sb AND alike >= 0.6), levenshtein(a, b) <= 1 FROM alike JOIN rated USING (a, b) WHERE alike > 0)"""
+
+
 @register(
     "word_likeness", "H20 H22",
+    f"""WITH {PRODUCTS},{MERGED},{HEARD},{words_sql('aw', 'heard', 'heard', 'a')},{words_sql('bw', 'merged', 'name', 'b')},{LIKENESS}
+    SELECT a, b, round(alike, 6) AS alike, near, near_spelt FROM likeness""",
 )
 def word_likeness(spark: SparkSession, sf: str) -> DataFrame:
     """Likeness of every heard word and every catalogue word that share a first sound."""
