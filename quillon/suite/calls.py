@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import calls as C
+from quillon.operators import replies
 from quillon.operators.stats import latency_summary
 from quillon.suite.base import register, table
 
@@ -228,6 +229,35 @@ def coalesced_replies(spark: SparkSession, sf: str) -> DataFrame:
     return C.coalesced_replies(table(spark, sf, "conversations"))
 
 
+# A walk along each call that carries the state, where the reply began, and what it answers.
+SPOKEN = f"""
+marks AS (SELECT call_id, event_id, ts_us, CASE WHEN ends THEN 'said' WHEN type = 'interim' THEN 'audio' WHEN type = 'final' THEN 'done' ELSE 'cut' END AS mark,
+    row_number() OVER ({ORDER}) AS i FROM ev),
+spoken AS (WITH RECURSIVE walk AS (
+  SELECT call_id, 0::BIGINT AS i, false AS active, false AS heard, 0::BIGINT AS due, 0::BIGINT AS covers, NULL::BIGINT AS begun_id, NULL::BIGINT AS begun_us,
+    NULL::BIGINT AS told_id, NULL::BIGINT AS told_us, NULL::BIGINT AS told_covers, false AS cut FROM (SELECT DISTINCT call_id FROM marks)
+  UNION ALL SELECT call_id, i, CASE WHEN ends THEN due > 0 ELSE active OR mark = 'said' END,
+    CASE WHEN ends THEN false ELSE heard OR (active AND mark = 'audio') END,
+    CASE WHEN ends THEN 0 WHEN active AND mark = 'said' THEN due + 1 ELSE due END,
+    CASE WHEN ends THEN due WHEN NOT active AND mark = 'said' THEN 1 ELSE covers END,
+    CASE WHEN (ends AND due > 0) OR (NOT active AND mark = 'said') THEN event_id ELSE begun_id END,
+    CASE WHEN (ends AND due > 0) OR (NOT active AND mark = 'said') THEN ts_us ELSE begun_us END,
+    CASE WHEN ends AND heard THEN begun_id END, begun_us, covers, mark = 'cut'
+  FROM (SELECT w.*  EXCLUDE (i), m.i, m.mark, m.event_id, m.ts_us, w.active AND (m.mark = 'done' OR (m.mark = 'cut' AND w.heard)) AS ends
+    FROM walk w JOIN marks m ON m.call_id = w.call_id AND m.i = w.i + 1))
+  SELECT call_id, told_us AS ts_us, told_id AS event_id, 'assistant' AS role, told_covers AS covers, cut AS interrupted FROM walk WHERE told_id IS NOT NULL
+  UNION ALL SELECT call_id, ts_us, event_id, 'user', NULL, false FROM marks WHERE mark = 'said')"""
+
+
+@register("spoken_history", "R13", f"WITH {EVENTS},{SPOKEN} SELECT * FROM spoken")
+def spoken_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Turn ends are utterances, views audio; a segment ends a reply, other speech cuts it off."""
+    kind = F.col("type")
+    mark = F.when(C.is_end(), "said").when(kind == "interim", "audio").when(kind == "final", "done").otherwise("cut")
+    marks = transcript(spark, sf).select("call_id", "event_id", "ts_us", mark.alias("mark"))
+    return replies.spoken_history(marks, width=C.HOUR_US * 240)
+
+
 @register(
     "single_use_tokens", "R9",
     f"""WITH {EVENTS} SELECT text AS token, min(ts_us) AS ts_us, arg_min(event_id, (ts_us, event_id)) AS event_id FROM ev GROUP BY 1""",
