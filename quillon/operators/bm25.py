@@ -29,7 +29,9 @@ def suffix_stem(word: Column) -> Column:
     """A small English suffix rule: plurals, then -ing and -ed after a vowel."""
     out = F.regexp_replace(word, "(ss|i)es$", "$1")
     out = F.regexp_replace(out, "([^s])s$", "$1")
-    return F.regexp_replace(out, "^(.*[aeiouy].*)(ing|ed)$", "$1")
+    out = F.regexp_replace(out, "^(.*[aeiouy].*)(ing|ed)$", "$1")
+    # Only words with one of these last letters can change.
+    return F.when(F.right(word, F.lit(1)).isin("s", "g", "d"), out).otherwise(word)
 
 
 def raw_words(text: Column) -> Column:
