@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from quillon.operators.bm25 import TOKEN
 from quillon.operators.stats import auroc
-from quillon.scale import join_small, measured_bytes
+from quillon.scale import join_small
 
 KS = (1, 3, 5, 10, 20)
 NDCG_KS = (5, 10)
 TOO_BROAD = 40
-# Bytes of passages that are put into a plan at once.
-IN_PLAN = 1 << 20
+# Passages without an inner word are looked for by stretches of so many characters.
+GRAM = 3
 
 
 def criterion(
@@ -50,22 +50,22 @@ def _interior_words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(inner, F.lit(TOKEN), F.lit(0)))
 
 
-def containing_chunks(chunks: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) for every chunk that holds a passage's text word for word.
+def _grams(text: Column, size: Column | int) -> Column:
+    """Distinct stretches of ``size`` characters, each behind its size; of size 0 the empty one."""
+    size = F.lit(size) if isinstance(size, int) else size
+    last = F.greatest(F.length(text) - size + 1, F.lit(1))
+    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, size))
+    grams = F.filter(F.array_distinct(grams), lambda g: F.length(g) == size)
+    return F.transform(grams, lambda g: F.concat(size.cast("string"), F.lit(":"), g))
 
-    Each passage is looked for only where its rarest inner word occurs, so no pair is tried
-    without a word in common. A passage without an inner word is compared with every chunk.
+
+def _anchored(chunks: DataFrame, bag: DataFrame, words: DataFrame, passages: DataFrame) -> DataFrame:
+    """Chunks that hold a passage, looked for only where its rarest word occurs.
+
+    ``bag(chunk_id, word)`` and ``words(query_id, word)``: a chunk that holds a passage has its words.
     """
-    words = passages.select("query_id", F.explode(_interior_words(F.col("text"))).alias("word"))
-    asked = words.select("word").distinct()
-    bag = chunks.select(
-        "chunk_id",
-        F.explode(
-            F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))
-        ).alias("word"),
-    )
     # Only words some passage asks for are kept: most of the vocabulary drops out here.
-    bag = join_small(bag, asked, ["word"], ["chunk_id"])
+    bag = join_small(bag, words.select("word").distinct(), ["word"], ["chunk_id"])
     rarity = bag.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     anchors = (
         words.join(rarity, "word", "left")
@@ -79,20 +79,35 @@ def containing_chunks(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     verified = candidates.join(chunks.select("chunk_id", "text"), "chunk_id").where(
         F.contains("text", F.col("_text"))
     )
-    wordless = passages.where(F.size(_interior_words(F.col("text"))) == 0).select(
-        "query_id", F.col("text").alias("_text")
+    return verified.select("query_id", "chunk_id")
+
+
+def containing_chunks(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) for every chunk that holds a passage's text word for word.
+
+    Each passage is looked for only where its rarest inner word occurs, so no pair is tried
+    without a word in common. A passage without an inner word is looked for by its rarest
+    stretch of ``GRAM`` characters, or by all of them where it has fewer.
+    """
+    inner = passages.withColumn("_words", _interior_words(F.col("text")))
+    bag = chunks.select(
+        "chunk_id",
+        F.explode(
+            F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))
+        ).alias("word"),
+    )
+    words = inner.select("query_id", F.explode("_words").alias("word"))
+    found = _anchored(chunks, bag, words, passages)
+    wordless = inner.where(F.size("_words") == 0).drop("_words").withColumn(
+        "_size", F.least(F.length("text"), F.lit(GRAM))
     )
-    found = verified.select("query_id", "chunk_id")
-    # Passages without an inner word are few; they come to the chunks in blocks of a checked size.
-    blocks = -(-measured_bytes(wordless) // IN_PLAN)
-    for block in range(blocks):
-        some = wordless.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        listed = [F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r._text).alias("_text")) for r in some.collect()]
-        if listed:
-            held = F.filter(F.array(*listed), lambda p: F.contains(F.col("text"), p["_text"]))
-            rest = chunks.select("chunk_id", F.explode(held).alias("_m"))
-            found = found.unionByName(rest.select(F.col("_m.query_id").alias("query_id"), "chunk_id"))
-    return found
+    sizes = [r._size for r in wordless.select("_size").where("_size is not null").distinct().collect()]
+    if not sizes:
+        return found
+    grams = F.concat(*(F.when(F.length("text") >= n, _grams(F.col("text"), n)).otherwise(F.array().cast("array<string>")) for n in sizes))
+    bag = chunks.where(F.col("text").isNotNull()).select("chunk_id", F.explode(grams).alias("word"))
+    asked = wordless.select("query_id", F.explode(_grams(F.col("text"), F.col("_size"))).alias("word"))
+    return found.unionByName(_anchored(chunks, bag, asked, wordless))
 
 
 def question_scores(questions: DataFrame, rel: DataFrame, totals: DataFrame) -> DataFrame:

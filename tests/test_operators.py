@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import alerts as A
-from quillon.operators import bm25, chunk, dense, index, lookup
+from quillon.operators import bm25, chunk, dense, index, lookup, metrics
 from quillon.operators.compress import compress
 from quillon.operators.fusion import fuse
 from quillon.plans import lookup as plan
+from quillon.plans import retrieval, surface
 from quillon.sources.catalogue import CATALOGUE
 from quillon.streaming.calls import next_sentences
 
@@ -310,3 +311,43 @@ def test_a_collection_keeps_its_vector_size(spark, tmp_path):
         index.append_checked(other, path, vector="vec")
     index.append_checked(rows, path, vector="vec")
     assert spark.read.parquet(path).count() == 2 and index.stored_dimension(spark, path, "vec") == 2
+
+
+def test_passages_are_found_whatever_they_are_made_of(spark):
+    """Passages with words, without inner words, of one character and of none."""
+    rng = random.Random(15)
+    said = lambda n: "".join(rng.choice(["ab", "cd ", "e", " ", ".", "!?", "é", "x-", "\n"]) for _ in range(n))
+    chunks = [(i, said(rng.randint(0, 40))) for i in range(80)] + [(80, "")]
+    passages = [(i, said(rng.randint(1, 3))) for i in range(60)] + [(60, ""), (61, "é"), (62, ".!?.!?"), (63, "cd e ab")]
+    found = metrics.containing_chunks(
+        spark.createDataFrame(chunks, "chunk_id long, text string"),
+        spark.createDataFrame(passages, "query_id long, text string"),
+    ).collect()
+    wanted = {(q, c) for q, p in passages for c, t in chunks if p in t}
+    assert len(found) == len(set(found))
+    assert {tuple(r) for r in found} == wanted
+
+
+def test_equal_fits_are_ordered_by_a_scorer(spark, names):
+    asked = lookup.tidy_heard(spark.createDataFrame([(1, "bronquil syrup")], "query_id long, heard string"))
+    found = lookup.name_candidates(names, asked)
+    prefers = lambda heard, product: F.when(F.contains(product, F.lit(" C ")), 1.0).otherwise(0.0)
+    (row,) = lookup.decide(asked, found, scorer=prefers).collect()
+    assert row.choices == ["Bronquil C Syrup", "Bronquil LS Syrup"]
+
+
+def test_modes_of_asking(spark):
+    rows = [(i, f"zinc dose {i}" if i % 2 else f"malaria net {i}", ["Top", "Sub"], "doc", "Doc", True, "all", ["t1"], "text", i) for i in range(12)]
+    chunks = spark.createDataFrame(
+        rows, "chunk_id long, text string, heading_path array<string>, document_id string, document_title string, "
+        "retrievable boolean, population string, topics array<string>, chunk_type string, page_number long",
+    )
+    corpus = retrieval.prepare(chunks)
+    asked = spark.createDataFrame([(1, "zinc dose")], "query_id long, text string")
+    for mode in surface.MODES:
+        hits = surface.ask(corpus, asked, mode=mode, k=3)
+        lines = [r.line for r in surface.lines(hits, chunks).orderBy("rank").collect()]
+        assert len(lines) == 3 and all("zinc dose" in line and "[text/all/t1]" in line for line in lines)
+        assert lines[0].startswith("1. ")
+    with pytest.raises(ValueError):
+        surface.ask(corpus, asked, mode="other")
