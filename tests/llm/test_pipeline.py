@@ -110,3 +110,14 @@ def test_rows_of_one_id_are_judged_alone(spark, shared_ids):
     assert sum(passage in t for _, t in near) == 4 and sum(passage in t for _, t in repeats) == 1
     assert len(clean) == len(near) - len([t for _, t in near if prose(7777, 30) in t])
     assert {(None, fine["a"]), (None, fine["b"]), (2000, fine["c"])} <= set(clean)
+
+
+def test_columns_named_like_the_row_number_stay(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id bigint, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    rows = [(1, "so one two three four five six seven there", 7), (2, "quite other words", 8), (None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row int")
+    left = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted((r._row for r in left.collect())) == [8, 9]
