@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.operators.stats import auroc, bootstrap_interval, latency_summary
-from quillon.scale import block_scan, greedy_runs, join_small
+from quillon.scale import block_scan, greedy_runs, join_shuffled, join_small
+from quillon.session import written
 
 
 def test_block_scan_equals_a_walk(spark):
@@ -83,3 +84,16 @@ def test_greedy_runs_across_blocks(spark):
                 total = 0
             total += s
     assert starts == want and got.count() == len(rows)
+
+
+def test_a_join_of_growing_sides_is_never_a_broadcast(spark):
+    left = written(spark.range(1000).selectExpr("id", "id % 7 as key"), "left")
+    # Stored in a few kilobytes, so that the planner would broadcast it.
+    right = written(spark.range(7).selectExpr("id as key", "repeat('x', 1000) as wide"), "right")
+    for how, rows in (("inner", 1000), ("left", 1000), ("left_semi", 1000), ("left_anti", 0)):
+        for joined in (
+            join_shuffled(left, right, "key", how),
+            join_small(left, right, ["key"], ["id"], how=how, fits=False),
+        ):
+            assert joined.count() == rows
+            assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
