@@ -92,6 +92,22 @@ def test_bm25_edges(spark):
     assert bm25.search(ix, q, 0).count() == 0
 
 
+def test_bm25_tasks_grow_with_their_work(spark, monkeypatch):
+    rows = [(i, f"fever and cough number{i % 7}") for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string")
+    q = spark.createDataFrame([(1, "fever cough"), (2, "fever number3")], "query_id long, text string")
+    hits = lambda index: sorted(tuple(r) for r in bm25.search(index, q, 5).collect())
+    few = hits(bm25.build_index(chunks))
+    monkeypatch.setattr(bm25, "TASK_BYTES", 100)
+    monkeypatch.setattr(bm25, "TASK_PAIRS", 10)
+    index = bm25.build_index(chunks)
+    assert hits(index) == few and len(few) == 10
+    assert len(index.postings.inputFiles()) > 4
+    # 3 * 60 + 9 pairs of a term and a chunk.
+    plan = bm25.search(index, q, 5)._jdf.queryExecution().executedPlan().toString()
+    assert ", 19), REPARTITION_BY_NUM" in plan
+
+
 def test_dense_blocks_agree(spark, monkeypatch):
     rng = random.Random(2)
     vec = lambda: [rng.random() for _ in range(4)]
