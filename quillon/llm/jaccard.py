@@ -4,14 +4,18 @@
 2. Every set has ``COORDINATES`` minimum hashes. From the root of each of ``RUNS`` independent
    trees, ``BRANCHES`` coordinates are drawn at a node, and a set goes on to the child named by
    its minimum there, so two sets share a child with the probability of their similarity. A node
-   with few sets is searched whole. In a larger one all are compared with the first: what
-   resembles it is linked to it, and if that is all, the node is done. Else it is split again,
-   without its core: sets that agree with the first in at least 28 coordinates (``MARGIN``) more
-   than any unlinked set of the node does. Such a set and an unlinked one differ where only one
-   of them agrees with the first, so they agree in 36 coordinates of 64 or fewer; a pair at a
-   similarity of 0.8 does so with a probability of 1.4e-5. All runs read the same sketches, so
-   they don't lower it; it concerns only pairs of a core set and an unlinked one in a node split
-   again. Near copies, linked and far from all else in their node, leave it at once.
+   with few sets is searched whole. In a larger one all are compared with some ``LEADERS`` of them,
+   drawn by hash, in blocks, and linked to those they resemble. The largest group of leaders that
+   resemble each other, with all that is linked to it, is the node's main group: its pairs are
+   connected already. If all belong to it, the node is done; if only a few don't, these are
+   compared with all, and the node is done as well. Else it is split again, without the leaders
+   (all were compared with them) and without its core: sets that agree with the main group's first
+   leader in at least 28 coordinates (``MARGIN``) more than any set outside the group does. Such a
+   set and one outside differ where only one of them agrees with the leader, so they agree in 36
+   coordinates of 64 or fewer; a pair at a similarity of 0.8 does so with a probability of 1.4e-5.
+   All runs read the same sketches, so they don't lower it; it concerns only pairs of a core set
+   and one outside in a node split again. No other pair of a node is left out unless it is
+   compared or connected.
    With two branches and a similarity of 0.8 a pair that is never split
    apart survives at 94 % a run; at the usual depth of one, six runs miss it with 0.2^12.
    Nodes left at ``DEPTH`` are searched whole in tiles, whatever their size.
@@ -55,6 +59,11 @@ DEPTH = 8
 LOOSE = 0.4
 # 28 of 64 coordinates.
 MARGIN = 0.4375
+# Sets of a large node that all others are compared with (drawn, or the few outside its main
+# group), and the others that make a block.
+LEADERS = 16
+FEW = 64
+BLOCK = 96
 TILE = 256
 WORD = re.compile(r"[^\W_]+")
 KNOWN_WORDS = 200_000
@@ -248,15 +257,130 @@ def children(nodes: DataFrame, runs: int | None = None) -> DataFrame:
     return placed.select(F.xxhash64("path", "branch", value).alias("path"), "node")
 
 
-def resemblance(a: str, b: str) -> Column:
-    """Share of equal coordinates of two sketches."""
-    def part(sketch: str, at: Column) -> Column:
-        return F.substring(F.col(sketch), (at * 4 + 1).cast("int"), F.lit(4))
+LED = pa.schema(
+    [
+        ("path", pa.int64()),
+        ("node", pa.binary()),
+        ("sketch", pa.binary()),
+        ("near", pa.float64()),
+        ("main", pa.bool_()),
+        ("other", pa.binary()),
+    ]
+)
+
+
+def grouped(alike: np.ndarray) -> tuple[np.ndarray, int, list[tuple[int, int]]]:
+    """Rows against leaders, the leaders' own rows first: which are of the main group, its first
+    leader, and edges (row, leader) that join groups of leaders.
 
-    equal = F.filter(
-        F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda at: part(a, at) == part(b, at)
+    The main group is chosen by the links among leaders alone, so each block of a node chooses
+    the same; rows of a block may join further leaders to it.
+    """
+    n = alike.shape[1]
+    group, edges = np.arange(n), []
+
+    def join(row: int, first: int) -> None:
+        for at in np.nonzero(alike[row])[0].tolist():
+            if group[at] != group[first]:
+                edges.append((row, at))
+                group[group == group[at]] = group[first]
+
+    for row in range(n):
+        join(row, row)
+    core = int(np.nonzero(group == np.bincount(group, minlength=n).argmax())[0][0])
+    linked = np.nonzero(alike[n:].any(axis=1))[0] + n
+    if len(linked):
+        _, kinds = np.unique(alike[linked], axis=0, return_index=True)
+        for row in linked[kinds].tolist():
+            join(row, int(alike[row].argmax()))
+    return (alike & (group == group[core])).any(axis=1), core, edges
+
+
+def blocks_of(nodes: DataFrame) -> DataFrame:
+    """Large nodes in blocks, each with all leaders of its node in front of its own sets."""
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    all_of_them = F.sequence(F.lit(0), blocks - 1)
+    tiles = nodes.withColumn("block", F.explode(F.when(F.col("lead"), all_of_them).otherwise(own)))
+    return (
+        tiles.select(F.xxhash64("path", "block").alias("tile"), "path", "node", "sketch", "lead")
+        .repartition("tile")
+        .sortWithinPartitions("tile", F.desc("lead"), "node")
+    )
+
+
+def against_leaders(rows: pa.Table) -> tuple[list[bytes], int, np.ndarray]:
+    """Names of a block's sets, how many lead, and each one's resemblance to these."""
+    names = rows["node"].to_pylist()
+    n = int(np.count_nonzero(rows["lead"].to_numpy()))
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint32)
+    sketch = sketch.reshape(len(names), COORDINATES)
+    agree = np.zeros((len(names), n))
+    for i in range(n):
+        agree[:, i] = (sketch == sketch[i]).mean(axis=1)
+    return names, n, agree
+
+
+def led(nodes: DataFrame) -> DataFrame:
+    """Sets of large nodes compared with the leaders of their node, in blocks.
+
+    ``nodes`` has path, node, sketch, size and lead. Rows of the result with a path are the sets
+    that don't lead: how near they come to the main group's first leader, and whether they
+    belong to the group. Where ``other`` is set, it is an edge.
+    """
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_run(batches, 1):
+            names, n, agree = against_leaders(rows)
+            alike = agree >= LOOSE
+            near, main, edges = np.zeros(len(names)), np.zeros(len(names), bool), []
+            first = [None] * len(names)
+            if n:
+                main, core, edges = grouped(alike)
+                near = agree[:, core]
+                some, which = alike.any(axis=1).tolist(), alike.argmax(axis=1).tolist()
+                first = [names[at] if linked else None for linked, at in zip(some, which, strict=True)]
+            rest, more = rows.slice(n), len(edges)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([*rest["path"].chunks, pa.nulls(more, pa.int64())]),
+                    pa.array(names[n:] + [names[row] for row, _ in edges], pa.binary()),
+                    pa.concat_arrays([*rest["sketch"].chunks, pa.nulls(more, pa.binary())]),
+                    pa.array([*near[n:].tolist(), *[None] * more], pa.float64()),
+                    pa.array([*main[n:].tolist(), *[None] * more], pa.bool_()),
+                    pa.array(first[n:] + [names[at] for _, at in edges], pa.binary()),
+                ],
+                schema=LED,
+            )
+
+    return blocks_of(nodes).mapInArrow(
+        body, "path bigint, node binary, sketch binary, near double, main boolean, other binary"
+    )
+
+
+def few_outside(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) of the sets outside a main group, which lead here, among themselves and to
+    the group: one to the group is enough, as it is connected."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_run(batches, 1):
+            names, n, agree = against_leaders(rows)
+            alike = agree >= LOOSE
+            pairs = forest(alike[:n])
+            into = alike[n:]
+            for at in np.nonzero(into.any(axis=0))[0].tolist():
+                pairs.append((at, n + int(into[:, at].argmax())))
+            yield pa.RecordBatch.from_pydict(
+                {"a": [names[i] for i, _ in pairs], "b": [names[j] for _, j in pairs]}, schema=EDGES
+            )
+
+    return blocks_of(nodes).mapInArrow(body, "a binary, b binary")
+
+
+def edges_of(compared: DataFrame) -> DataFrame:
+    return compared.where("other is not null").select(
+        F.col("node").alias("a"), F.col("other").alias("b")
     )
-    return F.size(equal) / F.lit(COORDINATES)
 
 
 def loose_edges(sets: DataFrame, *, runs: int = RUNS, small: int = SMALL_NODE, depth: int = DEPTH) -> DataFrame:
@@ -265,10 +389,7 @@ def loose_edges(sets: DataFrame, *, runs: int = RUNS, small: int = SMALL_NODE, d
     at = children(sets, runs)
     for level in range(1, depth + 1):
         paths = stored(at, "paths")
-        # Counting and the first set of a node are sums of one row for each task.
-        sizes = paths.groupBy("path").agg(
-            F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")
-        ).where("size > 1")
+        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         shared = stored(paths.join(sizes, "path"), "shared")
         few = shared.where(F.col("size") <= small)
         found = stored(search_whole(few.select("path", "node").join(sets, "node")), "found")
@@ -276,37 +397,32 @@ def loose_edges(sets: DataFrame, *, runs: int = RUNS, small: int = SMALL_NODE, d
         big = shared.where(F.col("size") > small)
         if not big.limit(1).count():
             return edges
-        leader = (
-            big.select("path", "leader").distinct()
-            .join(sets.select(F.col("node").alias("leader"), F.col("sketch").alias("led")), "leader")
-            .select("path", "led")
-        )
-        compared = stored(
-            join_small(big.join(sets, "node"), leader, ["path"], ["node"])
-            .withColumn("near", resemblance("sketch", "led"))
-            .drop("led"),
-            "compared",
-        )
-        alike = F.col("near") >= LOOSE
-        edges = edges.unionByName(
-            stored(
-                compared.where(alike & (F.col("leader") != F.col("node"))).select(
-                    F.col("leader").alias("a"), F.col("node").alias("b")
-                ),
-                "stars",
-            )
+        # About LEADERS of a node lead, drawn by hash.
+        lead = F.pmod(F.xxhash64("node", "path"), F.col("size")) < LEADERS
+        compared = stored(led(big.join(sets, "node").withColumn("lead", lead)), "compared")
+        edges = edges.unionByName(edges_of(compared))
+        # What is outside the main group of a node, and how near it comes to the group's leader.
+        mixed = stored(
+            compared.where("path is not null").groupBy("path").agg(
+                F.count(F.lit(1)).alias("size"),
+                F.count_if(~F.col("main")).alias("outside"),
+                F.max(F.when(~F.col("main"), F.col("near"))).alias("nearest"),
+            ).where("outside > 0"),
+            "outside",
         )
-        # How near the unlinked sets of a mixed node come to its first set.
-        mixed = compared.where(~alike).groupBy("path").agg(F.max("near").alias("nearest"))
-        rest = compared.join(mixed, "path").where(F.col("near") < F.col("nearest") + MARGIN)
-        rest = stored(rest.drop("nearest"), "mixed")
+        open_ = join_small(compared.where("path is not null"), mixed, ["path"], ["node"])
+        lone = open_.where(F.col("outside") <= FEW).withColumn("lead", ~F.col("main"))
+        edges = edges.unionByName(stored(few_outside(lone), "lone"))
+        rest = open_.where(F.col("outside") > FEW)
+        rest = rest.where(F.col("near") < F.col("nearest") + MARGIN)
+        rest = stored(rest.select("path", "node", "sketch"), "mixed")
         if not rest.limit(1).count():
             return edges
         if level < depth:
             at = children(rest)
     # Whatever is still together is compared pair by pair, in tiles.
     left = rest.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
-    return edges.unionByName(search_whole(tiled(rest.drop("size").join(left, "path"), small)))
+    return edges.unionByName(search_whole(tiled(rest.join(left, "path"), small)))
 
 
 def tiled(nodes: DataFrame, small: int) -> DataFrame:

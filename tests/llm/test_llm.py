@@ -394,6 +394,38 @@ def test_core_loses_no_similar_pair():
     assert chance < 1e-4
 
 
+def test_leaders_settle_a_loose_family(spark, monkeypatch):
+    """Sets of one family, many of them just too far from any single one, are not split again."""
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 1 << 32, jaccard.COORDINATES, np.uint32)
+    own = draw.integers(0, 1 << 32, (400, jaccard.COORDINATES), np.uint32)
+    sketches = np.where(draw.random(own.shape) < 0.68, base, own)
+    near = (sketches[:, None] == sketches).mean(axis=2)
+    assert 0.1 < (near < jaccard.LOOSE).mean() < 0.5
+    rows = [(bytes([i // 256, i % 256]), s.tobytes()) for i, s in enumerate(sketches)]
+    sets = spark.createDataFrame(rows, "node binary, sketch binary")
+    levels, children = [], jaccard.children
+    monkeypatch.setattr(
+        jaccard, "children", lambda *given: levels.append(given) or children(*given)
+    )
+    found = graph.components(jaccard.loose_edges(sets)).groupBy("label").count().collect()
+    assert [row["count"] for row in found] == [400]
+    assert len(levels) == 1
+
+
+def test_grouped_leaders_reach_no_unlinked_row():
+    alike = np.zeros((9, 3), bool)
+    alike[[0, 1, 2], [0, 1, 2]] = True
+    alike[0, 1] = alike[1, 0] = True
+    alike[3, 0] = alike[4, 1] = alike[5, 2] = alike[7, 2] = alike[8, 2] = True
+    main, core, edges = jaccard.grouped(alike)
+    assert core == 0 and main.tolist() == [True, True, False, True, True, False, False, False, False]
+    assert len(edges) == 1 and set(edges[0]) == {0, 1}
+    alike[7, 1] = True
+    main, core, edges = jaccard.grouped(alike)
+    assert main.tolist() == [True] * 6 + [False, True, True] and (7, 2) in edges[1:]
+
+
 def test_components(spark):
     edges = [(f"c{i}", f"c{i + 1}") for i in range(60)] + [("hub", f"s{i}") for i in range(40)]
     edges += [("x", "x"), ("s1", "hub")]
