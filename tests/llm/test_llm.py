@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -162,6 +163,19 @@ def test_repeats_equal_brute_force(docs, texts, empty, batch_bytes):
         assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_a_batch_of_repeats_stays_small():
+    """Positions of a whole batch and what is sent of it, two tasks beside their executor."""
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(97, 123, 1 << 16, np.uint8).tobytes() for _ in range(suffixes.BATCH_BYTES >> 16)]
+    rounds = suffixes.Rounds("text", "doc_id", suffixes.LENGTH, suffixes.HEAD, 4)
+    ids = np.arange(len(texts))
+    tracemalloc.start()
+    rounds.first(0, suffixes.positions(texts, ids, ids * 0, suffixes.LENGTH, suffixes.HEAD))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 def test_repeats_of_few_letters(spark):
     draw = random.Random(5)
     rows = [(i, "".join(draw.choices("ab", k=draw.randint(0, 400)))) for i in range(60)]
