@@ -73,30 +73,52 @@ def _incidence(sets: Sequence[Sequence[str]], labels: dict[str, int]) -> np.ndar
     return out
 
 
+def _at_least(scores: np.ndarray, k: int) -> np.ndarray | float:
+    """For each row of scores a value that at least ``k`` of them reach: the ``k``-th best of the
+    best of stretches."""
+    wide = scores.shape[1]
+    stretch = max(1, wide // (4 * k))
+    if wide // stretch <= k:
+        return -np.inf
+    tops = scores[:, : wide // stretch * stretch].reshape(len(scores), -1, stretch).max(axis=2)
+    return np.partition(tops, -k, axis=1)[:, -k, None]
+
+
 def _nearest(
-    queries: pd.DataFrame, rows: pd.DataFrame, k: int, fields: list[str]
+    queries: pd.DataFrame, rows: pd.DataFrame, k: int, fields: list[str],
+    before: pd.DataFrame | None = None,
 ) -> pd.DataFrame:
-    """The best ``k`` rows of one block for each query of one block, by dot product."""
+    """The best ``k`` rows of one block, and of those ``before``, for each query of one block, by
+    dot product; ``query`` is a query's place in its block."""
     q = np.stack(queries["vec"].to_numpy()).astype(np.float64)
     v = np.stack(rows["vec"].to_numpy()).astype(np.float64)
     scores = q @ v.T
-    ranked = np.round(scores, 9)
     mask = _allowed(queries, rows, fields)
     if mask is not None:
-        ranked[~mask] = scores[~mask] = -np.inf
-    ids = rows["chunk_id"].to_numpy()
-    by_id = np.argsort(ids, kind="stable")
-    # Rows in id order and a stable sort: equal scores come out by id.
-    order = by_id[np.argsort(-ranked[:, by_id], axis=1, kind="stable")[:, :k]]
-    picked = np.take_along_axis(scores, order, axis=1)
-    out = pd.DataFrame(
+        scores[~mask] = -np.inf
+    scores[np.isnan(scores)] = -np.inf
+    # Scores count to 9 digits; what is further below what k rows reach can't be among the hits.
+    least = np.broadcast_to(_at_least(scores, k), (len(scores), 1))
+    if before is not None:
+        kth = np.full((len(scores), 1), -np.inf)
+        full = before[before["rank"] == k - 1]
+        kth[full["query"].to_numpy(), 0] = full["dense_score"].to_numpy()
+        least = np.maximum(least, kth)
+    query, place = np.nonzero((scores >= least - 1e-8) & (scores > -np.inf))
+    found = pd.DataFrame(
         {
-            "query_id": np.repeat(queries["query_id"].to_numpy(), order.shape[1]),
-            "chunk_id": ids[order].ravel(),
-            "dense_score": picked.ravel(),
+            "query": query,
+            "query_id": queries["query_id"].to_numpy()[query],
+            "chunk_id": rows["chunk_id"].to_numpy()[place],
+            "dense_score": scores[query, place],
         }
     )
-    return out[np.isfinite(out["dense_score"])]
+    if before is not None:
+        found = pd.concat([before.drop(columns="rank"), found], ignore_index=True)
+    found["rank"] = -found["dense_score"].round(9)
+    found = found.sort_values(["query", "rank", "chunk_id"], kind="stable", ignore_index=True)
+    found["rank"] = found.groupby("query").cumcount()
+    return found[found["rank"] < k]
 
 
 def search(
@@ -105,7 +127,7 @@ def search(
     """``hits(query_id, chunk_id, dense_score, dense_rank)`` by cosine of unit vectors.
 
     Blocks of vectors meet blocks of queries as matrix products, and only the best ``k`` of
-    each meeting leave a task. No vector is ever shuffled.
+    all its meetings leave a task. No vector is ever shuffled.
     """
     fields = [f for f in FILTER_COLUMNS if f in vectors.columns and f"q_{f}" in queries.columns]
     rows = vectors.where("retrievable") if "retrievable" in vectors.columns else vectors
@@ -137,14 +159,17 @@ def search(
 
 
 def _scan(held, block: int, k: int, fields: list[str]):
-    """The best ``k`` of each block of vectors for each block of the questions sent along."""
+    """The best ``k`` of a task's vectors for each of the questions sent along."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = held.value
+        table, best = held.value, {}
         for frame in frames:
             for at in range(0, len(frame), block):
                 piece = frame.iloc[at : at + block]
                 for start in range(0, len(table), QUERY_BLOCK):
-                    yield _nearest(table.iloc[start : start + QUERY_BLOCK], piece, k, fields)
+                    some = table.iloc[start : start + QUERY_BLOCK]
+                    best[start] = _nearest(some, piece, k, fields, best.get(start))
+        for found in best.values():
+            yield found[["query_id", "chunk_id", "dense_score"]]
 
     return scan

@@ -108,6 +108,23 @@ def test_bm25_tasks_grow_with_their_work(spark, monkeypatch):
     assert ", 19), REPARTITION_BY_NUM" in plan
 
 
+def test_dense_tasks_let_only_the_best_out(spark, monkeypatch):
+    """However many blocks a task has, k rows of each question leave it; ties go by id."""
+    vectors = [(i * 7 % 101, [float(i % 5), 1.0]) for i in range(101)]
+    rows = spark.createDataFrame(vectors, "chunk_id int, vec array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.5])], "query_id int, vec array<double>")
+    left, top_k = [], dense.top_k
+    monkeypatch.setattr(
+        dense, "top_k", lambda found, *rest: left.append(found.count()) or top_k(found, *rest)
+    )
+    hits = dense.search(rows, q, 4, block=8).collect()
+    assert left == [3 * 4]
+    for question, vec in ((1, (1.0, 0.0)), (2, (0.0, 1.0)), (3, (-1.0, 0.5))):
+        want = sorted((-(v[0] * vec[0] + v[1] * vec[1]), i) for i, v in vectors)[:4]
+        got = sorted((h.dense_rank, h.chunk_id) for h in hits if h.query_id == question)
+        assert [i for _, i in got] == [i for _, i in want]
+
+
 def test_dense_blocks_agree(spark, monkeypatch):
     rng = random.Random(2)
     vec = lambda: [rng.random() for _ in range(4)]
