@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.ids import indexed_text
+from quillon.functions.text import let
 from quillon.operators.filters import FILTER_COLUMNS, passes
 from quillon.scale import BROADCAST_BYTES, join_small, measured_bytes
 from quillon.session import written
@@ -25,6 +26,9 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if
 # What one task is given: bytes of text to count, or pairs of a question's term and a chunk.
 TASK_BYTES = 4 * 1024 * 1024
 TASK_PAIRS = 500_000
+# Texts are dealt to no more tasks than this: up to 200 partitions Spark writes a shuffle without
+# holding the rows of a task in memory, whatever one stored file or row group has.
+MOST_TASKS = 200
 
 Stemmer = Callable[[Column], Column]
 
@@ -49,6 +53,38 @@ def terms(text: Column, stem: Stemmer = suffix_stem) -> Column:
     return F.transform(F.filter(raw_words(text), lambda w: ~F.array_contains(stop, w)), stem)
 
 
+def _runs(rows: Column, key: Callable[[Column], Column], made: Callable) -> Column:
+    """``made(start, end)`` of each run of equal keys in a sorted array of one element or more."""
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size(rows) - 1),
+        lambda i: (i == 0) | (key(F.get(rows, i)) != key(F.get(rows, i - 1))),
+    )
+
+    def ends(at: Column) -> Column:
+        return F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(rows)))
+
+    return let(starts, lambda at: F.zip_with(at, ends(at), made))
+
+
+def term_counts(words: Column, stem: Stemmer = suffix_stem) -> Column:
+    """array<struct<term, tf>> of an array of words (not empty), stemmed once for each distinct word."""
+
+    def distinct(w: Column) -> Column:
+        return _runs(
+            w, lambda x: x,
+            lambda a, b: F.struct(stem(F.get(w, a)).alias("term"), (b - a).alias("tf")),
+        )
+
+    def summed(t: Column) -> Column:
+        def one(a: Column, b: Column) -> Column:
+            tf = F.aggregate(F.slice(t, a + 1, b - a), F.lit(0), lambda n, x: n + x["tf"])
+            return F.struct(F.get(t, a)["term"].alias("term"), tf.alias("tf"))
+
+        return _runs(t, lambda x: x["term"], one)
+
+    return let(F.sort_array(let(F.sort_array(words), distinct)), summed)
+
+
 @dataclass(frozen=True)
 class Bm25Index:
     """``postings(chunk_id, length, terms array<struct<term, tf>>, <filter columns>)``, one row for
@@ -76,26 +112,23 @@ def build_index(
     body = (
         indexed_text(F.col(path), F.col("text")) if path in chunks.columns else F.col("text")
     )
-    # One shuffle of the texts by chunk; counting, stemming and counting again stay local to it.
-    # Labels ride along as grouping keys, which keeps the aggregation hash-based.
+    # One shuffle deals the texts out by chunk; each row is then counted by itself, so a task holds
+    # the words of one row only.
     own = ["chunk_id", *kept]
     texts = source.select(*own, body.alias("_body"))
-    # The number is given, so that no task is handed more: words take many times their text.
     total, size = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("_body"))).first()
-    placed = texts.repartition(_tasks(source, size or 0, TASK_BYTES), "chunk_id")
-    words = (
-        placed.select(*own, F.explode(raw_words(F.col("_body"))).alias("_word"))
-        .where(~F.col("_word").isin(STOP_WORDS))
-        .groupBy(*own, "_word")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    counted = words.groupBy(*own, stem(F.col("_word")).alias("term")).agg(
-        F.sum("tf").cast("int").alias("tf")
-    )
-    postings = counted.groupBy(*own).agg(
-        F.sum("tf").alias("length"), F.collect_list(F.struct("term", "tf")).alias("terms")
-    )
-    postings = written(postings, "postings")
+    least = _tasks(source, 0, 1)
+    tasks = min(_tasks(source, size or 0, TASK_BYTES), max(MOST_TASKS, least))
+    words = F.filter(raw_words(F.col("_body")), lambda w: ~w.isin(STOP_WORDS))
+    found = texts.repartition(tasks, "chunk_id").select(*own, words.alias("_words"))
+    counts = F.when(F.size("_words") > 0, term_counts(F.col("_words"), stem))
+    postings = written(
+        found.select(*own, F.size("_words").cast("bigint").alias("length"), counts.alias("terms")),
+        "postings",
+    ).where("length > 0")
+    ids = source.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("_n"))
+    if not ids.where("_n > 1").isEmpty():
+        postings = written(_merged(postings, own, tasks), "postings")
     words = postings.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     if total == 0:
         raise ValueError("an index needs at least one retrievable chunk")
@@ -108,6 +141,19 @@ def build_index(
     return Bm25Index(postings, df, total, max(words / total, 1e-9))
 
 
+def _merged(postings: DataFrame, own: list[str], tasks: int) -> DataFrame:
+    """Rows of one chunk put together, however many they are."""
+    counted = (
+        postings.select(*own, F.inline("terms"))
+        .repartition(tasks, *own, "term")
+        .groupBy(*own, "term")
+        .agg(F.sum("tf").cast("int").alias("tf"))
+    )
+    return counted.repartition(tasks, "chunk_id").groupBy(*own).agg(
+        F.sum("tf").alias("length"), F.collect_list(F.struct("term", "tf")).alias("terms")
+    )
+
+
 def _tasks(df: DataFrame, amount: int, most: int) -> int:
     """Tasks for an amount of work, ``most`` for each; at least as many as shuffles have."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

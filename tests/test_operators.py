@@ -2,6 +2,7 @@
 
 import random
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,39 @@ def test_bm25_tasks_grow_with_their_work(spark, monkeypatch):
     assert ", 19), REPARTITION_BY_NUM" in plan
 
 
+def test_bm25_counts_inside_rows(spark):
+    """Terms of a row, of words with one stem, of rows with one id; empty rows have none."""
+    rows = [
+        (1, "Cough coughs COUGHING, fever the x"), (2, "number number ünter"), (3, "the of"), (4, None),
+        (2, "numbers\nfever"), (None, "fever"), (None, "fever cough"), (5, "fevers " * 3000 + "cough"),
+    ]
+    for chunks in (rows, rows[:4] + rows[7:]):
+        index = bm25.build_index(spark.createDataFrame(chunks, "chunk_id long, text string"))
+        want = {1: {"cough": 3, "fever": 1}, 5: {"fever": 3000, "cough": 1}, 2: {"number": 2, "ünter": 1}}
+        if chunks is rows:
+            want |= {2: {"number": 3, "ünter": 1, "fever": 1}, None: {"fever": 2, "cough": 1}}
+        got = {r.chunk_id: {t.term: t.tf for t in r.terms} for r in index.postings.collect()}
+        assert got == want and index.chunks == len(chunks)
+        assert {r.chunk_id: r.length for r in index.postings.collect()} == {k: sum(v.values()) for k, v in want.items()}
+        assert {r.term: r.df for r in index.df.collect()} == Counter(t for v in want.values() for t in v)
+
+
+def test_bm25_index_holds_no_words_of_other_rows(spark, monkeypatch):
+    """Texts go to a bounded number of tasks and are counted row by row, without an aggregation."""
+    chunks = spark.createDataFrame([(i, f"fever and cough number{i % 7}") for i in range(60)], "chunk_id long, text string")
+    monkeypatch.setattr(bm25, "TASK_BYTES", 100)
+    monkeypatch.setattr(bm25, "MOST_TASKS", 6, raising=False)
+    plans, kept = {}, bm25.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(bm25, "written", seen)
+    bm25.build_index(chunks)
+    assert "Aggregate" not in plans["postings"] and ", 6), REPARTITION_BY_NUM" in plans["postings"]
+
+
 def test_dense_tasks_let_only_the_best_out(spark, monkeypatch):
     """However many blocks a task has, k rows of each question leave it; ties go by id."""
     vectors = [(i * 7 % 101, [float(i % 5), 1.0]) for i in range(101)]
