@@ -142,6 +142,16 @@ def test_bm25_index_holds_no_words_of_other_rows(spark, monkeypatch):
     assert "Aggregate" not in plans["postings"] and ", 6), REPARTITION_BY_NUM" in plans["postings"]
 
 
+def test_bm25_deals_out_only_asked_terms(spark):
+    """A search moves the terms asked for, not all terms of a chunk."""
+    chunks = spark.createDataFrame([(i, f"fever and cough number{i % 7}") for i in range(60)], "chunk_id long, text string")
+    q = spark.createDataFrame([(1, "fever cough")], "query_id long, text string")
+    plan = bm25.search(bm25.build_index(chunks), q, 5)._jdf.queryExecution().executedPlan().toString()
+    # Read from below: the words of a chunk are laid out and those asked for kept, then dealt out.
+    before = plan[plan.index("REPARTITION_BY_NUM"):]
+    assert 0 < before.index("BroadcastHashJoin") < before.index("Generate inline")
+
+
 def test_dense_tasks_let_only_the_best_out(spark, monkeypatch):
     """However many blocks a task has, k rows of each question leave it; ties go by id."""
     vectors = [(i * 7 % 101, [float(i % 5), 1.0]) for i in range(101)]
