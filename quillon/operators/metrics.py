@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.operators.bm25 import TOKEN
 from quillon.operators.stats import auroc
-from quillon.scale import join_small
+from quillon.scale import join_in_place, join_small
+from quillon.session import written
 
 KS = (1, 3, 5, 10, 20)
 NDCG_KS = (5, 10)
@@ -64,21 +65,20 @@ def _anchored(chunks: DataFrame, bag: DataFrame, words: DataFrame, passages: Dat
 
     ``bag(chunk_id, word)`` and ``words(query_id, word)``: a chunk that holds a passage has its words.
     """
-    # Only words some passage asks for are kept: most of the vocabulary drops out here.
-    bag = join_small(bag, words.select("word").distinct(), ["word"], ["chunk_id"])
+    # Only words some passage asks for are kept: most of the vocabulary drops out here. Texts are
+    # taken apart once.
+    bag = written(join_small(bag, words.select("word").distinct(), ["word"], ["chunk_id"]), "bag")
     rarity = bag.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     anchors = (
         words.join(rarity, "word", "left")
         .groupBy("query_id")
         .agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("word"))
     )
-    wanted = anchors.join(passages.select("query_id", F.col("text").alias("_text")), "query_id")
-    candidates = join_small(bag, wanted, ["word"], ["chunk_id"]).select(
-        "query_id", "chunk_id", "_text"
-    )
-    verified = candidates.join(chunks.select("chunk_id", "text"), "chunk_id").where(
-        F.contains("text", F.col("_text"))
-    )
+    # Rows that share a chunk id are tried once each.
+    pairs = join_small(bag, anchors, ["word"], ["chunk_id"]).select("query_id", "chunk_id").distinct()
+    tried = join_in_place(chunks.select("chunk_id", "text"), pairs, "chunk_id")
+    asked = passages.select("query_id", F.col("text").alias("_text"))
+    verified = join_in_place(tried, asked, "query_id").where(F.contains("text", F.col("_text")))
     return verified.select("query_id", "chunk_id")
 
 

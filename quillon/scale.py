@@ -6,7 +6,7 @@
 * ``by_value_scan``: the same along the values of a column, with blocks cut at approximate
   quantiles, for exact ranks and percentiles of a hot key.
 * ``measured`` / ``join_small``: broadcast behind a measured size, salted join beyond it;
-  ``join_shuffled``: never a broadcast.
+  ``join_shuffled``: never a broadcast; ``join_in_place``: wide rows stay where they are stored.
 * ``greedy_runs``: left-to-right greedy grouping (fill a run until it is full) over a long
   sequence, solved block by block.
 """
@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -112,6 +113,19 @@ def join_shuffled(
     return left.join(right.hint("merge"), [on] if isinstance(on, str) else list(on), how)
 
 
+def join_in_place(wide: DataFrame, small: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Inner join that moves no row of ``wide``, such as whole texts: a shuffle may hold all that a
+    task reads, and a merge sorts it. ``small`` comes to them, in blocks of a checked size."""
+    small = written(small, "small")
+    blocks = -(-measured_bytes(small) // BROADCAST_BYTES) or 1
+    number = F.pmod(F.xxhash64(*small.columns), F.lit(blocks))
+    parts = [
+        wide.join(F.broadcast(small.where(number == block)), [on] if isinstance(on, str) else list(on))
+        for block in range(blocks)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- running values along an ordered key -----------------------------------------------------
 
 

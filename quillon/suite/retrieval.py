@@ -434,7 +434,8 @@ def passage_retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     index = bm25.build_index(chunks(spark, sf))
     asked = questions(spark, sf).select("query_id", "text", "category", "age")
     hits = bm25.search(index, asked, evaluation.DEPTH)
-    runs = evaluation._hits(hits, "bm25_rank").withColumn("system", F.lit("bm25"))
+    # Read twice: its relevant hits, its top scores.
+    runs = written(evaluation._hits(hits, "bm25_rank").withColumn("system", F.lit("bm25")), "runs")
     relevant = written(gold(spark, sf), "gold").withColumn("units_hit", F.array(F.lit(0)))
     rows = answerable(asked.withColumn("system", F.lit("bm25")).drop("text"), relevant)
     return metrics.system_metrics(evaluation.score_runs(runs, rows, relevant))

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import scale
 from quillon.operators import alerts as A
 from quillon.operators import bm25, chunk, dense, index, lookup, metrics
 from quillon.operators.compress import compress
@@ -405,6 +406,42 @@ def test_passages_are_found_whatever_they_are_made_of(spark):
     assert {tuple(r) for r in found} == wanted
 
 
+def test_passages_in_rows_of_one_id_are_found_once_each(spark):
+    chunks = [(1, "zinc dose for a child"), (1, "a zinc dose for all"), (2, "no dose"), (1, "malaria net")]
+    found = metrics.containing_chunks(
+        spark.createDataFrame(chunks, "chunk_id long, text string"),
+        spark.createDataFrame([(7, "zinc dose for")], "query_id long, text string"),
+    )
+    assert [tuple(r) for r in found.collect()] == [(7, 1), (7, 1)]
+
+
+@pytest.fixture
+def never_broadcast(spark):
+    """Joins are broadcast only where the code says so."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+TEXTS = [(i, f"zinc dose {i} for a child", i, ["Top"], "doc", "text", "all", ["t1"]) for i in range(30)]
+TEXT_COLUMNS = (
+    "chunk_id long, text string, page_number long, heading_path array<string>, document_id string, "
+    "chunk_type string, population string, topics array<string>"
+)
+
+
+def test_gold_moves_no_texts(spark, never_broadcast, monkeypatch):
+    chunks = spark.createDataFrame(TEXTS, TEXT_COLUMNS)
+    asked = spark.createDataFrame([(i, f"dose {i} for") for i in range(8)], "query_id long, text string")
+    found = metrics.containing_chunks(chunks, asked)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    few = sorted(tuple(r) for r in found.collect())
+    assert few == [(i, i) for i in range(8)]
+    # Pairs and passages that are too many for one broadcast come in blocks.
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 60)
+    assert sorted(tuple(r) for r in metrics.containing_chunks(chunks, asked).collect()) == few
+
+
 def test_equal_fits_are_ordered_by_a_scorer(spark, names):
     asked = lookup.tidy_heard(spark.createDataFrame([(1, "bronquil syrup")], "query_id long, heard string"))
     found = lookup.name_candidates(names, asked)
