@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import wording as W
 from quillon.operators import bm25, filters
+from quillon.scale import join_in_place
 from quillon.session import written
 from quillon.suite.base import register, table
 from quillon.suite.retrieval import BASE, POSTINGS, bm25_sql, chunks, questions
@@ -93,7 +94,7 @@ def passage_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     c = written(chunks(spark, sf), "chunks")
     asked = questions(spark, sf).select("query_id", "text")
     hits = bm25.search(bm25.build_index(c), asked, 3).select("query_id", "chunk_id", F.col("bm25_rank").alias("rank"))
-    rows = hits.join(c.select("chunk_id", "page_number", "text"), "chunk_id").withColumns(
+    rows = join_in_place(c.select("chunk_id", "page_number", "text"), hits, "chunk_id").withColumns(
         {
             "document_title": F.lit("Doc"), "publisher": F.lit("Publisher"), "publication_date": F.lit(None).cast("string"),
             "heading_path": F.array().cast("array<string>"), "population": F.lit("all"),

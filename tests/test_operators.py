@@ -16,6 +16,7 @@ from quillon.plans import lookup as plan
 from quillon.plans import retrieval, surface
 from quillon.sources.catalogue import CATALOGUE
 from quillon.streaming.calls import next_sentences
+from quillon.suite import intake
 
 NAMES = [
     "Febra 650 Tablet", "Febra 500 Tablet", "Sukrenil 500 Tablet", "Sukrenil 250 Tablet", "Sukrenil 500 SR Tablet",
@@ -442,6 +443,18 @@ def test_gold_moves_no_texts(spark, never_broadcast, monkeypatch):
     assert sorted(tuple(r) for r in metrics.containing_chunks(chunks, asked).collect()) == few
 
 
+def test_descriptions_move_no_texts(spark, never_broadcast, monkeypatch):
+    chunks = spark.createDataFrame(TEXTS, TEXT_COLUMNS)
+    asked = spark.createDataFrame([(1, "zinc 4"), (2, "child 7")], "query_id long, text string")
+    seen = []
+    monkeypatch.setattr(intake, "chunks", lambda *_: chunks)
+    monkeypatch.setattr(intake, "questions", lambda *_: asked)
+    monkeypatch.setattr(intake.W, "described_passages", lambda rows, queries: seen.append(rows) or queries.withColumn("found", F.lit(0)))
+    intake.passage_descriptions(spark, "")
+    assert "SortMergeJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert seen[0].count() == 6
+
+
 def test_equal_fits_are_ordered_by_a_scorer(spark, names):
     asked = lookup.tidy_heard(spark.createDataFrame([(1, "bronquil syrup")], "query_id long, heard string"))
     found = lookup.name_candidates(names, asked)
