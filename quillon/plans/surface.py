@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import bm25, dense
 from quillon.plans.retrieval import Corpus, hybrid_search, with_vectors
+from quillon.scale import join_in_place
 
 MODES = ("hybrid", "dense", "bm25")
 PATH_CHARS = 110
@@ -66,4 +67,4 @@ def lines(hits: DataFrame, chunks: DataFrame, *, chars: int = EXCERPT_CHARS) ->
         F.col("rank").cast("string"), F.lit(". "), F.concat_ws("  ", scores, place, labels), note,
         F.lit("\n   "), tail, F.lit("\n   "), excerpt,
     )
-    return hits.join(chunks, "chunk_id").select("query_id", "rank", line.alias("line"))
+    return join_in_place(chunks, hits, "chunk_id").select("query_id", "rank", line.alias("line"))

@@ -443,6 +443,15 @@ def test_gold_moves_no_texts(spark, never_broadcast, monkeypatch):
     assert sorted(tuple(r) for r in metrics.containing_chunks(chunks, asked).collect()) == few
 
 
+def test_lines_move_no_texts(spark, never_broadcast):
+    chunks = spark.createDataFrame(TEXTS, TEXT_COLUMNS)
+    corpus = retrieval.Corpus(chunks, bm25.build_index(chunks), chunks)
+    asked = spark.createDataFrame([(1, "zinc 4"), (2, "child 7")], "query_id long, text string")
+    shown = surface.lines(surface.ask(corpus, asked, mode="bm25", k=3), chunks)
+    assert "SortMergeJoin" not in shown._jdf.queryExecution().executedPlan().toString()
+    assert shown.count() == 6
+
+
 def test_descriptions_move_no_texts(spark, never_broadcast, monkeypatch):
     chunks = spark.createDataFrame(TEXTS, TEXT_COLUMNS)
     asked = spark.createDataFrame([(1, "zinc 4"), (2, "child 7")], "query_id long, text string")
