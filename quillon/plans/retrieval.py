@@ -12,7 +12,7 @@ from quillon.operators import bm25, dense, filters
 from quillon.operators.dense import hashed_words
 from quillon.operators.fusion import fuse
 from quillon.operators.rerank import Scorer, rerank, word_overlap
-from quillon.scale import spread
+from quillon.scale import join_in_place, spread
 from quillon.session import written
 
 MIN_RESULTS = 5
@@ -103,7 +103,7 @@ def attach_passages(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> D
         "chunk_id", passage_text(F.col("heading_path"), F.col("text")).alias("passage")
     )
     asked = queries.select("query_id", F.col("text").alias("query_text"))
-    return hits.join(passages, "chunk_id").join(asked, "query_id")
+    return join_in_place(passages, hits.join(asked, "query_id"), "chunk_id")
 
 
 def guideline_search(

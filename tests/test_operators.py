@@ -443,6 +443,19 @@ def test_gold_moves_no_texts(spark, never_broadcast, monkeypatch):
     assert sorted(tuple(r) for r in metrics.containing_chunks(chunks, asked).collect()) == few
 
 
+def test_hits_get_their_texts_in_place(spark, never_broadcast, monkeypatch):
+    chunks = spark.createDataFrame(TEXTS, TEXT_COLUMNS)
+    hits = spark.createDataFrame([(q, q * 3, 1) for q in range(9)], "query_id long, chunk_id long, rank int")
+    asked = spark.createDataFrame([(q, f"question {q}") for q in range(9)], "query_id long, text string")
+    wanted = [(q, q * 3, f"Top\nzinc dose {q * 3} for a child", f"question {q}") for q in range(9)]
+    for limit in (scale.BROADCAST_BYTES, 200):
+        monkeypatch.setattr(scale, "BROADCAST_BYTES", limit)
+        texts = retrieval.attach_passages(hits, asked, chunks)
+        assert "SortMergeJoin" not in texts._jdf.queryExecution().executedPlan().toString()
+        got = texts.select("query_id", "chunk_id", "passage", "query_text").collect()
+        assert sorted(tuple(r) for r in got) == wanted
+
+
 def test_lines_move_no_texts(spark, never_broadcast):
     chunks = spark.createDataFrame(TEXTS, TEXT_COLUMNS)
     corpus = retrieval.Corpus(chunks, bm25.build_index(chunks), chunks)
