@@ -18,6 +18,8 @@ from quillon.scale import BROADCAST_BYTES
 DIMENSION = 64
 QUERY_BLOCK = 2048
 VECTOR_BLOCK = 8192
+# Scores that are worked out at a time.
+TILE = 1 << 20
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -84,6 +86,22 @@ def _at_least(scores: np.ndarray, k: int) -> np.ndarray | float:
     return np.partition(tops, -k, axis=1)[:, -k, None]
 
 
+def _reaching(
+    q: np.ndarray, v: np.ndarray, mask: np.ndarray | None, kth: np.ndarray, k: int, at: slice
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, score) of what can be among the best ``k`` of the queries ``at``."""
+    scores = q[at] @ v.T
+    if mask is not None:
+        scores[~mask[at]] = -np.inf
+    if np.isnan(scores.min(initial=0)):
+        scores[np.isnan(scores)] = -np.inf
+    # Scores count to 9 digits; what is further below what k rows reach can't be among the hits.
+    least = np.maximum(np.broadcast_to(_at_least(scores, k), (len(scores), 1)), kth[at])
+    found = np.flatnonzero(scores >= np.maximum(least - 1e-8, np.finfo(np.float64).min))
+    query, place = np.divmod(found, scores.shape[1])
+    return query + at.start, place, scores.ravel()[found]
+
+
 def _nearest(
     queries: pd.DataFrame, rows: pd.DataFrame, k: int, fields: list[str],
     before: pd.DataFrame | None = None,
@@ -92,25 +110,21 @@ def _nearest(
     dot product; ``query`` is a query's place in its block."""
     q = np.stack(queries["vec"].to_numpy()).astype(np.float64)
     v = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-    scores = q @ v.T
     mask = _allowed(queries, rows, fields)
-    if mask is not None:
-        scores[~mask] = -np.inf
-    scores[np.isnan(scores)] = -np.inf
-    # Scores count to 9 digits; what is further below what k rows reach can't be among the hits.
-    least = np.broadcast_to(_at_least(scores, k), (len(scores), 1))
+    kth = np.full((len(q), 1), -np.inf)
     if before is not None:
-        kth = np.full((len(scores), 1), -np.inf)
         full = before[before["rank"] == k - 1]
         kth[full["query"].to_numpy(), 0] = full["dense_score"].to_numpy()
-        least = np.maximum(least, kth)
-    query, place = np.nonzero((scores >= least - 1e-8) & (scores > -np.inf))
+    # Some scores at a time, so that they stay near the processor.
+    step = max(1, TILE // max(1, len(v)))
+    parts = [_reaching(q, v, mask, kth, k, slice(at, at + step)) for at in range(0, len(q), step)]
+    query, place, score = (np.concatenate(x) for x in zip(*parts, strict=True))
     found = pd.DataFrame(
         {
             "query": query,
             "query_id": queries["query_id"].to_numpy()[query],
             "chunk_id": rows["chunk_id"].to_numpy()[place],
-            "dense_score": scores[query, place],
+            "dense_score": score,
         }
     )
     if before is not None:
