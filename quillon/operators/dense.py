@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -20,27 +23,40 @@ QUERY_BLOCK = 2048
 VECTOR_BLOCK = 8192
 # Scores that are worked out at a time.
 TILE = 1 << 20
+# Words a task remembers the slots of.
+KNOWN_WORDS = 1 << 20
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _unit_counts(slots: pd.Series) -> pd.Series:
-    def one(found: np.ndarray) -> np.ndarray:
-        counts = np.bincount(found[1:], minlength=found[0]).astype(np.float64)
-        return counts / (np.sqrt(counts @ counts) or 1.0)
+class _Slots(dict):
+    """The slot of each word met so far."""
 
-    return slots.map(one)
+    def __init__(self, dimension: int) -> None:
+        self.dimension, self.digits = dimension, max(1, math.ceil(math.log2(dimension) / 4))
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        # The hash is a 128-bit number; its last hex digits decide it modulo a power of two.
+        self[word] = int(md5(word.encode()).hexdigest()[-self.digits :], 16) % self.dimension
+        return self[word]
 
 
 def hashed_words(text: Column, dimension: int = DIMENSION) -> Column:
     """The offline embedding: a-z words counted in md5 buckets (a power of two), length 1."""
-    digits = max(1, math.ceil(math.log2(dimension) / 4))
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    slots = F.transform(
-        words,
-        # The hash is a 128-bit number; its last hex digits decide it modulo a power of two.
-        lambda w: F.conv(F.right(F.md5(w), F.lit(digits)), 16, 10).cast("int") % dimension,
-    )
-    return _unit_counts(F.concat(F.array(F.lit(dimension)), slots))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def unit_counts(texts: pd.Series) -> pd.Series:
+        slots, words = _Slots(dimension), re.compile("[a-z]+")
+
+        def one(lowered: str) -> np.ndarray:
+            times = Counter(words.findall(lowered))
+            at = np.array([slots[w] for w in times], dtype=np.int64)
+            counts = np.bincount(at, np.fromiter(times.values(), np.float64, len(times)), dimension)
+            return counts / (np.sqrt(counts @ counts) or 1.0)
+
+        return texts.map(one)
+
+    return unit_counts(F.lower(text))
 
 
 def _allowed(queries: pd.DataFrame, rows: pd.DataFrame, fields: list[str]) -> np.ndarray | None:

@@ -47,12 +47,26 @@ def standard_systems(corpus: Corpus, scorer: Scorer = word_overlap) -> dict[str,
     def population_only(q: DataFrame) -> DataFrame:
         return filters.relax(q).where("age is not null")
 
+    legs: dict[tuple[str, DataFrame], DataFrame] = {}
+
+    def once(leg: str, q: DataFrame, run: System) -> DataFrame:
+        """A leg that several systems ask the same questions is run once and stored."""
+        if (leg, q) not in legs:
+            legs[leg, q] = written(run(q), leg)
+        return legs[leg, q]
+
+    def nearest(q: DataFrame) -> DataFrame:
+        return once("vector", q, vector)
+
+    def hybrid(q: DataFrame) -> DataFrame:
+        return once("hybrid", q, lambda q: hybrid_search(corpus, _bare(q)))
+
     return {
-        "vector": lambda q: _hits(vector(q), "dense_rank"),
+        "vector": lambda q: _hits(nearest(q), "dense_rank"),
         "bm25": lambda q: _hits(bm25.search(corpus.index, _bare(q), DEPTH), "bm25_rank"),
-        "hybrid": lambda q: _hits(hybrid_search(corpus, _bare(q)), "rrf_rank"),
-        "vector+rerank": lambda q: reranked(vector(q), q, "dense_rank"),
-        "hybrid+rerank": lambda q: reranked(hybrid_search(corpus, _bare(q)), q, "rrf_rank"),
+        "hybrid": lambda q: _hits(hybrid(q), "rrf_rank"),
+        "vector+rerank": lambda q: reranked(nearest(q), q, "dense_rank"),
+        "hybrid+rerank": lambda q: reranked(hybrid(q), q, "rrf_rank"),
         "hybrid+rerank+pop": lambda q: reranked(
             hybrid_search(corpus, population_only(q)), q, "rrf_rank"
         ),
